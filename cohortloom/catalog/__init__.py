@@ -1,6 +1,6 @@
 """Registered queries: a Spark form and, where SQL can say it, the equivalent ANSI SQL."""
 
-from . import relational
+from . import clinical, relational
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "relational"]
+__all__ = ["ORACLE", "QUERIES", "clinical", "relational"]

@@ -384,9 +384,9 @@ def _(v):
 
 
 @query("e9_column_summary", f"""
-SELECT co_tox_lab_name, co_tox_lab_unit, {dist_sql('co_tox_lab_normal_low')}, {big('COUNT(*) FILTER (co_tox_lab_normal_low IS NULL)')} AS n_null FROM lab WHERE co_tox_lab_unit IS NOT NULL GROUP BY 1, 2""")
+SELECT co_tox_lab_name, co_tox_lab_unit, {dist_sql('co_tox_lab_normal_low')}, {big('COUNT(*) FILTER (co_tox_lab_normal_low IS NULL)')} AS n_null FROM lab GROUP BY 1, 2""")
 def _(v):
-    return D.column_summary(v.lab.where(F.col(L.UNIT).isNotNull()), [L.LAB, L.UNIT], L.LOW)
+    return D.column_summary(v.lab, [L.LAB, L.UNIT], L.LOW)
 
 
 @query("e10_frequency", f"SELECT surgery_d, {big('COUNT(*)')} AS n FROM cohort GROUP BY 1")

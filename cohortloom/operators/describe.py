@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import null_count, ratio
 from .labs import distribution
+from .scale import join_null_safe
 
 
 def frequency(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -25,7 +26,7 @@ def crosstab(df: DataFrame, row: str, column: str, levels: list) -> DataFrame:
 def column_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Six-number summary of the known values with the null count; all-null keys are kept."""
     nulls = df.groupBy(*keys).agg(null_count(value).alias("n_null"))
-    return nulls.join(distribution(df, keys, value), keys, "left").fillna(0, ["n"])
+    return join_null_safe(nulls, distribution(df, keys, value), keys, "left").fillna(0, ["n"])
 
 
 def table_one(
