@@ -22,6 +22,7 @@ def z_value(conf: float) -> float:
 def wilson(successes: Column, n: Column, conf: float = 0.95) -> tuple[Column, Column]:
     """Score interval for a proportion (Wilson 1927); null when ``n`` is 0."""
     z = z_value(conf)
+    n = F.nullif(n.cast("double"), F.lit(0.0))
     p = ratio(successes, n)
     scale = 1 + z * z / n
     centre = (p + z * z / (2 * n)) / scale
@@ -143,7 +144,7 @@ def lr_intervals(tp="tp", fp="fp", fn="fn", tn="tn", conf: float = 0.95) -> dict
 def agreement_columns(agree: Column, n: Column, conf_z: float = 1.96) -> dict[str, Column]:
     """Percent agreement with the normal-approximation limits."""
     p = ratio(agree, n)
-    half = conf_z * F.sqrt(p * (1 - p) / n)
+    half = conf_z * F.sqrt(ratio(p * (1 - p), n))
     return {"agree_pct": 100 * p, "agree_low": 100 * (p - half), "agree_high": 100 * (p + half)}
 
 
@@ -206,12 +207,12 @@ def risk_columns(a="a", b="b", c="c", d="d", conf: float = 0.95) -> dict[str, Co
 
 
 def bounding_factor(rr_ud: Column, rr_eu: Column) -> Column:
-    return rr_ud * rr_eu / (rr_ud + rr_eu - 1)
+    return ratio(rr_ud * rr_eu, rr_ud + rr_eu - 1)
 
 
 def bias_corrected(rr: Column, estimate: Column, b: Column) -> Column:
     """Shift ``estimate`` toward the null by the bounding factor, on the side of ``rr``."""
-    return F.when(rr >= 1, estimate / b).when(rr < 1, estimate * b)
+    return F.when(rr >= 1, ratio(estimate, b)).when(rr < 1, estimate * b)
 
 
 def e_value(rr: Column) -> Column:

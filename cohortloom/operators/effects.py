@@ -65,7 +65,7 @@ def classify(
     ``alike`` is the largest ratio at which stratum RRs still count as the same.
     """
     side = lambda v: M.side_of_null(v, near_null)
-    same = high / low <= alike
+    same = ratio(high, low) <= alike
     between = (low < crude) & (crude < high)
     qualitative = (side(low) != side(high)) | (side(low) == 0)
     mean = F.sqrt(low * high)

@@ -34,6 +34,10 @@ class Frame:
     order: str | None = "sample_order"
 
 
+def _inverse(degree: Column) -> Column:
+    return ratio(F.lit(1.0), degree)
+
+
 def _bounded(df: DataFrame) -> pd.DataFrame:
     """Bring an aggregate to the driver, refusing anything that is not small."""
     rows = df.limit(MAX_CELLS + 1).toPandas()
@@ -167,9 +171,9 @@ def group_degrees(df: DataFrame, frame: Frame = Frame()) -> DataFrame:
     d = F.col(frame.degree)
     return df.groupBy(F.col(frame.outcome).alias("level")).agg(
         F.count("*").alias("n"),
-        (F.count("*") / F.sum(1 / d)).alias("harmonic_degree"),
+        ratio(F.count("*"), F.sum(_inverse(d))).alias("harmonic_degree"),
         F.avg(d).alias("mean_degree"),
-        F.sum(1 / d).alias("inverse_degree"),
+        F.sum(_inverse(d)).alias("inverse_degree"),
     )
 
 
@@ -229,7 +233,7 @@ def rds_i(df: DataFrame, frame: Frame = Frame()) -> DataFrame:
 def rds_ii(df: DataFrame, frame: Frame = Frame()) -> DataFrame:
     """Inverse-degree weighted mean of a numeric (0/1 or continuous) outcome."""
     known = df.where(F.col(frame.outcome).isNotNull())
-    w = 1 / F.col(frame.degree)
+    w = _inverse(F.col(frame.degree))
     return known.agg(ratio(F.sum(w * F.col(frame.outcome)), F.sum(w)).alias("estimate")).select(
         F.lit("RDS-II").alias("estimator"), "estimate"
     )
@@ -239,7 +243,7 @@ def rds_ii_levels(df: DataFrame, frame: Frame = Frame()) -> DataFrame:
     """Inverse-degree weighted share of every level."""
     w = df.where(F.col(frame.outcome).isNotNull()).groupBy(
         F.col(frame.outcome).alias("level")
-    ).agg(F.sum(1 / F.col(frame.degree)).alias("w"))
+    ).agg(F.sum(_inverse(F.col(frame.degree))).alias("w"))
     total = F.sum("w").over()  # one row per level
     return w.select("level", (F.col("w") / total).alias("estimate"))
 
@@ -263,8 +267,8 @@ def ss_rate(df: DataFrame, size: float, frame: Frame = Frame()) -> float:
 
 
 def ss_weight(rate: float, frame: Frame = Frame()) -> Column:
-    """Inverse inclusion probability at degree d."""
-    return 1 / -F.expm1(-F.lit(rate) * F.col(frame.degree))
+    """Inverse inclusion probability at degree d (null for degree 0)."""
+    return ratio(F.lit(1.0), -F.expm1(-F.lit(rate) * F.col(frame.degree)))
 
 
 def ss_estimate(df: DataFrame, size: float, frame: Frame = Frame()) -> DataFrame:
@@ -377,14 +381,14 @@ def weights(df: DataFrame, size: float, frame: Frame = Frame()) -> DataFrame:
     rate = ss_rate(df, size, frame)
     # one row of totals
     sums = df.agg(
-        F.count("*").alias("n"), F.sum(1 / F.col(frame.degree)).alias("inv"),
+        F.count("*").alias("n"), F.sum(_inverse(F.col(frame.degree))).alias("inv"),
         F.sum(ss_weight(rate, frame)).alias("ss"),
     ).first()
     table = share.join(per_group, "__l").select("__l", (F.col("__p") * sums["n"] / F.col("n")).alias("w_rds_i"))
     out = df.join(table, df[frame.outcome] == table["__l"], "left").drop("__l")
     return out.withColumns(
         {
-            "w_rds_ii": sums["n"] / F.lit(sums["inv"]) / F.col(frame.degree),
+            "w_rds_ii": _inverse(F.col(frame.degree)) * (sums["n"] / sums["inv"]),
             "w_ss": ss_weight(rate, frame) * (sums["n"] / sums["ss"]),
         }
     )
@@ -409,7 +413,7 @@ def convergence(df: DataFrame, frame: Frame = Frame(), by: list[str] | None = No
         by,
         F.col(frame.order),
         [F.col(frame.order), F.col(frame.id)],
-        {"m": F.lit(1), "__wy": F.col(frame.outcome) / d, "__w": 1 / d},
+        {"m": F.lit(1), "__wy": F.col(frame.outcome) * _inverse(d), "__w": _inverse(d)},
     )
     return ran.select(*by, frame.id, "m", ratio(F.col("__wy"), F.col("__w")).alias("estimate"))
 
@@ -462,7 +466,7 @@ def convergence_grid(df: DataFrame, size: float, frame: Frame = Frame(), points:
             ]
         )
     )
-    inv = lambda lvl: F.sum(F.when(F.col("level") == lvl, F.col("n") / F.col("d")))
+    inv = lambda lvl: F.sum(F.when(F.col("level") == lvl, F.col("n") * _inverse(F.col("d"))))
     num = lambda lvl: F.sum(F.when(F.col("level") == lvl, F.col("n")))
     groups = deg.groupBy("cut_point").agg(
         F.sum("n").alias("m"),
@@ -488,7 +492,7 @@ def weighted_degrees(df: DataFrame, size: float, frame: Frame = Frame()) -> Data
     """Mean degree per 0/1 group under each weight type, and its ratio (differential activity)."""
     d, y = F.col(frame.degree), F.col(frame.outcome)
     w = ss_weight(ss_rate(df, size, frame), frame)
-    types = {"RDS-I": F.lit(1.0), "RDS-II": 1 / d, "SS": w}
+    types = {"RDS-I": F.lit(1.0), "RDS-II": _inverse(d), "SS": w}
     aggs = []
     for name, weight in types.items():
         for lvl in (0, 1):
@@ -527,7 +531,7 @@ def population_homophily(df: DataFrame, size: float, frame: Frame = Frame()) ->
     """Discordant ties expected without homophily over those expected with the observed mixing."""
     row = _two_group_row(recruitment_counts(df, frame), group_degrees(df, frame))
     two = df.agg(
-        ratio(F.sum(F.col(frame.outcome) / F.col(frame.degree)), F.sum(1 / F.col(frame.degree))).alias("p_ii")
+        ratio(F.sum(F.col(frame.outcome) * _inverse(F.col(frame.degree))), F.sum(_inverse(F.col(frame.degree)))).alias("p_ii")
     )
     w = ss_weight(ss_rate(df, size, frame), frame)
     d, y = F.col(frame.degree), F.col(frame.outcome)
@@ -546,7 +550,7 @@ def population_homophily(df: DataFrame, size: float, frame: Frame = Frame()) ->
         a, b = F.col(p) * F.col(d1), (1 - F.col(p)) * F.col(d0)
         mixed = (a * F.col("s10") + b * F.col("s01")) / 2
         rows.append(
-            F.struct(F.lit(name).alias("weight_type"), ratio(a * b / (a + b), mixed).alias("homophily"))
+            F.struct(F.lit(name).alias("weight_type"), ratio(ratio(a * b, a + b), mixed).alias("homophily"))
         )
     return wide.select(F.inline(F.array(*rows)))
 
@@ -559,7 +563,7 @@ def seed_dependence(df: DataFrame, frame: Frame = Frame()) -> DataFrame:
     """Share of each level among seeds next to its inverse-degree weighted share."""
     seed = F.col(frame.recruiter).isNull()
     by = df.groupBy(F.col(frame.outcome).alias("level")).agg(
-        F.count_if(seed).alias("n_seed"), F.sum(1 / F.col(frame.degree)).alias("w")
+        F.count_if(seed).alias("n_seed"), F.sum(_inverse(F.col(frame.degree))).alias("w")
     )
     seeds, total = F.sum("n_seed").over(), F.sum("w").over()  # one row per level
     out = by.select(

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.nulls import any_flag, r_case, r_ifelse, strict_sum
+from ..functions.nulls import any_flag, r_case, r_ifelse, ratio, strict_sum
 from .cohort import age_at, scaffold
 from .labs import (
     ALP,
@@ -120,7 +120,11 @@ def creatinine_clearance(lab: DataFrame) -> DataFrame:
     """Clearance of serum creatinine rows: early frames use the first weight, later the second."""
     early = F.col(FRAME) < 3
     weight = r_ifelse(early, F.col("final_dx_wt"), F.col("final_2nd_wt"))
-    value = (140 - age_at("co_tox_lab_date")) * weight * 0.85 / (72 * F.col(RESULT))
+    top = (140 - age_at("co_tox_lab_date")) * weight * 0.85
+    # a zero result means unbounded clearance, which no grade counts
+    value = F.when((F.col(RESULT) == 0) & weight.isNotNull(), float("inf")).otherwise(
+        ratio(top, 72 * F.col(RESULT))
+    )
     return lab.withColumn("crcl", F.when(F.col(LAB) == CREATININE, value))
 
 

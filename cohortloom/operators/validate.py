@@ -130,7 +130,6 @@ def with_accuracy(counts: DataFrame, conf: float = 0.95, interval: str = "wilson
     method = {"wilson": M.wilson, "exact": M.exact_interval}[interval]
     cols = dict(M.accuracy_columns())
     for name, (k, n) in ends.items():
-        n = F.nullif(n, F.lit(0)) if interval == "wilson" else n
         cols[f"{name}_low"], cols[f"{name}_high"] = method(k, n, conf)
     cols.update(M.lr_intervals(conf=conf))
     return counts.withColumns(cols)
