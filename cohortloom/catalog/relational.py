@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -24,7 +23,7 @@ from ..operators import quality as Q
 from ..operators import rds as R
 from ..operators import relational as X
 from ..operators import tox as T
-from ..operators.scale import ensure_checkpoint_dir, exact_quantiles, first_row, number_rows
+from ..operators.scale import first_row, join_null_safe, number_rows, scratch_path
 from ..plans import toxicity as P
 from ..sources import io
 from .prelude import big, r6
@@ -32,10 +31,7 @@ from .registry import query, sources
 
 
 def scratch(v, name: str) -> str:
-    """A new folder next to the checkpoints, which every executor can reach."""
-    ensure_checkpoint_dir(v.spark)
-    base = v.spark.sparkContext.getCheckpointDir()
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+    return scratch_path(v.spark, name)
 
 
 # ---- A. scans, sinks, names
@@ -247,8 +243,6 @@ SELECT l.studyid, l.co_tox_lab_date, l.co_tox_lab_unit, {big('COUNT(*)')} AS n_p
 FROM (SELECT * FROM lab WHERE co_tox_lab_name = 1) l JOIN (SELECT DISTINCT studyid, co_tox_lab_date, co_tox_lab_unit FROM lab WHERE co_tox_lab_name = 17) h
   ON l.studyid = h.studyid AND l.co_tox_lab_unit IS NOT DISTINCT FROM h.co_tox_lab_unit AND l.co_tox_lab_date = h.co_tox_lab_date GROUP BY 1, 2, 3""")
 def _(v):
-    from ..operators.scale import join_null_safe
-
     keys = ["studyid", L.DATE, L.UNIT]
     anc = v.lab.where(F.col(L.LAB) == 1).select(*keys)
     hgb = v.lab.where(F.col(L.LAB) == 17).select(*keys).distinct()

@@ -177,7 +177,7 @@ def binary_kappa_columns(tp="tp", fp="fp", fn="fn", tn="tn") -> dict[str, Column
     return kappa_columns(po, pe, cross, n)
 
 
-def risk_columns(a="a", b="b", c="c", d="d", conf: float = 0.95) -> dict[str, Column]:
+def risk_columns(a="n11", b="n10", c="n01", d="n00", conf: float = 0.95) -> dict[str, Column]:
     """RR, OR and RD with log-Wald (Wald for RD) limits.
 
     Cells: a exposed with outcome, b exposed without, c unexposed with, d unexposed without.

@@ -77,27 +77,33 @@ def spread_marks(moves: DataFrame, starts: DataFrame) -> DataFrame:
 
 def variable_roles(edges: DataFrame, questions: DataFrame) -> DataFrame:
     """Role of every node given exposure and outcome per graph (``graph_id, exposure, outcome``)."""
-    edges = edges.select(*EDGE).distinct().join(questions, "graph_id")
-    forward = edges.select("graph_id", F.col("src").alias("node"), F.col("dst").alias("nxt"),
-                           "exposure", "outcome")
-    backward = edges.select("graph_id", F.col("dst").alias("node"), F.col("src").alias("nxt"),
-                            "exposure", "outcome")
-    not_x = F.col("nxt") != F.col("exposure")
-    cols = ["graph_id", "node", "nxt"]
-    marked = lambda df, m: df.select(*cols, F.lit(m).alias("mark"))
-    moves = (
-        marked(backward, "above_x")
-        .unionByName(marked(backward, "above_y"))
-        .unionByName(marked(backward.where(not_x), "above_y_off_x"))
-        .unionByName(marked(forward, "below_x"))
+    edges = checkpointed(edges.select(*EDGE).distinct().join(questions, "graph_id"))
+    src, dst = F.col("src"), F.col("dst")
+    x, y = F.col("exposure"), F.col("outcome")
+    step = lambda mark, a, b: F.struct(F.lit(mark).alias("mark"), a.alias("node"), b.alias("nxt"))
+    begin = lambda mark, a: F.struct(F.lit(mark).alias("mark"), a.alias("node"))
+    moves = edges.select(
+        "graph_id",
+        F.inline(
+            F.array_compact(
+                F.array(
+                    step("above_x", dst, src),
+                    step("above_y", dst, src),
+                    F.when(src != x, step("above_y_off_x", dst, src)),
+                    step("below_x", src, dst),
+                    F.when(dst != x, step("below_c", src, dst)),
+                )
+            )
+        ),
     )
     moves = checkpointed(moves)
-    begin = lambda c, m: questions.select("graph_id", F.col(c).alias("node"), F.lit(m).alias("mark"))  # noqa: E731,E501
-    starts = (
-        begin("exposure", "above_x")
-        .unionByName(begin("exposure", "below_x"))
-        .unionByName(begin("outcome", "above_y"))
-        .unionByName(begin("outcome", "above_y_off_x"))
+    starts = questions.select(
+        "graph_id",
+        F.inline(
+            F.array(
+                begin("above_x", x), begin("below_x", x), begin("above_y", y), begin("above_y_off_x", y)
+            )
+        ),
     )
     marks = spread_marks(moves, starts)
     has = lambda m: F.max(F.col("mark") == m)
@@ -109,12 +115,12 @@ def variable_roles(edges: DataFrame, questions: DataFrame) -> DataFrame:
     confounder = F.col("above_x") & F.col("above_y_off_x") & ~ends
     known = flags.join(questions, "graph_id")
     conf = known.where(confounder).select("graph_id", "node", F.lit("below_c").alias("mark"))
-    below = spread_marks(marked(forward.where(not_x), "below_c"), conf).select(
-        "graph_id", "node", F.lit(True).alias("below_c")
-    )
-    nodes = edges.select("graph_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    below = spread_marks(moves, conf).select("graph_id", "node", F.lit(True).alias("below_c"))
+    nodes = edges.select(
+        "graph_id", "exposure", "outcome", F.explode(F.array("src", "dst")).alias("node")
+    ).distinct()
     full = (
-        nodes.join(questions, "graph_id")
+        nodes
         .join(flags, ["graph_id", "node"], "left")
         .join(below, ["graph_id", "node"], "left")
         .fillna(False, ["above_x", "above_y", "above_y_off_x", "below_x", "below_c"])

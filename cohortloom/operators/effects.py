@@ -13,6 +13,13 @@ from ..functions import measures as M
 from ..functions.nulls import ratio
 
 
+CELLS = ("n11", "n10", "n01", "n00")
+
+
+def cell_total() -> Column:
+    return sum((F.col(x) for x in CELLS[1:]), F.col(CELLS[0]))
+
+
 @dataclass(frozen=True)
 class Roles:
     exposure: str = "x"
@@ -20,13 +27,13 @@ class Roles:
 
 
 def cells(df: DataFrame, keys: list[str], roles: Roles = Roles()) -> DataFrame:
-    """2x2 cells per key: a exposed case, b exposed non-case, c unexposed case, d neither."""
+    """2x2 cells per key, named n<exposure><outcome>."""
     x, y = F.col(roles.exposure), F.col(roles.outcome)
     return df.groupBy(*keys).agg(
-        F.count_if((x == 1) & (y == 1)).alias("a"),
-        F.count_if((x == 1) & (y == 0)).alias("b"),
-        F.count_if((x == 0) & (y == 1)).alias("c"),
-        F.count_if((x == 0) & (y == 0)).alias("d"),
+        F.count_if((x == 1) & (y == 1)).alias("n11"),
+        F.count_if((x == 1) & (y == 0)).alias("n10"),
+        F.count_if((x == 0) & (y == 1)).alias("n01"),
+        F.count_if((x == 0) & (y == 0)).alias("n00"),
     )
 
 
@@ -36,12 +43,12 @@ def measures(df: DataFrame, keys: list[str], roles: Roles = Roles()) -> DataFram
 
 
 def _pooled(strata: DataFrame, keys: list[str]) -> DataFrame:
-    a, b, c, d = (F.col(x).cast("double") for x in "abcd")
+    a, b, c, d = (F.col(x).cast("double") for x in CELLS)
     n = F.nullif(a + b + c + d, F.lit(0.0))
     return strata.groupBy(*keys).agg(
         ratio(F.sum(a * (c + d) / n), F.sum(c * (a + b) / n)).alias("rr_adj"),
         ratio(F.sum(a * d / n), F.sum(b * c / n)).alias("or_adj"),
-        *[F.sum(x).alias(x) for x in "abcd"],
+        *[F.sum(x).alias(x) for x in CELLS],
         F.min("rr").alias("rr_min"),
         F.max("rr").alias("rr_max"),
         F.count("*").alias("n_strata"),
@@ -100,7 +107,7 @@ def screen_covariates(
     pooled = _pooled(strata, ["covariate"])
     pooled = pooled.withColumn("rr_crude", M.risk_columns()["rr"])
     label = classify(F.col("rr_crude"), F.col("rr_min"), F.col("rr_max"), alike)
-    return pooled.withColumn("pattern", label).drop(*"abcd")
+    return pooled.withColumn("pattern", label).drop(*CELLS)
 
 
 def covariate_association(
@@ -118,8 +125,8 @@ def covariate_association(
     return out.select(
         "covariate",
         "level",
-        ratio(F.col("a") + F.col("b"), sum((F.col(x) for x in "bcd"), F.col("a"))).alias("p_exposed"),
-        ratio(F.col("c"), F.col("c") + F.col("d")).alias("risk_unexposed"),
+        ratio(F.col("n11") + F.col("n10"), cell_total()).alias("p_exposed"),
+        ratio(F.col("n01"), F.col("n01") + F.col("n00")).alias("risk_unexposed"),
     )
 
 

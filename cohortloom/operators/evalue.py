@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import measures as M
 from ..functions.nulls import ratio
-from .effects import Roles, cells
+from .effects import CELLS, Roles, cell_total, cells
 
 
 def observed_rr(df: DataFrame, by: str, roles: Roles = Roles()) -> DataFrame:
@@ -25,10 +25,10 @@ def exposure_confounder_rr(df: DataFrame, by: str, u: str, roles: Roles = Roles(
     """Largest ratio over levels of ``u`` of its prevalence in exposed to unexposed."""
     level = _by_level(df, by, u, roles)
     totals = level.groupBy(by).agg(
-        F.sum(F.col("a") + F.col("b")).alias("n1"), F.sum(F.col("c") + F.col("d")).alias("n0")
+        F.sum(F.col("n11") + F.col("n10")).alias("n1"), F.sum(F.col("n01") + F.col("n00")).alias("n0")
     )
-    p1 = ratio(F.col("a") + F.col("b"), F.col("n1"))
-    p0 = ratio(F.col("c") + F.col("d"), F.col("n0"))
+    p1 = ratio(F.col("n11") + F.col("n10"), F.col("n1"))
+    p0 = ratio(F.col("n01") + F.col("n00"), F.col("n0"))
     return level.join(totals, by).groupBy(by).agg(F.max(ratio(p1, p0)).alias("rr_eu"))
 
 
@@ -50,7 +50,7 @@ def standardised_rr(df: DataFrame, by: str, u: str, roles: Roles = Roles()) -> D
         by,
         cols["risk1"].alias("r1"),
         cols["risk0"].alias("r0"),
-        sum((F.col(x) for x in "bcd"), F.col("a")).alias("n"),
+        cell_total().alias("n"),
     )
     whole = (F.count("r1") == F.count(F.lit(1))) & (F.count("r0") == F.count(F.lit(1)))
     top, bottom = F.sum(F.col("r1") * F.col("n")), F.sum(F.col("r0") * F.col("n"))
@@ -62,7 +62,7 @@ def bias_analysis(df: DataFrame, by: str, u: str, roles: Roles = Roles()) -> Dat
     out = (
         cells(df, [by], roles)
         .withColumns({k: M.risk_columns()[k] for k in ("rr", "rr_low", "rr_high")})
-        .drop(*"abcd")
+        .drop(*CELLS)
         .join(exposure_confounder_rr(df, by, u, roles), by)
         .join(confounder_outcome_rr(df, by, u, roles), by)
         .join(standardised_rr(df, by, u, roles), by)

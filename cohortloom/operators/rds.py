@@ -13,6 +13,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import measures as M
@@ -244,7 +245,7 @@ def rds_ii_levels(df: DataFrame, frame: Frame = Frame()) -> DataFrame:
     w = df.where(F.col(frame.outcome).isNotNull()).groupBy(
         F.col(frame.outcome).alias("level")
     ).agg(F.sum(_inverse(F.col(frame.degree))).alias("w"))
-    total = F.sum("w").over()  # one row per level
+    total = F.sum("w").over(W.partitionBy())  # one row per level
     return w.select("level", (F.col("w") / total).alias("estimate"))
 
 
@@ -565,7 +566,7 @@ def seed_dependence(df: DataFrame, frame: Frame = Frame()) -> DataFrame:
     by = df.groupBy(F.col(frame.outcome).alias("level")).agg(
         F.count_if(seed).alias("n_seed"), F.sum(_inverse(F.col(frame.degree))).alias("w")
     )
-    seeds, total = F.sum("n_seed").over(), F.sum("w").over()  # one row per level
+    seeds, total = F.sum("n_seed").over(W.partitionBy()), F.sum("w").over(W.partitionBy())  # one row per level
     out = by.select(
         "level", ratio(F.col("n_seed"), seeds).alias("seed_share"), ratio(F.col("w"), total).alias("share")
     )
