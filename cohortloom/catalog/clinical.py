@@ -149,12 +149,12 @@ def _(v):
 
 @query("g5_percent_to_absolute_result", f"SELECT {labrow()} FROM lab5")
 def _(v):
-    return pick(L.percent_to_absolute(L.repair_sentinel(v.lab)))
+    return pick(L.percent_to_absolute(L.repair_sentinel(v.lab), (L.RESULT,)))
 
 
 @query("g6_percent_to_absolute_limit", f"SELECT {labrow()} FROM lab6")
 def _(v):
-    return pick(L.percent_to_absolute(L.percent_to_absolute(L.repair_sentinel(v.lab)), L.LOW))
+    return pick(L.percent_to_absolute(L.repair_sentinel(v.lab)))
 
 
 @query("g7_code_merge", f"""
@@ -305,7 +305,7 @@ _LAB_COLS = [f"{c}_g{g}_lab" for c in LAB_CONDITIONS for g in (1, 2, 3)]
 
 @query("h8_lab_flags", f"SELECT studyid, time_frame, {', '.join(_LAB_COLS)} FROM labpf")
 def _(v):
-    return T.lab_flags(P.graded_labs(sources(v))).select("studyid", "time_frame", *_LAB_COLS)
+    return P.lab_person_flags(sources(v)).select("studyid", "time_frame", *_LAB_COLS)
 
 
 @query("h9_chart_flags", "SELECT * FROM chartpf")
@@ -319,7 +319,7 @@ SELECT COALESCE(i.studyid, l.studyid) AS studyid, COALESCE(i.time_frame, l.time_
 FROM icdpf i FULL JOIN (SELECT * FROM labpf WHERE anemia_lab_rows > 0) l ON i.studyid = l.studyid AND i.time_frame = l.time_frame""")
 def _(v):
     src = sources(v)
-    lab = T.lab_flags(P.graded_labs(src)).where("anemia_lab_rows > 0")
+    lab = P.lab_person_flags(src).where("anemia_lab_rows > 0")
     return T.complete_pair(
         T.icd_flags(P.framed_icd(src)), lab, ["anemia_flag_icd"], ["anemia_g2_lab"]
     )

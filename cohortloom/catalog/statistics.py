@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..operators import describe as D
 from ..operators import labs as L
 from ..operators import quality as Q
-from ..operators import tox as T
 from ..operators import validate as V
 from ..plans import toxicity as P
 from .prelude import big, r6
@@ -148,7 +147,7 @@ FROM (SELECT time_frame, n, hit / n AS po, pe / (n * n) AS pe, crs / (n * n * n)
     {"graded": """SELECT time_frame, anemia_g1_lab + anemia_g2_lab + anemia_g3_lab AS ga, thrombocytopenia_g1_lab + thrombocytopenia_g2_lab + thrombocytopenia_g3_lab AS gb
 FROM labpf WHERE anemia_lab_rows > 0 AND thrombocytopenia_lab_rows > 0"""})
 def _(v):
-    flags = T.lab_flags(P.graded_labs(sources(v)))
+    flags = P.lab_person_flags(sources(v))
     grade = lambda c: sum((F.col(f"{c}_g{g}_lab") for g in (2, 3)), F.col(f"{c}_g1_lab"))
     rated = flags.select(
         "time_frame", grade("anemia").alias("ga"), grade("thrombocytopenia").alias("gb")

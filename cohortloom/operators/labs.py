@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import any_of, half_even, in_set, null_count, overwrite, ratio
-from .scale import exact_quantiles, first_row, join_null_safe
+from .scale import exact_quantiles, join_null_safe
 
 ID, DATE, FRAME = "studyid", "co_tox_lab_date", "time_frame"
 LAB, UNIT, RESULT = "co_tox_lab_name", "co_tox_lab_unit", "co_tox_lab_result"
@@ -71,36 +71,35 @@ def repair_sentinel(lab: DataFrame, bad: float = -0.1, good: float = 0.1) -> Dat
     return lab.withColumn(RESULT, overwrite(RESULT, F.col(RESULT) == bad, good))
 
 
-def percent_to_absolute(lab: DataFrame, target: str = RESULT) -> DataFrame:
+def percent_to_absolute(lab: DataFrame, targets: tuple[str, ...] = (RESULT, LOW)) -> DataFrame:
     """Turn percent counts into absolute ones with the same patient's same-day white count.
 
-    One percent row and one white-count row are used per patient and day; every row sharing the
-    chosen percent row's patient, day, lab and unit takes the converted value.
+    Per patient and day one percent row (for each target) and one white-count row are used; every row
+    sharing the chosen percent row's patient, day, lab and unit takes the converted value. Only the
+    few rows that can hold a percent meet the join; all others pass by without a shuffle.
     """
-    percent = any_of(
-        [
-            (F.col(LAB) == ANC) & (F.col(UNIT) == UNIT_PERCENT),
-            (F.col(LAB) == NEUTROPHIL_PCT) & (F.col(target) <= 100),
-        ]
-    )
-    shares = first_row(
-        lab.where(percent).select(ID, DATE, LAB, UNIT, F.col(target).alias("__pct")),
-        [ID, DATE],
-        [LAB, UNIT, "__pct"],
-    )
+    by_unit = (F.col(LAB) == ANC) & (F.col(UNIT) == UNIT_PERCENT)
+    by_code = F.col(LAB) == NEUTROPHIL_PCT
+    candidate = F.coalesce(by_unit | by_code, F.lit(False))
     in_thousands = F.col(UNIT).isNull() | (F.col(UNIT) == UNIT_K_PER_UL)
-    white = first_row(
-        lab.where(F.col(LAB) == WBC).select(
-            ID, DATE, UNIT, overwrite(RESULT, in_thousands, F.col(RESULT) * 1000).alias("__wbc")
-        ),
-        [ID, DATE],
-        [UNIT, "__wbc"],
-    ).drop(UNIT)
-    converted = shares.join(white, [ID, DATE]).select(
-        ID, DATE, LAB, UNIT, half_even(F.col("__pct") * F.col("__wbc") / 100).alias("__abs")
+    white = overwrite(RESULT, in_thousands, F.col(RESULT) * 1000)
+    picks = [F.min(F.when(F.col(LAB) == WBC, F.struct(UNIT, white.alias("value")))).alias("__wbc")]
+    for t in targets:
+        is_percent = by_unit | (by_code & (F.col(t) <= 100))
+        picks.append(F.min(F.when(is_percent, F.struct(LAB, UNIT, F.col(t)))).alias(f"__p_{t}"))
+    days = lab.where(candidate | (F.col(LAB) == WBC)).groupBy(ID, DATE).agg(*picks)
+    days = days.where(
+        F.col("__wbc").isNotNull() & any_of([F.col(f"__p_{t}").isNotNull() for t in targets])
     )
-    joined = join_null_safe(lab, converted, [ID, DATE, LAB, UNIT], "left")
-    return joined.withColumn(target, F.coalesce("__abs", target)).drop("__abs")
+    fixed = lab.where(candidate).join(days, [ID, DATE], "left")
+    for t in targets:
+        pick = F.col(f"__p_{t}")
+        same = (F.col(LAB) == pick[LAB]) & F.col(UNIT).eqNullSafe(pick[UNIT])
+        value = half_even(pick[t] * F.col("__wbc")["value"] / 100)
+        fixed = fixed.withColumn(f"__v_{t}", F.when(same, value))
+    for t in targets:
+        fixed = fixed.withColumn(t, F.coalesce(f"__v_{t}", t))
+    return lab.where(~candidate).unionByName(fixed.select(*lab.columns))
 
 
 def scale_units(lab: DataFrame, rules: list[ScaleRule] = SCALE_RULES) -> DataFrame:
@@ -225,8 +224,7 @@ def drop_null_results(lab: DataFrame) -> DataFrame:
 def clean_results(lab: DataFrame) -> DataFrame:
     """Repairs that precede time framing, in the order the limits depend on."""
     lab = repair_sentinel(lab)
-    lab = percent_to_absolute(lab, RESULT)
-    lab = percent_to_absolute(lab, LOW)
+    lab = percent_to_absolute(lab)
     return merge_codes(scale_units(lab))
 
 

@@ -20,9 +20,12 @@ from .labs import (
     HEPATIC,
     HIGH,
     LAB,
+    LIMIT_RULES,
     LOW,
     PLATELETS,
     RESULT,
+    LimitRule,
+    impute_constant,
 )
 
 ID, FRAME = "studyid", "time_frame"
@@ -173,6 +176,46 @@ def lab_flags(graded: DataFrame, keys: tuple[str, ...] = (ID, FRAME)) -> DataFra
     )
 
 
+def any_lab_flags(framed: DataFrame, rules: list[LimitRule] = LIMIT_RULES) -> DataFrame:
+    """The any-grade flags of ``lab_flags`` straight from framed rows whose limits are not yet filled.
+
+    A filled limit is one value per person, frame and lab, so a row without a limit can only raise a
+    flag through its group's most extreme such row. The groups therefore carry: the flags of rows with
+    a known limit, that extreme result, and the limit to fill in. Nothing is joined back to rows, and
+    a hot person is reduced before the shuffle.
+    """
+    rows = grade_rows(framed)
+    has = F.col(RESULT).isNotNull()
+    highs = F.col(LAB).isin([r.lab for r in rules if r.column == HIGH])
+    lows = F.col(LAB).isin([r.lab for r in rules if r.column == LOW])
+    flags = [f"{c}_g{g}" for c in LAB_CONDITIONS for g in GRADES]
+    usable = F.when(F.col(LAB) == CREATININE, F.col("crcl").isNotNull()).otherwise(has)
+    groups = rows.groupBy(ID, FRAME, LAB, "siteid").agg(
+        F.count_if(usable).alias("__rows"),
+        F.count_if(has).alias("__known"),
+        *[F.max(F.when(has, F.col(f))).alias(f"__k_{f}") for f in flags],
+        F.coalesce(
+            F.max(F.when(highs & F.col(HIGH).isNull(), F.col(RESULT))),
+            F.min(F.when(lows & F.col(LOW).isNull(), F.col(RESULT))),
+        ).alias(RESULT),
+        F.min(F.when(highs, F.col(HIGH))).alias(HIGH),
+        F.max(F.when(lows, F.col(LOW))).alias(LOW),
+    )
+    # for the extreme row the kidney flags are already known and stay out
+    filled = grade_rows(impute_constant(groups, rules).withColumn("crcl", F.lit(None).cast("double")))
+    open_row = F.col(RESULT).isNotNull()
+    merged = [
+        F.max(F.greatest(F.col(f"__k_{f}"), F.when(open_row, F.col(f)))).alias(f"{f}_lab")
+        for f in flags
+    ]
+    counts = [
+        F.sum(F.when(lab_rows_of(c), F.col("__rows")).otherwise(0)).alias(f"{c}_lab_rows")
+        for c in LAB_CONDITIONS
+    ]
+    out = filled.groupBy(ID, FRAME).agg(*merged, *counts, F.sum("__known").alias("__known"))
+    return out.where("__known > 0").drop("__known")
+
+
 def icd_flags(
     icd: DataFrame, flags: list[str] = ICD_FLAGS, keys: tuple[str, ...] = (ID, FRAME)
 ) -> DataFrame:

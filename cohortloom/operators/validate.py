@@ -91,22 +91,32 @@ def pair_counts(
         .groupBy(*flags, *masks)
         .agg(F.count("*").alias("__n"))
     )
-    cells = F.array(
-        *[
+    per_condition = []
+    for c in conditions:
+        tests = [
             F.struct(
-                F.lit(s.name).alias("subset"),
-                F.lit(p.condition).alias("condition"),
                 F.lit(p.test).alias("test"),
                 F.lit(p.against).alias("against"),
-                F.col(f"__s{i}_{p.condition}").alias("kept"),
                 F.col(p.test_col).cast("int").alias("t"),
                 F.col(p.ref_col).cast("int").alias("r"),
             )
-            for i, s in enumerate(subsets)
             for p in pairs
+            if p.condition == c
         ]
+        kept = [F.when(F.col(f"__s{i}_{c}"), F.lit(s.name)) for i, s in enumerate(subsets)]
+        per_condition.append(
+            F.struct(
+                F.lit(c).alias("condition"),
+                F.array_compact(F.array(*kept)).alias("kept"),
+                F.array(*tests).alias("tests"),
+            )
+        )
+    long = (
+        combos.select("__n", F.inline(F.array(*per_condition)))
+        .select("__n", "condition", F.explode("kept").alias("subset"), "tests")
+        .select("__n", "condition", "subset", F.inline("tests"))
+        .where("t IS NOT NULL AND r IS NOT NULL")
     )
-    long = combos.select("__n", F.inline(cells)).where("kept AND t IS NOT NULL AND r IS NOT NULL")
     t, r = F.col("t"), F.col("r")
     count = lambda c: F.coalesce(F.sum(F.when(c, F.col("__n"))), F.lit(0))
     return long.groupBy("subset", "condition", "test", "against").agg(

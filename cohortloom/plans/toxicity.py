@@ -72,6 +72,10 @@ def graded_labs(src: Sources) -> DataFrame:
     return T.grade_rows(T.creatinine_clearance(limited_labs(src)))
 
 
+def lab_person_flags(src: Sources) -> DataFrame:
+    return T.any_lab_flags(T.creatinine_clearance(L.blank_limits(framed_labs(src))))
+
+
 def chart_in_window(src: Sources) -> DataFrame:
     people = src.cohort.select("studyid", "surgery_d", "surgery_dt", "first_chemo_dt", "last_chemo_dt")
     return C.chart_window(src.chart.join(people, "studyid"))
@@ -80,7 +84,7 @@ def chart_in_window(src: Sources) -> DataFrame:
 def person_frames(src: Sources) -> DataFrame:
     """Every adjuvant person and frame with all code and laboratory flags."""
     return T.complete_scaffold(
-        C.adjuvant(src.cohort), T.icd_flags(framed_icd(src)), T.lab_flags(graded_labs(src))
+        C.adjuvant(src.cohort), T.icd_flags(framed_icd(src)), lab_person_flags(src)
     )
 
 
