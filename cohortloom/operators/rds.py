@@ -409,8 +409,9 @@ def convergence(df: DataFrame, frame: Frame = Frame(), by: list[str] | None = No
     """RDS-II estimate on the first m respondents for every m (per ``by`` when given)."""
     by = by or []
     d = F.col(frame.degree)
+    roles = [frame.id, frame.order, frame.degree, frame.outcome]
     ran = running_sums(
-        df,
+        checkpointed(df.select(*dict.fromkeys([*by, *roles]))),
         by,
         F.col(frame.order),
         [F.col(frame.order), F.col(frame.id)],

@@ -153,6 +153,8 @@ def exact_quantiles(
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("__c")
     )
+    # cut points, bucket totals and ranks all read the collapsed rows, not the input
+    counted = checkpointed(counted)
     v = F.col(value)
     ranked = running_sums(counted, keys, v, [v], {"__cum": F.col("__c")}, True, buckets)
     first = F.col("__cum") - F.col("__c")
