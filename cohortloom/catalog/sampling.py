@@ -60,7 +60,18 @@ def _(v):
     return R.rds_i_binary(v.rds)
 
 
-@query("k6_rds_i_categories")
+_POWER = {
+    "moves": """
+SELECT o.y_cat AS g, r.y_cat AS h, COUNT(*) * 1.0 / SUM(COUNT(*)) OVER (PARTITION BY o.y_cat) AS s FROM rds r JOIN rds o ON r.recruiter_id = o.id GROUP BY 1, 2""",
+    "degs": "SELECT y_cat AS g, COUNT(*) / SUM(1.0 / network_size) AS hd FROM rds GROUP BY 1",
+    "flow": """
+SELECT 0 AS i, g, 1.0 / (SELECT COUNT(*) FROM degs) AS p FROM degs
+UNION ALL SELECT i + 1, h, SUM(p * s) FROM flow JOIN moves ON flow.g = moves.g WHERE i < 200 GROUP BY i, h""",
+}
+
+
+@query("k6_rds_i_categories", f"""
+SELECT f.g AS level, {r6('p / hd / SUM(p / hd) OVER ()')} AS estimate FROM flow f JOIN degs d ON f.g = d.g WHERE i = 200""", _POWER)
 def _(v):
     return R.rds_i(v.rds, CAT)
 
@@ -206,11 +217,19 @@ def _(v):
     return R.seed_dependence(v.rds, CAT)
 
 
-@query("k19_estimator_comparison")
+@query("k19_estimator_comparison", f"""
+SELECT 'RDS-I' AS estimator, {r6('s01 * hd0 / (s01 * hd0 + s10 * hd1)')} AS estimate FROM two
+UNION ALL SELECT 'RDS-II', {r6('SUM(y * 1.0 / network_size) / SUM(1.0 / network_size)')} FROM rds
+UNION ALL SELECT 'SS', {r6(f'SUM({_SS_W} * y) / SUM({_SS_W})')} FROM rds, rate""")
 def _(v):
     return R.compare(v.rds, size_of(v))
 
 
+@query("k19_estimator_comparison_timed")
+def _(v):
+    return R.compare(v.rds, size_of(v), timed=True)
+
+
 _PRESENT = {
     "population size unknown": "FALSE",
     "large sampling fraction": "n > 0.5 * 2 * n",

@@ -574,11 +574,14 @@ def seed_dependence(df: DataFrame, frame: Frame = Frame()) -> DataFrame:
     return out.withColumn("difference", F.col("seed_share") - F.col("share"))
 
 
-def compare(df: DataFrame, size: float, frame: Frame = Frame()) -> DataFrame:
-    """RDS-I, RDS-II, SS and HCG estimates of a 0/1 outcome side by side."""
-    hcg = hcg_estimate(df, size, frame).where("level = 1")
-    hcg = hcg.select(F.lit("HCG").alias("estimator"), "estimate")
-    parts = [rds_i_binary(df, frame), rds_ii(df, frame), ss_estimate(df, size, frame), hcg]
+def compare(
+    df: DataFrame, size: float, frame: Frame = Frame(), timed: bool = False
+) -> DataFrame:
+    """RDS-I, RDS-II and SS estimates of a 0/1 outcome side by side; HCG too when ``timed``."""
+    parts = [rds_i_binary(df, frame), rds_ii(df, frame), ss_estimate(df, size, frame)]
+    if timed:
+        hcg = hcg_estimate(df, size, frame).where("level = 1")
+        parts.append(hcg.select(F.lit("HCG").alias("estimator"), "estimate"))
     return reduce(DataFrame.unionByName, parts)
 
 
