@@ -254,7 +254,7 @@ def _solve_rate(degree: np.ndarray, count: np.ndarray, size: float) -> float:
     if size < count.sum():
         raise ValueError("the population cannot be smaller than the sample")
     lo, hi = math.log(1e-18), math.log(1e3)
-    for _ in range(200):
+    for _ in range(100):
         mid = (lo + hi) / 2
         total = float((count / -np.expm1(-degree * math.exp(mid))).sum())
         lo, hi = (mid, hi) if total > size else (lo, mid)
@@ -345,8 +345,7 @@ def hcg_fit(
         a = np.vstack([mixing.T - np.eye(k), np.ones(k)])
         flow, *_ = np.linalg.lstsq(a, np.append(np.zeros(k), 1.0), rcond=None)
         target = np.clip(flow, 1e-12, None) / (volume / np.array([p.sum() for p in pools]))
-        new = np.maximum(size * target / target.sum(), n)
-        new *= size / new.sum()
+        new = _at_least(target, n, size)
         done = np.max(np.abs(new - sizes)) < 1e-10 * size
         sizes = (sizes + new) / 2
         if done:
@@ -354,17 +353,23 @@ def hcg_fit(
     return Homophily(levels, sizes, rates, mixing)
 
 
+def _at_least(target: np.ndarray, floor: np.ndarray, total: float) -> np.ndarray:
+    """Rescale ``target`` to ``total`` with no group below ``floor``."""
+    lo, hi = 0.0, total / target.sum()
+    for _ in range(100):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if np.maximum(mid * target, floor).sum() < total else (lo, mid)
+    return np.maximum(hi * target, floor)
+
+
 def _degree_left(pool, degree, drawn, last_rate):
     """Degree still in the pool after each cumulative number of draws."""
-    out = []
-    for m in drawn:
-        lo, hi = 0.0, max(last_rate, 1e-18)
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            gone = float((pool * -np.expm1(-degree * mid)).sum())
-            lo, hi = (mid, hi) if gone < m else (lo, mid)
-        out.append(float((pool * degree * np.exp(-degree * (lo + hi) / 2)).sum()))
-    return np.array(out)
+    lo, hi = np.zeros(len(drawn)), np.full(len(drawn), max(last_rate, 1e-18))
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        gone = -np.expm1(-np.outer(mid, degree)) @ pool
+        lo, hi = np.where(gone < drawn, mid, lo), np.where(gone < drawn, hi, mid)
+    return np.exp(-np.outer((lo + hi) / 2, degree)) @ (pool * degree)
 
 
 def hcg_estimate(df: DataFrame, size: float, frame: Frame = Frame()) -> DataFrame:
