@@ -310,7 +310,7 @@ def _(v):
 
 @query("h9_chart_flags", "SELECT * FROM chartpf")
 def _(v):
-    return T.chart_flags(P.chart_in_window(sources(v)))
+    return P.chart_person_flags(sources(v))
 
 
 @query("h10_symmetric_completion", """
@@ -363,7 +363,7 @@ _TOX = [f"{c}_tox" for c in CHART_CONDITIONS]
 @query("h13_chart_merge", f"SELECT studyid, {', '.join(_TOX)}, anemia_flag_icd FROM merged")
 def _(v):
     src = sources(v)
-    merged = T.merge_chart(P.person_frames(src), T.chart_flags(P.chart_in_window(src)))
+    merged = T.merge_chart(P.person_frames(src), P.chart_person_flags(src))
     return merged.select("studyid", *_TOX, "anemia_flag_icd")
 
 
@@ -385,7 +385,7 @@ def _(v):
     neuro = chart.where("toxicityname = 'Neuropathy'")
     return T.neuropathy_merge(
         flags,
-        T.chart_flags(chart),
+        P.chart_person_flags(src),
         T.first_dates(late, "co_tox_dx_code_date", "first_icd_date"),
         T.first_dates(neuro, "toxicitydate", "first_tox_date"),
         v.cohort,
@@ -400,7 +400,7 @@ _WIDE = [*[f"{c}_flag_icd" for c in ICD_CONDITIONS], *_LAB_COLS, *_TOX,
 SELECT studyid, {', '.join(_WIDE)}, {r6('dx_bmi')} AS dx_bmi, {r6('chemo_bmi')} AS chemo_bmi, final_rct FROM merged""")
 def _(v):
     src = sources(v)
-    merged = T.merge_chart(P.person_frames(src), T.chart_flags(P.chart_in_window(src)))
+    merged = T.merge_chart(P.person_frames(src), P.chart_person_flags(src))
     return merged.select("studyid", *_WIDE, "dx_bmi", "chemo_bmi", "final_rct")
 
 

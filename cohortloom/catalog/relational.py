@@ -232,7 +232,7 @@ SELECT COALESCE(c.studyid, i.studyid) AS studyid, i.time_frame, c.neuropathy_tox
 FROM chartpf c FULL JOIN (SELECT * FROM icdpf WHERE time_frame = 4) i ON c.studyid = i.studyid""")
 def _(v):
     src = sources(v)
-    chart = T.chart_flags(P.chart_in_window(src)).select("studyid", "neuropathy_tox")
+    chart = P.chart_person_flags(src).select("studyid", "neuropathy_tox")
     icd = T.icd_flags(P.framed_icd(src)).where("time_frame = 4")
     icd = icd.select("studyid", "time_frame", "neuropathy_flag_icd")
     return chart.join(icd, "studyid", "full")
@@ -438,7 +438,9 @@ def _(v):
     rows = v.table("orders").select(
         F.col("o_custkey").alias("studyid"), "o_orderkey", F.col("o_orderdate").cast("date").alias("od")
     )
-    numbered = number_rows(rows, ["studyid"], F.unix_date("od"), [F.col("od"), F.col("o_orderkey")])
+    numbered = number_rows(
+        rows, ["studyid"], [F.unix_date("od"), F.col("o_orderkey")], [F.col("od"), F.col("o_orderkey")]
+    )
     return numbered.drop("od")
 
 

@@ -162,6 +162,26 @@ def _(v):
     return R.convergence(R.with_waves(v.rds), by=["seed_id"])
 
 
+@query("k12_convergence_grid_timed")
+def _(v):
+    return R.convergence_grid(v.rds, size_of(v), timed=True)
+
+
+@query("k13_bottleneck_grid")
+def _(v):
+    return R.convergence_grid(R.with_waves(v.rds), size_of(v), by=["seed_id"], timed=True)
+
+
+@query("k14_differential_activity_timed")
+def _(v):
+    return R.weighted_degrees(v.rds, size_of(v), timed=True)
+
+
+@query("k16_population_homophily_timed")
+def _(v):
+    return R.population_homophily(v.rds, size_of(v), timed=True)
+
+
 _ACT = {
     "RDS-I": "1.0",
     "RDS-II": "(1.0 / network_size)",

@@ -164,11 +164,15 @@ def missing_mode_report(lab: DataFrame, limit: str, labs: list[int]) -> DataFram
     return long.where("n_missing > 0").withColumn("percent_missing", pct)
 
 
-def impute_own_record(lab: DataFrame, rules: list[LimitRule] = LIMIT_RULES) -> DataFrame:
+def impute_own_record(
+    lab: DataFrame, rules: list[LimitRule] = LIMIT_RULES, compat: bool = False
+) -> DataFrame:
     """Fill a missing limit from the same person, frame and lab.
 
     Only groups that hold both missing and known limits are joined back, so the right side is
-    small and a hot person is reduced on the map side instead of being sorted in a window.
+    small and a hot person is reduced on the map side instead of being sorted in a window. ``compat``
+    fills neutrophil limits only for people who also lack a hemoglobin limit, as the source analysis
+    does (it selects those people by the wrong lab code).
     """
     specs = {(c, how): [r.lab for r in rules if (r.column, r.own) == (c, how)]
              for c, how in {(r.column, r.own) for r in rules}}
@@ -186,6 +190,10 @@ def impute_own_record(lab: DataFrame, rules: list[LimitRule] = LIMIT_RULES) -> D
         .where(any_of(keep))
         .select(ID, FRAME, LAB, *[f"__own_{c}_{how}" for c, how in sorted(specs)])
     )
+    if compat:
+        lacking = lab.where((F.col(LAB) == HEMOGLOBIN) & F.col(LOW).isNull()).select(ID).distinct()
+        anc = groups.where(F.col(LAB) == ANC).join(lacking, ID, "left_semi")
+        groups = groups.where(F.col(LAB) != ANC).unionByName(anc)
     filled = lab.join(groups, [ID, FRAME, LAB], "left")
     for c, how in sorted(specs):
         filled = filled.withColumn(c, F.coalesce(c, f"__own_{c}_{how}"))

@@ -291,9 +291,7 @@ class Homophily:
     mixing: np.ndarray
 
 
-def hcg_fit(
-    df: DataFrame, size: float, frame: Frame = Frame(), slices: int = 50, rounds: int = 500
-) -> Homophily:
+def hcg_fit(df: DataFrame, size: float, frame: Frame = Frame(), slices: int = 50) -> Homophily:
     """Group sizes under time-ordered, without-replacement sampling with homophily.
 
     Within a group, people leave the pool in proportion to degree; a recruiter's choice of group
@@ -301,40 +299,60 @@ def hcg_fit(
     that time. Spark reduces the data to a (time slice, group, degree) histogram and (time slice,
     group, group) recruitment counts; the fixed point is solved on those.
     """
-    timed = running_sums(df, [], F.col(frame.order), [F.col(frame.order), F.col(frame.id)],
-                         {"__rn": F.lit(1)}, True)
-    sliced = timed.withColumn("slice", F.ceil(F.col("__rn") * slices / F.col("__rn_total")) - 1)
-    hist = _bounded(
-        sliced.groupBy("slice", F.col(frame.outcome).alias("level"), F.col(frame.degree).alias("d"))
-        .agg(F.count("*").alias("n"))
+    hist, moves = _timed_cells(_with_slice(df, frame, slices), frame)
+    return _hcg_solve(_bounded(hist), _bounded(moves), size, slices)
+
+
+def _timed_cells(
+    sliced: DataFrame, frame: Frame, by: list[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Histogram (slice, level, d, n) and recruitments (slice, g, h, r), per ``by``.
+
+    A recruitment falls in the later of its two ends' slices: it exists once both are in the sample.
+    """
+    by = by or []
+    d, y = F.col(frame.degree).alias("d"), F.col(frame.outcome)
+    hist = sliced.groupBy(*by, "slice", y.alias("level"), d).agg(F.count("*").alias("n"))
+    owners = sliced.select(F.col(frame.id).alias("__o"), y.alias("g"), F.col("slice").alias("__gs"))
+    made = (
+        sliced.where(F.col(frame.recruiter).isNotNull())
+        .groupBy(*by, F.col(frame.recruiter).alias("__o"), y.alias("h"), "slice")
+        .agg(F.count("*").alias("__n"))
+    )
+    moves = (
+        made.join(owners, "__o")
+        .withColumn("slice", F.greatest("slice", "__gs"))
+        .groupBy(*by, "slice", "g", "h")
+        .agg(F.sum("__n").alias("r"))
     )
-    moves = _bounded(recruitment_counts(sliced, frame, ["slice"]))
+    return hist, moves
+
+
+def _hcg_solve(
+    hist: pd.DataFrame, moves: pd.DataFrame, size: float, slices: int, rounds: int = 500
+) -> Homophily:
     levels = sorted(hist["level"].unique().tolist())
     k, at = len(levels), {v: i for i, v in enumerate(levels)}
     r = np.zeros((slices, k, k))
     for g, h, s, n in moves[["g", "h", "slice", "r"]].itertuples(index=False):
-        r[int(s), at[g], at[h]] = n
+        r[int(s) - 1, at[g], at[h]] += n
     taken = np.zeros((slices, k))
-    for s, v, n in hist.groupby(["slice", "level"])["n"].sum().reset_index().itertuples(index=False):
-        taken[int(s), at[v]] = n
-    by_degree = [
-        hist[hist["level"] == v].groupby("d")["n"].sum().reset_index() for v in levels
-    ]
+    for s, v, n in hist[["slice", "level", "n"]].itertuples(index=False):
+        taken[int(s) - 1, at[v]] += n
+    by_degree = [hist[hist["level"] == v].groupby("d")["n"].sum().reset_index() for v in levels]
     degree = [b["d"].to_numpy(float) for b in by_degree]
     count = [b["n"].to_numpy(float) for b in by_degree]
     n = np.array([c.sum() for c in count])
     sizes = size * n / n.sum()
     mixing = r.sum(axis=0) + 1e-9
     mixing /= mixing.sum(axis=1, keepdims=True)
-    rates = np.zeros(k)
+    rates, volume = np.zeros(k), np.zeros(k)
     for _ in range(rounds):
-        used, left = [], np.ones((slices, k))
-        pools, volume = [], np.zeros(k)
+        left, heads = np.ones((slices, k)), np.zeros(k)
         for h in range(k):
             rates[h] = _solve_rate(degree[h], count[h], max(sizes[h], n[h]))
             pool = count[h] / -np.expm1(-degree[h] * rates[h])
-            pools.append(pool)
-            volume[h] = (pool * degree[h]).sum()
+            heads[h], volume[h] = pool.sum(), (pool * degree[h]).sum()
             drawn = np.concatenate([[0.0], np.cumsum(taken[:, h])[:-1]])
             left[:, h] = _degree_left(pool, degree[h], drawn, rates[h]) / volume[h]
         for _ in range(20):
@@ -344,9 +362,9 @@ def hcg_fit(
             mixing /= mixing.sum(axis=1, keepdims=True)
         a = np.vstack([mixing.T - np.eye(k), np.ones(k)])
         flow, *_ = np.linalg.lstsq(a, np.append(np.zeros(k), 1.0), rcond=None)
-        target = np.clip(flow, 1e-12, None) / (volume / np.array([p.sum() for p in pools]))
+        target = np.clip(flow, 1e-12, None) / (volume / heads)
         new = _at_least(target, n, size)
-        done = np.max(np.abs(new - sizes)) < 1e-10 * size
+        done = np.max(np.abs(new - sizes)) < 1e-8 * size
         sizes = (sizes + new) / 2
         if done:
             break
@@ -404,10 +422,7 @@ def hcg_weights(df: DataFrame, size: float, frame: Frame = Frame()) -> DataFrame
     """Homophily-model weight per respondent, scaled to mean 1."""
     fit = hcg_fit(df, size, frame)
     total = df.agg(F.count("*").alias("n")).first()["n"]
-    w = F.lit(None).cast("double")
-    for v, rate in zip(fit.levels, fit.rates):
-        w = F.when(F.col(frame.outcome) == v, ss_weight(float(rate), frame)).otherwise(w)
-    return df.withColumn("w_hcg", w * (total / size))
+    return df.withColumn("w_hcg", _hcg_row_weight(fit, frame) * (total / size))
 
 
 def convergence(df: DataFrame, frame: Frame = Frame(), by: list[str] | None = None) -> DataFrame:
@@ -418,88 +433,110 @@ def convergence(df: DataFrame, frame: Frame = Frame(), by: list[str] | None = No
     ran = running_sums(
         checkpointed(df.select(*dict.fromkeys([*by, *roles]))),
         by,
-        F.col(frame.order),
+        [F.col(frame.order)],
         [F.col(frame.order), F.col(frame.id)],
         {"m": F.lit(1), "__wy": F.col(frame.outcome) * _inverse(d), "__w": _inverse(d)},
     )
     return ran.select(*by, frame.id, "m", ratio(F.col("__wy"), F.col("__w")).alias("estimate"))
 
 
-def _with_slice(df: DataFrame, frame: Frame, points: int) -> DataFrame:
-    ranked = running_sums(df, [], F.col(frame.order), [F.col(frame.order), F.col(frame.id)],
+def _with_slice(
+    df: DataFrame, frame: Frame, points: int, by: list[str] | None = None
+) -> DataFrame:
+    """Equal parts 1..points of the sample in recruitment order (of each ``by`` group)."""
+    by = by or []
+    roles = [frame.id, frame.recruiter, frame.degree, frame.outcome, frame.order]
+    src = checkpointed(df.select(*dict.fromkeys([*by, *roles])))
+    ranked = running_sums(src, by, [F.col(frame.order)], [F.col(frame.order), F.col(frame.id)],
                           {"__rn": F.lit(1)}, True)
     cut = F.ceil(F.col("__rn") * points / F.col("__rn_total")).cast("int")
     return ranked.withColumn("slice", cut).drop("__rn", "__rn_total")
 
 
-def convergence_grid(df: DataFrame, size: float, frame: Frame = Frame(), points: int = 20):
-    """RDS-I and SS estimates on the first 1/points, 2/points, ... of the sample.
+def convergence_grid(
+    df: DataFrame,
+    size: float,
+    frame: Frame = Frame(),
+    points: int = 20,
+    by: list[str] | None = None,
+    timed: bool = False,
+) -> DataFrame:
+    """RDS-I and SS (and HCG when ``timed``) on the first 1/points, 2/points, ... of the sample.
 
-    A recruitment counts from the moment both ends are in the sample. Spark reduces the data to
-    per-slice counts; each slice then adds to every later cut point.
+    With ``by`` (say the seed) every group is followed on its own. Spark reduces respondents to counts
+    per slice; each slice then adds to every later cut point, and the small count table of one cut
+    point is what the solvers see.
     """
-    sliced = _with_slice(df, frame, points)
-    d, y = F.col(frame.degree), F.col(frame.outcome)
+    by = by or []
+    keys = [*by, "cut_point"]
+    hist, moves = _timed_cells(_with_slice(df, frame, points, by), frame, by)
+    # both count tables feed several steps
+    hist, moves = checkpointed(hist), checkpointed(moves)
     later = F.explode(F.sequence(F.col("slice"), F.lit(points))).alias("cut_point")
-    deg = (
-        sliced.groupBy("slice", y.alias("level"), d.alias("d"))
-        .agg(F.count("*").alias("n"))
-        .select("level", "d", "n", later)
-        .groupBy("cut_point", "level", "d")
-        .agg(F.sum("n").alias("n"))
-    )
-    owners = sliced.select(
-        F.col(frame.id).alias("__o"), y.alias("g"), F.col("slice").alias("__gs")
-    )
-    made = (
-        sliced.where(F.col(frame.recruiter).isNotNull())
-        .groupBy(F.col(frame.recruiter).alias("__o"), y.alias("h"), "slice")
-        .agg(F.count("*").alias("__n"))
-    )
-    rec = (
-        made.join(owners, "__o")
-        .withColumn("slice", F.greatest("slice", "__gs"))
-        .groupBy("g", "h", "slice")
-        .agg(F.sum("__n").alias("__n"))
-        .select("g", "h", "__n", later)
-        .groupBy("cut_point")
-        .agg(
-            *[
-                F.coalesce(
-                    F.sum(F.when((F.col("g") == g) & (F.col("h") == h), F.col("__n"))), F.lit(0)
-                ).alias(f"r{g}{h}")
-                for g in (0, 1)
-                for h in (0, 1)
-            ]
-        )
-    )
+    deg = hist.select(*by, "slice", "level", "d", "n", later)
+    rec = moves.select(*by, "slice", "g", "h", "r", later)
     inv = lambda lvl: F.sum(F.when(F.col("level") == lvl, F.col("n") * _inverse(F.col("d"))))
     num = lambda lvl: F.sum(F.when(F.col("level") == lvl, F.col("n")))
-    groups = deg.groupBy("cut_point").agg(
+    went = lambda g, h: F.coalesce(
+        F.sum(F.when((F.col("g") == g) & (F.col("h") == h), F.col("r"))), F.lit(0))
+    groups = deg.groupBy(*keys).agg(
         F.sum("n").alias("m"),
         *[ratio(num(lvl), inv(lvl)).alias(f"harmonic_degree{lvl}") for lvl in (0, 1)],
     )
-    rds1 = groups.join(rec, "cut_point", "left").withColumns(
+    flows = rec.groupBy(*keys).agg(*[went(g, h).alias(f"r{g}{h}") for g in (0, 1) for h in (0, 1)])
+    first = join_null_safe(groups, flows, keys, "left").withColumns(
         {
             "s01": ratio(F.col("r01"), F.col("r00") + F.col("r01")),
             "s10": ratio(F.col("r10"), F.col("r10") + F.col("r11")),
         }
-    ).select("cut_point", "m", _rds_i_expr().alias("rds_i"))
-    hist = _bounded(deg)
-    rows = []
-    for cut, part in hist.groupby("cut_point"):
-        dd, nn = part["d"].to_numpy(float), part["n"].to_numpy(float)
-        w = nn / -np.expm1(-dd * _solve_rate(dd, nn, size))
-        rows.append((int(cut), float((w * part["level"].to_numpy(float)).sum() / w.sum())))
-    ss = df.sparkSession.createDataFrame(rows, "cut_point int, ss double")
-    return rds1.join(ss, "cut_point")
+    ).select(*keys, "m", _rds_i_expr().alias("rds_i"))
+    kinds = {f.name: f.dataType.simpleString() for f in deg.schema}
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys)
+
+    def ss_of(key, part):
+        flat = part.groupby(["level", "d"])["n"].sum().reset_index()
+        d, n = flat["d"].to_numpy(float), flat["n"].to_numpy(float)
+        w = n / -np.expm1(-d * _solve_rate(d, n, size))
+        share = float((w * flat["level"].to_numpy(float)).sum() / w.sum())
+        return pd.DataFrame([[*key, share]], columns=[*keys, "ss"])
+
+    def hcg_of(key, part, made):
+        fit = _hcg_solve(part, made, size, points)
+        share = sum(v * s for v, s in zip(fit.levels, fit.sizes)) / size
+        return pd.DataFrame([[*key, float(share)]], columns=[*keys, "hcg"])
+
+    # one group is the count table of one cut point: slices x levels x distinct degrees; solving is
+    # the cost, so groups are spread over all cores however small the tables are
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    deg, rec = deg.repartition(cores, *keys), rec.repartition(cores, *keys)
+    out = join_null_safe(
+        first, deg.groupBy(*keys).applyInPandas(ss_of, f"{schema}, ss double"), keys, "inner"
+    )
+    if timed:
+        both = deg.groupBy(*keys).cogroup(rec.groupBy(*keys))
+        out = join_null_safe(
+            out, both.applyInPandas(hcg_of, f"{schema}, hcg double"), keys, "inner"
+        )
+    return out
+
 
+def _hcg_row_weight(fit: Homophily, frame: Frame) -> Column:
+    """Inverse inclusion probability by group and degree."""
+    w = F.lit(None).cast("double")
+    for v, rate in zip(fit.levels, fit.rates):
+        w = F.when(F.col(frame.outcome) == v, ss_weight(float(rate), frame)).otherwise(w)
+    return w
 
-def weighted_degrees(df: DataFrame, size: float, frame: Frame = Frame()) -> DataFrame:
+
+def weighted_degrees(
+    df: DataFrame, size: float, frame: Frame = Frame(), timed: bool = False
+) -> DataFrame:
     """Mean degree per 0/1 group under each weight type, and its ratio (differential activity)."""
     d, y = F.col(frame.degree), F.col(frame.outcome)
     w = ss_weight(ss_rate(df, size, frame), frame)
     types = {"RDS-I": F.lit(1.0), "RDS-II": _inverse(d), "SS": w}
+    if timed:
+        types["HCG"] = _hcg_row_weight(hcg_fit(df, size, frame), frame)
     aggs = []
     for name, weight in types.items():
         for lvl in (0, 1):
@@ -534,7 +571,9 @@ def recruitment_homophily(df: DataFrame, frame: Frame = Frame()) -> DataFrame:
     )
 
 
-def population_homophily(df: DataFrame, size: float, frame: Frame = Frame()) -> DataFrame:
+def population_homophily(
+    df: DataFrame, size: float, frame: Frame = Frame(), timed: bool = False
+) -> DataFrame:
     """Discordant ties expected without homophily over those expected with the observed mixing."""
     row = _two_group_row(recruitment_counts(df, frame), group_degrees(df, frame))
     two = df.agg(
@@ -548,12 +587,22 @@ def population_homophily(df: DataFrame, size: float, frame: Frame = Frame()) ->
     )
     one = lambda x: x.withColumn("__k", F.lit(1))
     wide = one(row).join(one(two), "__k").join(one(ss), "__k").withColumn("p_i", _rds_i_expr())
-    rows = []
-    for name, p, d1, d0 in (
+    types = [
         ("RDS-I", "p_i", "mean_degree1", "mean_degree0"),
         ("RDS-II", "p_ii", "harmonic_degree1", "harmonic_degree0"),
         ("SS", "p_ss", "d_ss1", "d_ss0"),
-    ):
+    ]
+    if timed:
+        v = _hcg_row_weight(hcg_fit(df, size, frame), frame)
+        hcg = df.agg(
+            ratio(F.sum(v * y), F.sum(v)).alias("p_hcg"),
+            *[ratio(F.sum(F.when(y == g, v * d)), F.sum(F.when(y == g, v))).alias(f"d_hcg{g}")
+              for g in (0, 1)],
+        )
+        wide = wide.join(one(hcg), "__k")
+        types.append(("HCG", "p_hcg", "d_hcg1", "d_hcg0"))
+    rows = []
+    for name, p, d1, d0 in types:
         a, b = F.col(p) * F.col(d1), (1 - F.col(p)) * F.col(d0)
         mixed = (a * F.col("s10") + b * F.col("s01")) / 2
         rows.append(
@@ -673,6 +722,9 @@ def bootstrap(
 ) -> DataFrame:
     """Chain bootstrap intervals for RDS-I and RDS-II (Salganik 2006), replicates in parallel.
 
+    With a population ``size`` the SS estimate is replicated too, and RDS-I and RDS-II intervals carry
+    the finite-population factor.
+
     A replicate redraws the whole sample: the next respondent's group follows the recruits of the
     current group, and the degree is drawn among those recruits. Only recruitment cells (recruiter
     group, group, degree) are shipped to the tasks; chains are split into pieces of ``chain`` draws,
@@ -720,16 +772,26 @@ def bootstrap(
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                inv = [0.0, 0.0]
+                drawn = []
                 for g in (0, 1):
                     for h in (0, 1):
                         m = int(getattr(row, f"m{g}{h}"))
                         if m and (g, h) in draws:
                             gen = np.random.default_rng([seed, int(row.rep), 1_000_000_007, 2 * g + h])
                             d, q = draws[(g, h)]
-                            inv[h] += float((gen.multinomial(m, q) / d).sum())
-                out.append((row.rep, row.m00, row.m01, row.m10, row.m11, *inv))
-            yield pd.DataFrame(out, columns=["rep", "r00", "r01", "r10", "r11", "inv0", "inv1"])
+                            drawn.append(pd.DataFrame({"h": h, "d": d, "n": gen.multinomial(m, q)}))
+                hist = pd.concat(drawn)
+                hist = hist[hist["n"] > 0]
+                inv = [float((p["n"] / p["d"]).sum()) for p in (hist[hist["h"] == h] for h in (0, 1))]
+                ss = None
+                if size:
+                    d, c = hist["d"].to_numpy(), hist["n"].to_numpy(float)
+                    w = c / -np.expm1(-d * _solve_rate(d, c, max(size, c.sum())))
+                    ss = float((w * hist["h"].to_numpy()).sum() / w.sum())
+                out.append((row.rep, row.m00, row.m01, row.m10, row.m11, *inv, ss))
+            yield pd.DataFrame(
+                out, columns=["rep", "r00", "r01", "r10", "r11", "inv0", "inv1", "ss"]
+            ).astype({"ss": "float64"})
 
     moves = "m00 long, m01 long, m10 long, m11 long"
     units = df.sparkSession.range(replicates * pieces)
@@ -739,7 +801,8 @@ def bootstrap(
         .agg(*[F.sum(f"m{c}").alias(f"m{c}") for c in ("00", "01", "10", "11")])
     )
     reps = summed.mapInPandas(
-        attach_degrees, "rep long, r00 long, r01 long, r10 long, r11 long, inv0 double, inv1 double"
+        attach_degrees,
+        "rep long, r00 long, r01 long, r10 long, r11 long, inv0 double, inv1 double, ss double",
     )
     reps = reps.withColumns(
         {
@@ -750,13 +813,16 @@ def bootstrap(
         }
     )
     two = ratio(F.col("inv1"), F.col("inv0") + F.col("inv1"))
-    shrink = math.sqrt(1 - n / size) if size else 1.0
-    spread = reps.select(_rds_i_expr("d0", "d1").alias("RDS-I"), two.alias("RDS-II")).agg(
-        F.stddev("RDS-I").alias("RDS-I"), F.stddev("RDS-II").alias("RDS-II")
-    ).unpivot([], ["RDS-I", "RDS-II"], "estimator", "se")
+    names = ["RDS-I", "RDS-II", *(["SS"] if size else [])]
+    spread = reps.select(
+        _rds_i_expr("d0", "d1").alias("RDS-I"), two.alias("RDS-II"), F.col("ss").alias("SS")
+    ).agg(*[F.stddev(c).alias(c) for c in names]).unpivot([], names, "estimator", "se")
     points = rds_i_binary(df, frame).unionByName(rds_ii(df, frame))
+    if size:
+        points = points.unionByName(ss_estimate(df, size, frame))
     z = M.z_value(conf)
-    se = F.col("se") * shrink
+    shrink = math.sqrt(1 - n / size) if size else 1.0
+    se = F.col("se") * F.when(F.col("estimator") == "SS", 1.0).otherwise(shrink)
     return points.join(spread, "estimator").select(
         "estimator",
         "estimate",

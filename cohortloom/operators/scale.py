@@ -7,8 +7,10 @@ together through a small table of bucket totals.
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
+from collections import Counter
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
@@ -67,32 +69,51 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Equi-join in which a null key equals a null key; key columns come from the left."""
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
-    cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"__r_{k}"]) for k in keys])
+    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
 def _cut_points(df: DataFrame, x: Column, buckets: int) -> list[float]:
-    """Distinct interior cut points from an approximate quantile sketch (at most ``buckets``)."""
+    """Interior cut points from an approximate quantile sketch (fewer than ``buckets``)."""
     probs = [i / buckets for i in range(1, buckets)]
-    values = df.select(x.cast("double").alias("__x")).approxQuantile("__x", probs, 0.5 / buckets)
-    return sorted(set(values))
+    return df.select(x.cast("double").alias("__x")).approxQuantile("__x", probs, 0.5 / buckets)
 
 
-def with_order_bucket(df: DataFrame, x: Column, name: str, buckets: int = BUCKETS) -> DataFrame:
-    """Monotone bucket of ``x``; equal values share a bucket. Cut points only affect balance."""
-    cuts = _cut_points(df, x, buckets)
-    if not cuts:
+def _sized(df: DataFrame, x: Column, splits: list[float], name: str) -> DataFrame:
+    if not splits:
         return df.withColumn(name, F.lit(0.0))
     inf = float("inf")
-    sizer = Bucketizer(splits=[-inf, *cuts, inf], inputCol="__x", outputCol=name)
+    sizer = Bucketizer(splits=[-inf, *splits, inf], inputCol="__x", outputCol=name)
     sizer.setHandleInvalid("keep")
     return sizer.transform(df.withColumn("__x", x.cast("double"))).drop("__x")
 
 
+def with_order_bucket(
+    df: DataFrame, order: list[Column], name: str, buckets: int = BUCKETS
+) -> DataFrame:
+    """Bucket that never decreases along ``order`` (numeric columns, leading one first).
+
+    A value common enough to fill buckets by itself gets its own bucket, which is then cut along the
+    next order column. Cut points only affect balance, never results.
+    """
+    cuts = _cut_points(df, order[0], buckets)
+    heavy = sorted(v for v, n in Counter(cuts).items() if n > 1)
+    after = {v: math.nextafter(v, math.inf) for v in heavy}
+    splits = sorted({*cuts, *after.values()})
+    out = _sized(df, order[0], splits, name)
+    if not heavy or len(order) == 1:
+        return out
+    common = order[0].cast("double").isin(heavy)
+    inner = sorted(set(_cut_points(df.where(common), order[1], buckets)))
+    out = _sized(out, order[1], inner, "__b2")
+    fine = F.col(name) + F.when(common, F.col("__b2")).otherwise(0) / (len(inner) + 2)
+    return out.withColumn(name, fine).drop("__b2")
+
+
 def running_sums(
     df: DataFrame,
     keys: list[str],
-    bucket_on: Column,
+    bucket_on: list[Column],
     order: list[Column],
     sums: dict[str, Column],
     totals: bool = False,
@@ -100,7 +121,8 @@ def running_sums(
 ) -> DataFrame:
     """Inclusive running sum of each ``sums`` column along ``order`` inside ``keys``.
 
-    ``bucket_on`` must be a numeric form of the leading order column. With ``totals`` the whole-key
+    ``bucket_on`` holds numeric forms of the leading order columns (one, or two to split a value that
+    very many rows share). With ``totals`` the whole-key
     sum is added as ``<name>_total``. No task ever holds more than one bucket of one key.
     """
     src = with_order_bucket(
@@ -131,7 +153,7 @@ def running_sums(
 
 
 def number_rows(
-    df: DataFrame, keys: list[str], bucket_on: Column, order: list[Column], name: str = "rn"
+    df: DataFrame, keys: list[str], bucket_on: list[Column], order: list[Column], name: str = "rn"
 ) -> DataFrame:
     """Row number inside ``keys`` along a total order, with hot keys split over tasks."""
     return running_sums(df, keys, bucket_on, order, {name: F.lit(1)})
@@ -156,7 +178,7 @@ def exact_quantiles(
     # cut points, bucket totals and ranks all read the collapsed rows, not the input
     counted = checkpointed(counted)
     v = F.col(value)
-    ranked = running_sums(counted, keys, v, [v], {"__cum": F.col("__c")}, True, buckets)
+    ranked = running_sums(counted, keys, [v], [v], {"__cum": F.col("__c")}, True, buckets)
     first = F.col("__cum") - F.col("__c")
     aggs, finals = [F.max("__cum_total").alias("n")], {}
     for name, p in probs.items():

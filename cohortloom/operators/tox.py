@@ -224,16 +224,22 @@ def icd_flags(
     return counts.withColumns({f: any_flag(F.col(f"{f}_n")).cast("int") for f in flags})
 
 
-def chart_flags(chart: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
-    """Any chart-reviewed toxicity per person, every condition in one pass."""
+def chart_days(chart: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
+    """Chart-reviewed toxicities per person and day, so that a busy chart joins as few rows."""
     names = names or CHART_CONDITIONS
-    counts = chart.groupBy(ID).agg(
+    return chart.groupBy(ID, "toxicitydate").agg(
         *[
             strict_sum(r_ifelse(F.col("toxicityname") == label, 1, 0)).alias(f"{c}_tox_n")
             for c, label in names.items()
         ]
     )
-    return counts.withColumns({f"{c}_tox": any_flag(F.col(f"{c}_tox_n")).cast("int") for c in names})
+
+
+def chart_flags(days: DataFrame) -> DataFrame:
+    """Any chart-reviewed toxicity per person from ``chart_days``, every condition in one pass."""
+    cols = [c for c in days.columns if c.endswith("_tox_n")]
+    counts = days.groupBy(ID).agg(*[strict_sum(c).alias(c) for c in cols])
+    return counts.withColumns({c[:-2]: any_flag(F.col(c)).cast("int") for c in cols})
 
 
 def complete_pair(

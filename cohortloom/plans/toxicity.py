@@ -76,9 +76,17 @@ def lab_person_flags(src: Sources) -> DataFrame:
     return T.any_lab_flags(T.creatinine_clearance(L.blank_limits(framed_labs(src))))
 
 
-def chart_in_window(src: Sources) -> DataFrame:
+def _in_window(src: Sources, events: DataFrame) -> DataFrame:
     people = src.cohort.select("studyid", "surgery_d", "surgery_dt", "first_chemo_dt", "last_chemo_dt")
-    return C.chart_window(src.chart.join(people, "studyid"))
+    return C.chart_window(events.join(people, "studyid"))
+
+
+def chart_in_window(src: Sources) -> DataFrame:
+    return _in_window(src, src.chart)
+
+
+def chart_person_flags(src: Sources) -> DataFrame:
+    return T.chart_flags(_in_window(src, T.chart_days(src.chart)))
 
 
 def person_frames(src: Sources) -> DataFrame:
@@ -90,7 +98,7 @@ def person_frames(src: Sources) -> DataFrame:
 
 def validation_table(src: Sources, settings: Settings = Settings()) -> DataFrame:
     """One row per eligible person of the chart-reviewed site in the last frame."""
-    wide = T.merge_chart(person_frames(src), T.chart_flags(chart_in_window(src)))
+    wide = T.merge_chart(person_frames(src), chart_person_flags(src))
     wide = C.eligible(wide, settings.min_year)
     wide = C.derived_groups(wide, settings.era2, settings.era3)
     return T.either_flags(wide, VALIDATED)

@@ -69,6 +69,15 @@ def test_imputation(frame):
     assert modes == {1: "partial", 3: "full", 4: "full"}
 
 
+def test_compat_imputation_needs_a_hemoglobin_gap(frame):
+    rows = [(w, DAY, 1, 1, 9.0, x, None, 1, 4, None) for w in (1, 2) for x in (1800.0, None)]
+    rows.append((2, DAY, 17, 5, 9.0, None, None, 1, 4, None))
+    df = frame(rows, FRAMED)
+    lows = lambda d: sorted((r.studyid, r[L.LOW] or 0) for r in d.where(F.col(L.LAB) == 1).collect())
+    assert lows(L.impute_own_record(df)) == [(1, 1800.0), (1, 1800.0), (2, 1800.0), (2, 1800.0)]
+    assert lows(L.impute_own_record(df, compat=True)) == [(1, 0), (1, 1800.0), (2, 1800.0), (2, 1800.0)]
+
+
 @pytest.mark.parametrize(
     "lab, result, low, high, want",
     [

@@ -126,6 +126,22 @@ def test_convergence_ends_at_the_estimate(sample):
     assert grid[-1].ss == pytest.approx(value(R.ss_estimate(df, 3000.0)))
 
 
+def test_grids_follow_each_seed(sample):
+    """The last cut point of a seed equals the estimators run on that seed's respondents alone."""
+    df, _, _ = sample
+    waves = R.with_waves(df).cache()
+    grid = R.convergence_grid(waves, 3000.0, points=4, by=["seed_id"], timed=True)
+    last = {r.seed_id: r for r in grid.where("cut_point = 4").collect()}
+    assert len(last) == waves.where("wave = 0").count()
+    big = max(last, key=lambda k: last[k].m)
+    alone = waves.where(F.col("seed_id") == big)
+    assert last[big].m == alone.count()
+    assert last[big].ss == pytest.approx(value(R.ss_estimate(alone, 3000.0)))
+    assert last[big].rds_i == pytest.approx(value(R.rds_i_binary(alone)))
+    whole = R.hcg_fit(alone, 3000.0, slices=4)
+    assert last[big].hcg == pytest.approx(whole.sizes[1] / 3000.0)
+
+
 def test_homophily_and_activity_directions(sample):
     df, _, _ = sample
     assert R.recruitment_homophily(df).first()[0] > 1.1
@@ -149,6 +165,7 @@ def test_bootstrap_is_seeded_and_independent_of_partitioning(spark, sample):
     assert [round(r.se, 10) for r in other] != [se for _, se in runs[0]]
     whole = R.bootstrap(df, replicates=60, seed=4, size=3000.0, chain=200).orderBy("estimator").collect()
     assert whole[0].se < runs[0][0][1]
+    assert [r.estimator for r in whole] == ["RDS-I", "RDS-II", "SS"]
 
 
 def test_hot_recruiter(spark):

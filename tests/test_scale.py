@@ -6,7 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.operators import quality as Q
-from cohortloom.operators.scale import exact_quantiles, first_row, number_rows, running_sums
+from cohortloom.operators.scale import (
+    exact_quantiles,
+    first_row,
+    number_rows,
+    running_sums,
+    with_order_bucket,
+)
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +26,7 @@ def skewed(spark):
 
 
 def test_running_sums_match_pandas(skewed):
-    out = running_sums(skewed, ["k"], F.col("day"), [F.col("day"), F.col("seq")],
+    out = running_sums(skewed, ["k"], [F.col("day"), F.col("seq")], [F.col("day"), F.col("seq")],
                        {"s": F.col("x"), "n": F.lit(1)}, totals=True, buckets=8).toPandas()
     pdf = skewed.toPandas().sort_values(["day", "seq"])
     pdf["k"] = pdf["k"].fillna("~")
@@ -33,8 +39,19 @@ def test_running_sums_match_pandas(skewed):
     assert (both["n_total"] == both["k_x"].map(sizes)).all()
 
 
+def test_a_common_value_is_split_along_the_next_column(spark):
+    """Half of all rows share one day: they spread over buckets and still number correctly."""
+    rows = [(0 if i % 2 else 1 + i % 50, (i * 7919) % 2000) for i in range(2000)]
+    df = spark.createDataFrame(rows, "day int, seq int")
+    order = [F.col("day"), F.col("seq")]
+    sizes = [r["count"] for r in with_order_bucket(df, order, "b", 16).groupBy("b").count().collect()]
+    assert max(sizes) < 300
+    out = number_rows(df, [], order, order).toPandas().sort_values(["day", "seq"])
+    assert out["rn"].tolist() == list(range(1, 2001))
+
+
 def test_row_numbers_without_a_key_are_a_permutation(skewed):
-    out = number_rows(skewed, [], F.col("seq"), [F.col("seq")]).orderBy("seq")
+    out = number_rows(skewed, [], [F.col("seq")], [F.col("seq")]).orderBy("seq")
     assert [r.rn for r in out.collect()] == list(range(1, 3004))
 
 
@@ -59,7 +76,7 @@ def test_first_row_is_deterministic(skewed):
 
 def test_no_window_over_a_raw_key(skewed):
     """The hot key's rows are sorted per (key, bucket), never per key."""
-    plan = number_rows(skewed, ["k"], F.col("seq"), [F.col("seq")])._jdf.queryExecution().toString()
+    plan = number_rows(skewed, ["k"], [F.col("seq")], [F.col("seq")])._jdf.queryExecution().toString()
     rows = [line for line in plan.split("\n") if "Window [" in line and "__v_rn" in line]
     assert rows and all("__b" in line for line in rows)
 
