@@ -315,7 +315,7 @@ CTES["waves"] = "SELECT r.*, f.seed_id, f.wave FROM rds r LEFT JOIN forest f ON
 CTES["rij"] = """
 SELECT o.y AS g, r.y AS h, COUNT(*) AS r FROM rds r JOIN rds o ON r.recruiter_id = o.id GROUP BY 1, 2"""
 CTES["two"] = """
-SELECT r01 * 1.0 / (r00 + r01) AS s01, r10 * 1.0 / (r10 + r11) AS s10, r00, r01, r10, r11, n0, n1, hd0, hd1, md0, md1 FROM
+SELECT r01 * 1.0 / NULLIF(r00 + r01, 0) AS s01, r10 * 1.0 / NULLIF(r10 + r11, 0) AS s10, r00, r01, r10, r11, n0, n1, hd0, hd1, md0, md1 FROM
  (SELECT CAST(SUM(CASE WHEN g = 0 AND h = 0 THEN r ELSE 0 END) AS DOUBLE) AS r00, CAST(SUM(CASE WHEN g = 0 AND h = 1 THEN r ELSE 0 END) AS DOUBLE) AS r01,
    CAST(SUM(CASE WHEN g = 1 AND h = 0 THEN r ELSE 0 END) AS DOUBLE) AS r10, CAST(SUM(CASE WHEN g = 1 AND h = 1 THEN r ELSE 0 END) AS DOUBLE) AS r11 FROM rij) a,
  (SELECT COUNT(*) FILTER (y = 0) AS n0, COUNT(*) FILTER (y = 1) AS n1,

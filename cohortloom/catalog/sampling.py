@@ -136,7 +136,7 @@ _GRID = {
 SELECT cut_point, COUNT(*) AS m, COUNT(*) FILTER (y = 0) / SUM(CASE WHEN y = 0 THEN 1.0 / network_size END) AS hd0, COUNT(*) FILTER (y = 1) / SUM(CASE WHEN y = 1 THEN 1.0 / network_size END) AS hd1
 FROM points p JOIN ranked r ON r.slice <= p.cut_point GROUP BY 1""",
     "grec": """
-SELECT cut_point, CAST(COUNT(*) FILTER (o.y = 0 AND r.y = 1) AS DOUBLE) / COUNT(*) FILTER (o.y = 0) AS s01, CAST(COUNT(*) FILTER (o.y = 1 AND r.y = 0) AS DOUBLE) / COUNT(*) FILTER (o.y = 1) AS s10
+SELECT cut_point, CAST(COUNT(*) FILTER (o.y = 0 AND r.y = 1) AS DOUBLE) / NULLIF(COUNT(*) FILTER (o.y = 0), 0) AS s01, CAST(COUNT(*) FILTER (o.y = 1 AND r.y = 0) AS DOUBLE) / NULLIF(COUNT(*) FILTER (o.y = 1), 0) AS s10
 FROM points p JOIN ranked r ON r.slice <= p.cut_point JOIN ranked o ON r.recruiter_id = o.id AND o.slice <= p.cut_point GROUP BY 1""",
     "ghist": "SELECT cut_point, network_size AS d, y, COUNT(*) AS n FROM points p JOIN ranked r ON r.slice <= p.cut_point GROUP BY 1, 2, 3",
     "gbis": """
@@ -149,7 +149,7 @@ SELECT h.cut_point, SUM(h.n * y / (1 - EXP(-h.d * t))) / SUM(h.n / (1 - EXP(-h.d
 
 
 @query("k12_convergence_grid", f"""
-SELECT CAST(d.cut_point AS INTEGER) AS cut_point, {big('d.m')} AS m, {r6('s01 * hd0 / (s01 * hd0 + s10 * hd1)')} AS rds_i, {r6('s.ss')} AS ss
+SELECT CAST(d.cut_point AS INTEGER) AS cut_point, {big('d.m')} AS m, {r6('s01 * hd0 / NULLIF(s01 * hd0 + s10 * hd1, 0)')} AS rds_i, {r6('s.ss')} AS ss
 FROM gdeg d JOIN gss s ON d.cut_point = s.cut_point LEFT JOIN grec r ON d.cut_point = r.cut_point""", _GRID)
 def _(v):
     return R.convergence_grid(v.rds, size_of(v))
