@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import measures as M
 from ..functions.nulls import ratio
+from .scale import checkpointed
 
 
 CELLS = ("n11", "n10", "n01", "n00")
@@ -137,7 +138,8 @@ def interaction_model(df: DataFrame, z: str, roles: Roles = Roles()) -> DataFram
     stats = known.agg(F.avg(z).alias("m"), F.stddev(z).alias("s")).first()
     scaled = (F.col(z) - F.lit(stats["m"])) / F.lit(stats["s"] or 1.0)
     rows = known.select(x.alias("x"), y.alias("label"), scaled.alias("z"))
-    rows = rows.withColumn("xz", F.col("x") * F.col("z"))
+    # every fitting pass reads the rows again, so they are written once
+    rows = checkpointed(rows.withColumn("xz", F.col("x") * F.col("z")))
     terms = ["x", "z", "xz"]
     data = VectorAssembler(inputCols=terms, outputCol="features").transform(rows)
     fit = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=50).fit(data)

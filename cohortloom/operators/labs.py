@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import any_of, half_even, in_set, null_count, overwrite, ratio
-from .scale import exact_quantiles, join_null_safe
+from .scale import checkpointed, exact_quantiles, join_null_safe
 
 ID, DATE, FRAME = "studyid", "co_tox_lab_date", "time_frame"
 LAB, UNIT, RESULT = "co_tox_lab_name", "co_tox_lab_unit", "co_tox_lab_result"
@@ -194,7 +194,8 @@ def impute_own_record(
         lacking = lab.where((F.col(LAB) == HEMOGLOBIN) & F.col(LOW).isNull()).select(ID).distinct()
         anc = groups.where(F.col(LAB) == ANC).join(lacking, ID, "left_semi")
         groups = groups.where(F.col(LAB) != ANC).unionByName(anc)
-    filled = lab.join(groups, [ID, FRAME, LAB], "left")
+    # the written size, not an estimate, decides whether the rows need a shuffle
+    filled = lab.join(checkpointed(groups), [ID, FRAME, LAB], "left")
     for c, how in sorted(specs):
         filled = filled.withColumn(c, F.coalesce(c, f"__own_{c}_{how}"))
     return filled.drop(*[f"__own_{c}_{how}" for c, how in specs])
@@ -220,7 +221,8 @@ def site_median_limits(lab: DataFrame, limit: str, labs: list[int]) -> DataFrame
 
 
 def impute_site_median(lab: DataFrame, limit: str, labs: list[int]) -> DataFrame:
-    medians = site_median_limits(lab, limit, labs).drop("n")
+    # written first, so that its real size (one row per lab and site) decides the join
+    medians = checkpointed(site_median_limits(lab, limit, labs).drop("n"))
     joined = join_null_safe(lab, medians, [LAB, "siteid"], "left")
     return joined.withColumn(limit, F.coalesce(limit, "median_limit")).drop("median_limit")
 

@@ -219,15 +219,19 @@ def _stationary(r: pd.DataFrame, levels: list) -> np.ndarray:
     return np.clip(pi, 0, None)
 
 
+def _level_table(df: DataFrame, frame: Frame) -> pd.DataFrame:
+    """Size, degrees and RDS-I share of every level (one row per level, checked to be few)."""
+    deg = _bounded(group_degrees(df, frame)).sort_values("level").reset_index(drop=True)
+    pi = _stationary(_bounded(recruitment_counts(df, frame)), deg["level"].tolist())
+    share = pi / deg["harmonic_degree"].to_numpy()
+    return deg.assign(share=share / share.sum())
+
+
 def rds_i(df: DataFrame, frame: Frame = Frame()) -> DataFrame:
     """Share of every level of a categorical outcome (stationary vector over harmonic degree)."""
-    deg = _bounded(group_degrees(df, frame)).sort_values("level")
-    levels = deg["level"].tolist()
-    pi = _stationary(_bounded(recruitment_counts(df, frame)), levels)
-    share = pi / deg["harmonic_degree"].to_numpy()
-    share = share / share.sum()
+    table = _level_table(df, frame)
     kind = df.schema[frame.outcome].dataType.simpleString()
-    rows = [(v, float(p)) for v, p in zip(levels, share)]
+    rows = [(v, float(p)) for v, p in zip(table["level"].tolist(), table["share"])]
     return df.sparkSession.createDataFrame(rows, f"level {kind}, estimate double")
 
 
@@ -400,15 +404,20 @@ def hcg_estimate(df: DataFrame, size: float, frame: Frame = Frame()) -> DataFram
 
 def weights(df: DataFrame, size: float, frame: Frame = Frame()) -> DataFrame:
     """RDS-I, RDS-II and SS weight per respondent, each scaled to mean 1."""
-    share = rds_i(df, frame).withColumnsRenamed({"level": "__l", "estimate": "__p"})
-    per_group = group_degrees(df, frame).select(F.col("level").alias("__l"), "n")
+    levels = _level_table(df, frame)
     rate = ss_rate(df, size, frame)
     # one row of totals
     sums = df.agg(
         F.count("*").alias("n"), F.sum(_inverse(F.col(frame.degree))).alias("inv"),
         F.sum(ss_weight(rate, frame)).alias("ss"),
     ).first()
-    table = share.join(per_group, "__l").select("__l", (F.col("__p") * sums["n"] / F.col("n")).alias("w_rds_i"))
+    kind = df.schema[frame.outcome].dataType.simpleString()
+    rows = [
+        (v, float(p * sums["n"] / n))
+        for v, p, n in zip(levels["level"].tolist(), levels["share"], levels["n"])
+    ]
+    # one row per level, already checked to be few
+    table = F.broadcast(df.sparkSession.createDataFrame(rows, f"__l {kind}, w_rds_i double"))
     out = df.join(table, df[frame.outcome] == table["__l"], "left").drop("__l")
     return out.withColumns(
         {
@@ -772,22 +781,22 @@ def bootstrap(
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                drawn = []
+                level, degree, times = [], [], []
                 for g in (0, 1):
                     for h in (0, 1):
                         m = int(getattr(row, f"m{g}{h}"))
                         if m and (g, h) in draws:
                             gen = np.random.default_rng([seed, int(row.rep), 1_000_000_007, 2 * g + h])
                             d, q = draws[(g, h)]
-                            drawn.append(pd.DataFrame({"h": h, "d": d, "n": gen.multinomial(m, q)}))
-                hist = pd.concat(drawn)
-                hist = hist[hist["n"] > 0]
-                inv = [float((p["n"] / p["d"]).sum()) for p in (hist[hist["h"] == h] for h in (0, 1))]
+                            level.append(np.full(len(d), h))
+                            degree.append(d)
+                            times.append(gen.multinomial(m, q).astype(float))
+                h, d, c = np.concatenate(level), np.concatenate(degree), np.concatenate(times)
+                inv = [float((c / d)[h == v].sum()) for v in (0, 1)]
                 ss = None
                 if size:
-                    d, c = hist["d"].to_numpy(), hist["n"].to_numpy(float)
                     w = c / -np.expm1(-d * _solve_rate(d, c, max(size, c.sum())))
-                    ss = float((w * hist["h"].to_numpy()).sum() / w.sum())
+                    ss = float((w * h).sum() / w.sum())
                 out.append((row.rep, row.m00, row.m01, row.m10, row.m11, *inv, ss))
             yield pd.DataFrame(
                 out, columns=["rep", "r00", "r01", "r10", "r11", "inv0", "inv1", "ss"]
@@ -800,7 +809,8 @@ def bootstrap(
         .groupBy("rep")
         .agg(*[F.sum(f"m{c}").alias(f"m{c}") for c in ("00", "01", "10", "11")])
     )
-    reps = summed.mapInPandas(
+    # a few rows, but real work per row: spread them whatever their size
+    reps = summed.repartition(df.sparkSession.sparkContext.defaultParallelism, "rep").mapInPandas(
         attach_degrees,
         "rep long, r00 long, r01 long, r10 long, r11 long, inv0 double, inv1 double, ss double",
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from ..operators import cohort as C
 from ..operators import labs as L
 from ..operators import tox as T
 from ..operators import validate as V
+from ..operators.scale import checkpointed
 
 
 @dataclass(frozen=True)
@@ -89,8 +90,17 @@ def chart_person_flags(src: Sources) -> DataFrame:
     return T.chart_flags(_in_window(src, T.chart_days(src.chart)))
 
 
+def staged_cohort(src: Sources) -> Sources:
+    """The same sources with the cohort written once: every branch below reads it again."""
+    return replace(src, cohort=checkpointed(src.cohort))
+
+
 def person_frames(src: Sources) -> DataFrame:
     """Every adjuvant person and frame with all code and laboratory flags."""
+    return _person_frames(staged_cohort(src))
+
+
+def _person_frames(src: Sources) -> DataFrame:
     return T.complete_scaffold(
         C.adjuvant(src.cohort), T.icd_flags(framed_icd(src)), lab_person_flags(src)
     )
@@ -98,7 +108,8 @@ def person_frames(src: Sources) -> DataFrame:
 
 def validation_table(src: Sources, settings: Settings = Settings()) -> DataFrame:
     """One row per eligible person of the chart-reviewed site in the last frame."""
-    wide = T.merge_chart(person_frames(src), chart_person_flags(src))
+    src = staged_cohort(src)
+    wide = T.merge_chart(_person_frames(src), chart_person_flags(src))
     wide = C.eligible(wide, settings.min_year)
     wide = C.derived_groups(wide, settings.era2, settings.era3)
     return T.either_flags(wide, VALIDATED)
