@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import measures as M
 from ..functions.nulls import ratio
 from .labs import distribution
-from .scale import checkpointed, join_null_safe, running_sums
+from .scale import checkpointed, join_null_safe, running_sums, side_by_side
 
 MAX_CELLS = 1_000_000
 
@@ -185,8 +185,7 @@ def _two_group_row(counts: DataFrame, degrees: DataFrame) -> DataFrame:
     at = lambda c, lvl: F.max(F.when(F.col("level") == lvl, F.col(c))).alias(f"{c}{lvl}")
     cols = ("n", "harmonic_degree", "mean_degree", "inverse_degree")
     deg = degrees.agg(*[at(c, lvl) for c in cols for lvl in (0, 1)])
-    both = rec.withColumn("__k", F.lit(1)).join(deg.withColumn("__k", F.lit(1)), "__k").drop("__k")
-    return both.withColumns(
+    return side_by_side(rec, deg).withColumns(
         {
             "s01": ratio(F.col("r01"), F.col("r00") + F.col("r01")),
             "s10": ratio(F.col("r10"), F.col("r10") + F.col("r11")),
@@ -594,8 +593,7 @@ def population_homophily(
         ratio(F.sum(w * y), F.sum(w)).alias("p_ss"),
         *[ratio(F.sum(F.when(y == v, w * d)), F.sum(F.when(y == v, w))).alias(f"d_ss{v}") for v in (0, 1)],
     )
-    one = lambda x: x.withColumn("__k", F.lit(1))
-    wide = one(row).join(one(two), "__k").join(one(ss), "__k").withColumn("p_i", _rds_i_expr())
+    parts = [row, two, ss]
     types = [
         ("RDS-I", "p_i", "mean_degree1", "mean_degree0"),
         ("RDS-II", "p_ii", "harmonic_degree1", "harmonic_degree0"),
@@ -608,8 +606,9 @@ def population_homophily(
             *[ratio(F.sum(F.when(y == g, v * d)), F.sum(F.when(y == g, v))).alias(f"d_hcg{g}")
               for g in (0, 1)],
         )
-        wide = wide.join(one(hcg), "__k")
+        parts.append(hcg)
         types.append(("HCG", "p_hcg", "d_hcg1", "d_hcg0"))
+    wide = side_by_side(*parts).withColumn("p_i", _rds_i_expr())
     rows = []
     for name, p, d1, d0 in types:
         a, b = F.col(p) * F.col(d1), (1 - F.col(p)) * F.col(d0)
@@ -681,7 +680,6 @@ def suitability(
     limits: Limits = Limits(),
 ) -> DataFrame:
     """Which study conditions hold, and what each means for every estimator."""
-    one = lambda x: x.withColumn("__k", F.lit(1))
     waves = with_waves(df, frame).agg(F.max("wave").alias("wave"), F.count("*").alias("n"))
     homo = recruitment_homophily(df, frame)
     seeds = seed_dependence(df, frame).agg(F.max(F.abs("difference")).alias("seeds"))
@@ -691,9 +689,7 @@ def suitability(
             F.avg(F.when(F.col(frame.outcome) == 0, F.col(frame.degree))),
         ).alias("activity")
     )
-    wide = one(waves)
-    for part in (homo, seeds, activity):
-        wide = wide.join(one(part), "__k")
+    wide = side_by_side(waves, homo, seeds, activity)
     act = F.col("activity")
     present = {
         "population size unknown": F.lit(size is None),

@@ -73,6 +73,12 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str)
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def side_by_side(*parts: DataFrame) -> DataFrame:
+    """Put one-row tables with different columns next to each other, without a join."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 def _cut_points(df: DataFrame, x: Column, buckets: int) -> list[float]:
     """Interior cut points from an approximate quantile sketch (fewer than ``buckets``)."""
     probs = [i / buckets for i in range(1, buckets)]
