@@ -11,7 +11,6 @@ from ..functions.nulls import (
     in_set,
     null_count,
     overwrite,
-    r_case,
     r_ifelse,
     ratio,
     strict_sum,

@@ -1,4 +1,4 @@
-"""Toxicity validation from raw tables to the batch result."""
+"""Codes and laboratory grades against chart review, from raw tables to the batch result."""
 
 from __future__ import annotations
 
