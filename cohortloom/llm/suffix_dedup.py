@@ -310,3 +310,46 @@ def remove_repeats(
         "kept binary"
     )
     return arrow_map(marked, of_batch, schema)
+
+
+def clean(docs: DataFrame, width: int = WIDTH, **options) -> DataFrame:
+    """``docs`` with later copies of ``width``-byte strings cut out of the texts, first ones kept.
+
+    A character that a cut leaves incomplete goes too. ``n_chars``, where there is one, follows the
+    new text; texts that lose nothing, nulls included, stay as they are. No row goes.
+    """
+    columns = docs.columns
+    own = docs.withColumns({"__d": F.col("doc_id").cast("long"), "__k": F.xxhash64(F.col("text"))})
+    slim = keyed(docs)
+    spans = removal_spans(
+        slim, width, True, options.get("seed", SEED), options.get("most_texts", MOST_TEXTS)
+    ).withColumnsRenamed({"doc_id": "__sd", "text_key": "__sk", "spans": "__spans"})
+    marked = own.join(
+        spans, F.col("__d").eqNullSafe(F.col("__sd")) & (F.col("__k") == F.col("__sk")), "left"
+    ).select(*columns, "__spans")
+
+    def of_batch(batch):
+        rows, spans = struct_columns(batch.column("__spans"), ["lo", "hi"])
+        begin = np.searchsorted(rows, np.arange(batch.num_rows + 1))
+        touched = np.flatnonzero(np.diff(begin))
+        data = {c: batch.column(c) for c in columns}
+        if len(touched):
+            texts = data["text"].to_pylist()
+            sizes = data["n_chars"].to_pylist() if "n_chars" in data else None
+            for i in touched.tolist():
+                raw = texts[i].encode()
+                here = slice(begin[i], begin[i + 1])
+                left, at = [], 0
+                for a, b in zip(*(x.tolist() for x in merged(spans["lo"][here], spans["hi"][here])), strict=True):
+                    left.append(raw[at:a].decode(errors="ignore"))
+                    at = b
+                left.append(raw[at:].decode(errors="ignore"))
+                texts[i] = "".join(left)
+                if sizes is not None:
+                    sizes[i] = len(texts[i])
+            data["text"] = pa.array(texts, pa.string())
+            if sizes is not None:
+                data["n_chars"] = pa.array(sizes, data["n_chars"].type)
+        yield pa.record_batch(data)
+
+    return arrow_map(marked, of_batch, docs.schema)

@@ -21,6 +21,9 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+# everything in ASCII but letters and digits; other characters count as letters
+IS_MARK = np.arange(256) < 128
+IS_MARK[[c for c in range(128) if chr(c).isalnum()]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -128,14 +131,14 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> list[int]:
     return cuts
 
 
-def words(group: Group, fold: bool = False) -> Words:
-    """Words of a group; ``fold`` hashes A-Z as a-z."""
+def words(group: Group, fold: bool = False, between: np.ndarray = IS_SPACE) -> Words:
+    """Words of a group, split at the bytes marked in ``between``; ``fold`` hashes A-Z as a-z."""
     data, offsets = group.data, group.offsets
     hashes, starts, ends = [], [], []
     cuts = _cuts(data, offsets)
     for lo, hi in zip(cuts, cuts[1:], strict=False):
         part = data[lo:hi]
-        solid = ~IS_SPACE[part]
+        solid = ~between[part]
         edge = np.zeros(hi - lo + 1, bool)
         inside = offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi, "right")]
         edge[inside - lo] = True
