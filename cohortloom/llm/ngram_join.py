@@ -183,7 +183,7 @@ def forest(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _verified(bucket: int, block, names, copies, known, sets, threshold):
+def _verified(bucket: int, across: bool, block, names, copies, known, sets, threshold):
     """Links of one tile: (class, a class it is connected to, weight of links first met here)."""
     size = np.array([len(s) for s in sets], np.float64)
     both = overlaps(sets)
@@ -191,7 +191,8 @@ def _verified(bucket: int, block, names, copies, known, sets, threshold):
     np.fill_diagonal(linked, False)
     if not linked.any():
         return None
-    mine = linked & (block[:, None] != block[None, :]) if len(np.unique(block)) > 1 else linked.copy()
+    # a tile of two blocks counts the pairs across, that of one block the pairs within
+    mine = linked & (block[:, None] != block[None, :]) if across else linked.copy()
     # a pair that shares a smaller bucket is counted there
     earlier = [k[k < bucket] for k in known]
     owner = np.repeat(np.arange(len(known)), [len(e) for e in earlier])
@@ -225,6 +226,7 @@ def _tiles(members: DataFrame, threshold: float) -> DataFrame:
                     found.append(
                         _verified(
                             bucket[lo],
+                            one[lo] != two[lo],
                             block[pick],
                             names,
                             copies[pick],

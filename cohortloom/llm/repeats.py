@@ -127,11 +127,14 @@ class Survey(NamedTuple):
 
 def survey(docs: DataFrame, unit: str, width: int, seed: int) -> Survey:
     runs = all_runs(docs, unit, width, seed)
-    shared = runs.groupBy("anchor").count().where("count > 1").select("anchor")
+    # written first: a join against a table of its own can be split where an anchor is hot
+    shared = checkpointed(runs.groupBy("anchor").count().where("count > 1").select("anchor"))
     runs = checkpointed(runs.join(shared, "anchor", "left_semi"))
     first = F.min(F.struct("doc_id", "text_key", "start", "windows")).alias("first")
     classes = checkpointed(runs.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("n"), first))
-    several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    several = checkpointed(
+        classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    )
     rest = classes.join(several, "anchor").select("anchor", "n", "texts", "first.*")
     twice = classes.where("n > 1").select(
         "anchor",
@@ -178,7 +181,7 @@ def repeated_by_count(windows: DataFrame, keep_first: bool, width: int) -> DataF
     seen = windows.groupBy("anchor", "window").agg(
         F.count(F.lit(1)).alias("places"), F.min(place).alias("first")
     )
-    seen = seen.where("places > 1").drop("places")
+    seen = checkpointed(seen.where("places > 1").drop("places"))
     mine = windows if keep_first else windows.where("n = 1")
     hits = mine.join(seen, ["anchor", "window"])
     if keep_first:

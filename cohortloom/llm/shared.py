@@ -115,7 +115,7 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         stepped = labels.join(near, "node").select(
             "node", F.col("label").alias("old"), F.least("label", "m").alias("label")
         )
-        jump = labels.withColumnsRenamed({"node": "label", "label": "further"})
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         nxt = checkpointed(
             stepped.join(jump, "label", "left").select(
                 "node", "old", F.least("label", F.coalesce("further", "label")).alias("label")

@@ -11,11 +11,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .url_labels import BLOCKED, WANTED
+from .url_labels import labelled
 
 NGRAMS = (3, 4, 5)
 FEATURES = 1 << 15
-BLOCK_FROM = 0.6
+BLOCK_FROM = 0.5
 # the labelled table is small by definition; more rows than this are refused
 MOST_LABELLED = 100_000
 
@@ -108,19 +108,18 @@ def ngrams(host: Column, path: Column) -> Column:
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """The small labelled table: (url, label), 1 for urls to block."""
-    rows = [(u, 1.0) for u in BLOCKED.split()] + [(u, 0.0) for u in WANTED.split()]
-    return spark.createDataFrame(rows, "url string, label double")
+    return spark.createDataFrame(labelled(), "url string, label double")
 
 
-def train(labelled: DataFrame, features: int = FEATURES) -> PipelineModel:
+def train(rows: DataFrame, features: int = FEATURES) -> PipelineModel:
     """Fit on (url, label); refuses a table that is not small or has one label only."""
     host, path = host_and_path(F.col("url"))
-    rows = labelled.where("label is not null").select("label", ngrams(host, path).alias("grams"))
+    rows = rows.where("label is not null").select("label", ngrams(host, path).alias("grams"))
     known = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(known) < 2 or sum(known.values()) > MOST_LABELLED:
         raise ValueError(f"needs both labels and at most {MOST_LABELLED} rows, not {known}")
     hashing = HashingTF(inputCol="grams", outputCol="hashed", numFeatures=features, binary=True)
-    fit = LogisticRegression(featuresCol="hashed", regParam=0.01, maxIter=100, standardization=False)
+    fit = LogisticRegression(featuresCol="hashed", regParam=0.003, maxIter=100, standardization=False)
     return Pipeline(stages=[hashing, fit]).fit(rows.repartition(1).cache())
 
 

@@ -1,108 +1,58 @@
-"""The small labelled url table: invented addresses, one per line."""
+"""The small labelled url table: invented site names, each with several hosts and paths.
 
-# fixed values
-BLOCKED = """
-http://cheap-pills.example.org/en/12
-https://www.cheap-meds.example.net/de/77?page=2
-https://best-pills-online.example.com/buy/viagra
-http://pharmacy-discount.example.org/pills/cheap.html
-https://m.online-pharma.example.net/es/431
-http://casino-win.example.org/en/4
-https://royal-casino.example.net/slots/free
-https://www.casino-bonus.example.com/fr/199?utm_source=feed
-http://poker-win.example.net/tables/9
-https://win-jackpot.example.org/lottery/claim
-https://lotto-winner.example.com/en/88.html
-http://free-bets.example.org/en/31
-https://sport-bets.example.net/odds/today
-https://www.bets-now.example.com/es/5/
-http://free-spins.example.org/casino/17
-https://free-gift-card.example.net/claim/now
-http://free-download-crack.example.com/keygen.html
-https://adult-x.example.org/en/6
-https://www.adult-video.example.com/xxx/411
-http://xxx-tube.example.net/watch/18
-https://hot-adult.example.org/cams/live
-http://sex-cams.example.com/fr/73
-https://spam-farm.example.net/en/728
-http://link-farm.example.org/out/12345
-https://content-farm.example.com/top10/321
-http://www.spam-links.example.net/seo/9
-https://seo-spam.example.org/backlinks/buy
-http://ads-track.example.org/en/401
-https://track-clicks.example.com/pixel.gif?ref=x
-https://ads-server.example.net/banner/77
-http://click-ads.example.com/redirect/5
-https://www.popup-ads.example.org/offer/13
-http://quick-loans.example.net/payday/apply
-https://payday-cash.example.com/loan/now
-http://easy-money.example.org/earn/1000
-https://crypto-double.example.net/invest/win
-https://miracle-diet.example.com/pills/slim
-http://weight-loss-pills.example.net/en/19
-https://replica-watches.example.org/cheap/rolex
-http://cheap-bags.example.com/outlet/2
-https://cheap-viagra.example.net/de/45
-http://win-prize.example.com/en/500.html
-https://casino-slots.example.org/es/8?page=2
-http://adult-dating.example.net/meet/22
-https://free-porn.example.com/xxx/1
-http://bets-free.example.net/en/9
-https://spam-blog.example.com/fr/3
-http://track-ads.example.net/de/71
-https://x-rated.example.org/adult/8
-http://pills-shop.example.com/en/660#top
+Subdomains, top-level domains and paths are dealt to both labels alike, so only names tell.
 """
 
-WANTED = """
-http://www.city-library.example.org/en/12
-https://news.harbour.example.com/en/2019/storm
-https://blog.gardening.example.net/de/77?page=2
-http://weather.northcoast.example.org/forecast/today
-https://www.university.example.com/research/physics
-https://museum.oldtown.example.net/es/431
-http://wiki.openmaps.example.org/en/4
-https://docs.softwarelab.example.net/manual/install
-https://www.recipes.example.com/fr/199?utm_source=feed
-http://history-society.example.net/articles/9
-https://m.dailyherald.example.org/sport/results
-https://blog.mathnotes.example.com/en/88.html
-http://parliament.example.org/en/31
-https://trains.timetable.example.net/lines/north
-https://www.cycling-club.example.com/es/5/
-http://astronomy.example.org/planets/17
-https://school.riverside.example.net/term/dates
-http://thorin.example.com/en/325
-https://blog.thanre.example.org/en/6
-https://www.erthing.example.com/en/411
-http://m.ouente.example.net/fr/18
-https://enkeit.example.org/de/802
-http://theron.example.com/fr/73
-https://www.ingest.example.net/en/728
-http://verbung.example.org/de/12345
-https://shtion.example.com/en/321
-http://www.andreth.example.net/es/9
-https://blog.cionado.example.org/es/64
-http://mentelle.example.org/fr/401
-https://rean.example.com/en/12.html
-https://esqueja.example.net/es/77
-http://handed.example.com/en/5/
-https://www.stathen.example.org/en/13#top
-http://m.blenthe.example.net/en/825?page=2&ref=x
-https://orchestra.example.com/concerts/spring
-http://hospital.westside.example.org/visitors/hours
-https://law-review.example.net/volume/3
-https://www.bird-watching.example.com/en/19
-http://hiking-trails.example.org/map/2
-https://kindergarten.example.net/de/45
-http://www.town-hall.example.com/en/500.html
-https://blog.woodwork.example.org/es/8?page=2
-http://chess-academy.example.net/openings/22
-https://poetry.example.com/spring/1
-http://m.ledger.example.net/en/9
-https://geology.example.com/fr/3
-http://blog.hanere.example.net/de/71
-https://theatre.example.org/season/8
-http://thwhor.example.com/en/660#top
-https://www.ondesa.example.org/fr/14232
-"""
+from __future__ import annotations
+
+# fixed values
+BLOCKED_CORES = """
+pills meds pharma viagra casino slots jackpot poker lotto bets betting spins gift prize adult xxx sex cams porn
+dating spam seo links ads track click popup banner loans payday cash money crypto replica diet crack
+""".split()
+MODIFIERS = "cheap best free win online hot quick farm server".split()
+
+WANTED_CORES = """
+library news garden weather university museum maps docs recipes history herald math parliament trains cycling
+astronomy school poetry woodwork chess ledger geology theatre birds trails village law music hospital orchestra
+""".split()
+PLACES = "city north harbour old river open spring local hill".split()
+SYLLABLES = "th er on an re in ed at en es or nt ti st ou ar ver keit ung ment elle tion ci que ado".split()
+
+SUBDOMAINS = ("", "www.", "m.", "blog.")
+DOMAINS = ("example.com", "example.org", "example.net")
+PATHS = ("/en/12", "/de/77?page=2", "/fr/199?utm_source=feed", "/es/431/", "/en/88.html", "/", "/fr/5#top")
+
+
+def blocked_names() -> list[str]:
+    """Every core word with four modifiers, before or after it."""
+    names = []
+    for i, core in enumerate(BLOCKED_CORES):
+        for k in range(4):
+            other = MODIFIERS[(i + 2 * k) % len(MODIFIERS)]
+            names.append(f"{core}-{other}" if k % 2 else f"{other}-{core}")
+    return names
+
+
+def wanted_names() -> list[str]:
+    """Core words with two places each, and made-up names of three syllables."""
+    names = []
+    for i, core in enumerate(WANTED_CORES):
+        for k in range(2):
+            other = PLACES[(i + 2 * k) % len(PLACES)]
+            names.append(f"{core}-{other}" if k % 2 else f"{other}-{core}")
+    n = len(SYLLABLES)
+    return names + [
+        SYLLABLES[i % n] + SYLLABLES[(3 * i + i // n + 1) % n] + SYLLABLES[(7 * i + 2) % n] for i in range(80)
+    ]
+
+
+def labelled() -> list[tuple[str, float]]:
+    """(url, label): 1 for urls to block."""
+    rows = []
+    for label, names in ((1.0, blocked_names()), (0.0, wanted_names())):
+        for i, name in enumerate(names):
+            for j, sub in enumerate(SUBDOMAINS):
+                domain, path = DOMAINS[(i + j) % len(DOMAINS)], PATHS[(i + 3 * j) % len(PATHS)]
+                rows.append((f"https://{sub}{name}.{domain}{path}", label))
+    return rows

@@ -12,9 +12,11 @@ from cohortloom.llm import packing
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+TOKENIZER = Tokenizer.from_file(packing.tokenizer_path())
+
+
 def ids_of(text):
-    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
-    return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+    return [*TOKENIZER.encode(text or "", add_special_tokens=False).ids, 0]
 
 
 def check(rows, got, length):
