@@ -135,12 +135,12 @@ sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1)
 ORACLE["op1_ngram_jaccard_join"] = f"""
 WITH RECURSIVE {_SHINGLES},
 pairs AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
   FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
 ),
 links AS (
   SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
-  WHERE both >= 0.8 * (x.n + y.n - both)
+  WHERE common >= 0.8 * (x.n + y.n - common)
 ),
 reach AS (
   SELECT a AS node, b AS other FROM links
@@ -188,7 +188,7 @@ lost AS (
 base AS (
   SELECT doc_id,
     len(w)::BIGINT AS n_words,
-    coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars,
+    coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols
   FROM docs
 )
@@ -224,8 +224,8 @@ starts AS (SELECT doc_id, i FROM windows SEMI JOIN often USING (s)),
 words AS (SELECT doc_id, i, w[i] AS word FROM docs, unnest(range(1, len(w) + 1)) AS t(i)),
 marked AS (
   SELECT doc_id, i, word,
-    coalesce(max(at) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) > i - 35, false) AS gone
-  FROM words LEFT JOIN (SELECT doc_id, i, i AS at FROM starts) s USING (doc_id, i)
+    coalesce(max(place) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) > i - 35, false) AS gone
+  FROM words LEFT JOIN (SELECT doc_id, i, i AS place FROM starts) s USING (doc_id, i)
 )
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words,
   coalesce(count(*) FILTER (gone), 0)::BIGINT AS n_removed,
@@ -242,11 +242,11 @@ windows AS (
   FROM docs, unnest(range(0, n - 399)) AS t(i)
 ),
 often AS (SELECT a, b FROM windows GROUP BY 1, 2 HAVING count(*) > 1),
-starts AS (SELECT doc_id, i, i AS at FROM windows SEMI JOIN often USING (a, b)),
+starts AS (SELECT doc_id, i, i AS place FROM windows SEMI JOIN often USING (a, b)),
 bytes AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS x FROM docs, unnest(range(0, n)) AS t(i)),
 marked AS (
   SELECT doc_id, i, x,
-    coalesce(max(at) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) > i - 400, false) AS gone
+    coalesce(max(place) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) > i - 400, false) AS gone
   FROM bytes LEFT JOIN starts USING (doc_id, i)
 ),
 runs AS (SELECT *, gone AND NOT lag(gone, 1, false) OVER (PARTITION BY doc_id ORDER BY i) AS opens FROM marked)
