@@ -280,7 +280,9 @@ def near_duplicates(
     chosen = placed.join(classes, "class").select(
         "class", "copies", "buckets", F.col("who.doc_id").alias("doc_id"), F.col("who.text_key").alias("text_key")
     )
-    members = _members(join_documents(own, checkpointed(chosen), "inner"), width)
+    # texts are dealt by document at every size; a small list must not be broadcast on one day only
+    chosen = checkpointed(chosen).hint("merge")
+    members = _members(join_documents(own, chosen, "inner"), width)
     links = checkpointed(_tiles(members, threshold))
     counts = links.groupBy("class").agg(F.sum("links").alias("links"))
     connected = components(links.select(F.col("class").alias("a"), F.col("other").alias("b")))
