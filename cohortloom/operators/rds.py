@@ -47,6 +47,31 @@ def _bounded(df: DataFrame) -> pd.DataFrame:
     return rows
 
 
+def _known_degree(frame: Frame) -> Column:
+    # also keeps NaN and infinity out
+    return (F.col(frame.degree) > 0) & (F.col(frame.degree) < float("inf"))
+
+
+def usable(df: DataFrame, frame: Frame = Frame()) -> DataFrame:
+    """Respondents every estimator works on: known outcome and a known, positive degree.
+
+    The others are left out, with the recruitments they made or came from; ``left_out`` counts them.
+    """
+    return df.where(F.col(frame.outcome).isNotNull() & _known_degree(frame))
+
+
+def left_out(df: DataFrame, frame: Frame = Frame()) -> DataFrame:
+    """How many respondents the estimators leave out, and why (one row)."""
+    degree = F.col(frame.degree)
+    return df.agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col(frame.outcome).isNull()).alias("no_outcome"),
+        F.count_if(degree.isNull()).alias("no_degree"),
+        F.count_if(degree.isNotNull() & ~F.coalesce(_known_degree(frame), F.lit(False))).alias("bad_degree"),
+        F.count_if(F.col(frame.outcome).isNull() | ~F.coalesce(_known_degree(frame), F.lit(False))).alias("left_out"),
+    )
+
+
 def recruiter_from_coupons(
     df: DataFrame, coupons: list[str], subject: str = "own_coupon", key: str = "id"
 ) -> DataFrame:
@@ -200,6 +225,7 @@ def _rds_i_expr(d0: str = "harmonic_degree0", d1: str = "harmonic_degree1") -> C
 
 def rds_i_binary(df: DataFrame, frame: Frame = Frame()) -> DataFrame:
     """Prevalence of a 0/1 outcome from cross-recruitment shares and harmonic degrees."""
+    df = usable(df, frame)
     row = _two_group_row(recruitment_counts(df, frame), group_degrees(df, frame))
     return row.select(F.lit("RDS-I").alias("estimator"), _rds_i_expr().alias("estimate"))
 
@@ -220,6 +246,7 @@ def _stationary(r: pd.DataFrame, levels: list) -> np.ndarray:
 
 def _level_table(df: DataFrame, frame: Frame) -> pd.DataFrame:
     """Size, degrees and RDS-I share of every level (one row per level, checked to be few)."""
+    df = usable(df, frame)
     deg = _bounded(group_degrees(df, frame)).sort_values("level").reset_index(drop=True)
     pi = _stationary(_bounded(recruitment_counts(df, frame)), deg["level"].tolist())
     share = pi / deg["harmonic_degree"].to_numpy()
@@ -236,7 +263,7 @@ def rds_i(df: DataFrame, frame: Frame = Frame()) -> DataFrame:
 
 def rds_ii(df: DataFrame, frame: Frame = Frame()) -> DataFrame:
     """Inverse-degree weighted mean of a numeric (0/1 or continuous) outcome."""
-    known = df.where(F.col(frame.outcome).isNotNull())
+    known = usable(df, frame)
     w = _inverse(F.col(frame.degree))
     return known.agg(ratio(F.sum(w * F.col(frame.outcome)), F.sum(w)).alias("estimate")).select(
         F.lit("RDS-II").alias("estimator"), "estimate"
@@ -245,7 +272,7 @@ def rds_ii(df: DataFrame, frame: Frame = Frame()) -> DataFrame:
 
 def rds_ii_levels(df: DataFrame, frame: Frame = Frame()) -> DataFrame:
     """Inverse-degree weighted share of every level."""
-    w = df.where(F.col(frame.outcome).isNotNull()).groupBy(
+    w = usable(df, frame).groupBy(
         F.col(frame.outcome).alias("level")
     ).agg(F.sum(_inverse(F.col(frame.degree))).alias("w"))
     total = F.sum("w").over(W.partitionBy())  # one row per level
@@ -256,17 +283,30 @@ def _solve_rate(degree: np.ndarray, count: np.ndarray, size: float) -> float:
     """Rate ``t`` at which inclusion ``1 - exp(-d t)`` makes the weights add up to ``size``."""
     if size < count.sum():
         raise ValueError("the population cannot be smaller than the sample")
+    if not (np.isfinite(degree).all() and (degree > 0).all()):
+        raise ValueError("degrees must be known and positive; see usable()")
+
+    def total(log_rate: float) -> float:
+        return float((count / -np.expm1(-degree * math.exp(log_rate))).sum())
+
     lo, hi = math.log(1e-18), math.log(1e3)
-    for _ in range(100):
+    # weights fall from near infinity to the sample size as the rate grows
+    while total(lo) < size:
+        lo -= 10
+    while total(hi) > max(size, count.sum() * (1 + 1e-12)):
+        hi += 10
+    for _ in range(200):
         mid = (lo + hi) / 2
-        total = float((count / -np.expm1(-degree * math.exp(mid))).sum())
-        lo, hi = (mid, hi) if total > size else (lo, mid)
+        lo, hi = (mid, hi) if total(mid) > size else (lo, mid)
+        if hi - lo < 1e-15 * max(1.0, abs(hi)):
+            break
     return math.exp((lo + hi) / 2)
 
 
 def ss_rate(df: DataFrame, size: float, frame: Frame = Frame()) -> float:
     """Successive-sampling rate from the degree histogram (the only thing that leaves Spark)."""
-    hist = _bounded(df.groupBy(F.col(frame.degree).alias("d")).agg(F.count("*").alias("n")))
+    known = df.where(_known_degree(frame))
+    hist = _bounded(known.groupBy(F.col(frame.degree).alias("d")).agg(F.count("*").alias("n")))
     return _solve_rate(hist["d"].to_numpy(float), hist["n"].to_numpy(float), size)
 
 
@@ -277,8 +317,8 @@ def ss_weight(rate: float, frame: Frame = Frame()) -> Column:
 
 def ss_estimate(df: DataFrame, size: float, frame: Frame = Frame()) -> DataFrame:
     """Without-replacement estimate for a population of ``size`` (Gile 2011, mean-field form)."""
-    w = ss_weight(ss_rate(df, size, frame), frame)
-    known = df.where(F.col(frame.outcome).isNotNull())
+    known = usable(df, frame)
+    w = ss_weight(ss_rate(known, size, frame), frame)
     return known.agg(ratio(F.sum(w * F.col(frame.outcome)), F.sum(w)).alias("estimate")).select(
         F.lit("SS").alias("estimator"), "estimate"
     )
@@ -302,7 +342,7 @@ def hcg_fit(df: DataFrame, size: float, frame: Frame = Frame(), slices: int = 50
     that time. Spark reduces the data to a (time slice, group, degree) histogram and (time slice,
     group, group) recruitment counts; the fixed point is solved on those.
     """
-    hist, moves = _timed_cells(_with_slice(df, frame, slices), frame)
+    hist, moves = _timed_cells(_with_slice(usable(df, frame), frame, slices), frame)
     return _hcg_solve(_bounded(hist), _bounded(moves), size, slices)
 
 
@@ -402,11 +442,15 @@ def hcg_estimate(df: DataFrame, size: float, frame: Frame = Frame()) -> DataFram
 
 
 def weights(df: DataFrame, size: float, frame: Frame = Frame()) -> DataFrame:
-    """RDS-I, RDS-II and SS weight per respondent, each scaled to mean 1."""
-    levels = _level_table(df, frame)
-    rate = ss_rate(df, size, frame)
+    """RDS-I, RDS-II and SS weight per respondent, each scaled to mean 1 over the usable ones.
+
+    Respondents without a known outcome or a positive degree keep their row, with null weights.
+    """
+    known = usable(df, frame)
+    levels = _level_table(known, frame)
+    rate = ss_rate(known, size, frame)
     # one row of totals
-    sums = df.agg(
+    sums = known.agg(
         F.count("*").alias("n"), F.sum(_inverse(F.col(frame.degree))).alias("inv"),
         F.sum(ss_weight(rate, frame)).alias("ss"),
     ).first()
@@ -418,10 +462,12 @@ def weights(df: DataFrame, size: float, frame: Frame = Frame()) -> DataFrame:
     # one row per level, already checked to be few
     table = F.broadcast(df.sparkSession.createDataFrame(rows, f"__l {kind}, w_rds_i double"))
     out = df.join(table, df[frame.outcome] == table["__l"], "left").drop("__l")
+    fits = F.col(frame.outcome).isNotNull() & _known_degree(frame)
     return out.withColumns(
         {
-            "w_rds_ii": _inverse(F.col(frame.degree)) * (sums["n"] / sums["inv"]),
-            "w_ss": ss_weight(rate, frame) * (sums["n"] / sums["ss"]),
+            "w_rds_i": F.when(fits, F.col("w_rds_i")),
+            "w_rds_ii": F.when(fits, _inverse(F.col(frame.degree)) * (sums["n"] / sums["inv"])),
+            "w_ss": F.when(fits, ss_weight(rate, frame) * (sums["n"] / sums["ss"])),
         }
     )
 
@@ -429,8 +475,9 @@ def weights(df: DataFrame, size: float, frame: Frame = Frame()) -> DataFrame:
 def hcg_weights(df: DataFrame, size: float, frame: Frame = Frame()) -> DataFrame:
     """Homophily-model weight per respondent, scaled to mean 1."""
     fit = hcg_fit(df, size, frame)
-    total = df.agg(F.count("*").alias("n")).first()["n"]
-    return df.withColumn("w_hcg", _hcg_row_weight(fit, frame) * (total / size))
+    total = usable(df, frame).agg(F.count("*").alias("n")).first()["n"]
+    weight = _hcg_row_weight(fit, frame) * (total / size)
+    return df.withColumn("w_hcg", F.when(_known_degree(frame), weight))
 
 
 def convergence(df: DataFrame, frame: Frame = Frame(), by: list[str] | None = None) -> DataFrame:
@@ -477,7 +524,7 @@ def convergence_grid(
     """
     by = by or []
     keys = [*by, "cut_point"]
-    hist, moves = _timed_cells(_with_slice(df, frame, points, by), frame, by)
+    hist, moves = _timed_cells(_with_slice(usable(df, frame), frame, points, by), frame, by)
     # both count tables feed several steps
     hist, moves = checkpointed(hist), checkpointed(moves)
     later = F.explode(F.sequence(F.col("slice"), F.lit(points))).alias("cut_point")
@@ -716,6 +763,18 @@ def suitability(
     return wide.select(F.inline(F.array(*rows)))
 
 
+def _uniform(seed: int, replicate: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Draws in [0, 1) that depend on (seed, replicate, step) alone."""
+    with np.errstate(over="ignore"):
+        x = np.full(len(step), seed, np.uint64)
+        for part in (replicate, step):
+            x = (x + np.uint64(0x9E3779B97F4A7C15)) ^ part.astype(np.uint64)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x = x ^ (x >> np.uint64(31))
+    return (x >> np.uint64(11)).astype(float) * 2.0**-53
+
+
 def bootstrap(
     df: DataFrame,
     frame: Frame = Frame(),
@@ -730,15 +789,20 @@ def bootstrap(
     With a population ``size`` the SS estimate is replicated too, and RDS-I and RDS-II intervals carry
     the finite-population factor.
 
-    A replicate redraws the whole sample: the next respondent's group follows the recruits of the
-    current group, and the degree is drawn among those recruits. Only recruitment cells (recruiter
-    group, group, degree) are shipped to the tasks; chains are split into pieces of ``chain`` draws,
-    each with its own seeded generator, so results do not depend on partitioning.
+    A replicate redraws the whole sample as one chain: the next respondent's group follows the recruits
+    of the current group, and the degree is drawn among those recruits. Only recruitment cells
+    (recruiter group, group, degree) are shipped to the tasks. Pieces of ``chain`` draws are simulated
+    side by side from both groups they may start in and then put together, and the draw of a step is a
+    hash of (seed, replicate, step): neither piece length nor partitioning changes a result. The outcome
+    must be 0 or 1.
     """
+    df = usable(df, frame)
     cells = _bounded(recruitment_counts(df, frame, [frame.degree])).rename(
         columns={frame.degree: "d"}
     ).sort_values(["g", "h", "d"])
     pool = _bounded(df.groupBy(F.col(frame.outcome).alias("h")).agg(F.count("*").alias("n")))
+    if not set(pool["h"].tolist()) <= {0, 1}:
+        raise ValueError("the chain bootstrap needs an outcome of 0 and 1")
     start = np.array([float(pool.loc[pool["h"] == v, "n"].sum()) for v in (0, 1)])
     n = int(start.sum())
     start = start / n
@@ -752,26 +816,41 @@ def bootstrap(
         for (g, h), part in cells.groupby(["g", "h"])
     }
 
+    counted = [f"m{k}{c}" for k in (0, 1) for c in ("00", "01", "10", "11")]
+
     def simulate(batches):
+        p = np.array(to_one)
         for batch in batches:
             ids = batch["id"].to_numpy()
             for at in range(0, len(ids), 256):
                 unit = ids[at : at + 256]
                 rep, piece = unit // pieces, unit % pieces
                 length = np.where(piece == pieces - 1, n - chain * (pieces - 1), chain)
-                u = np.ones((len(unit), chain + 1))
-                for i in range(len(unit)):
-                    gen = np.random.default_rng([seed, int(rep[i]), int(piece[i])])
-                    u[i, : length[i] + 1] = gen.random(length[i] + 1)
-                state = (u[:, 0] < start[1]).astype(int)
-                p = np.array(to_one)
-                moved = np.zeros((len(unit), 4), dtype=np.int64)
+                # both groups the piece may start in
+                state = np.tile(np.array([0, 1]), (len(unit), 1))
+                moved = np.zeros((len(unit), 2, 4), dtype=np.int64)
                 rows = np.arange(len(unit))
-                for step in range(1, chain + 1):
-                    nxt = (u[:, step] < p[state]).astype(int)
-                    moved[rows, 2 * state + nxt] += step <= length
-                    state = nxt
-                yield pd.DataFrame({"rep": rep, **{f"m{i:02b}": moved[:, i] for i in range(4)}})
+                for step in range(1, int(length.max()) + 1):
+                    live = step <= length
+                    u = _uniform(seed, rep, piece * chain + step)
+                    nxt = (u[:, None] < p[state]).astype(int)
+                    for k in (0, 1):
+                        moved[rows, k, 2 * state[:, k] + nxt[:, k]] += live
+                    state = np.where(live[:, None], nxt, state)
+                begin = (_uniform(seed, rep, np.zeros_like(rep)) < start[1]).astype(int)
+                out = {"rep": rep, "piece": piece, "begin": begin, "end0": state[:, 0], "end1": state[:, 1]}
+                flat = moved.reshape(len(unit), 8)
+                yield pd.DataFrame(out | {c: flat[:, i] for i, c in enumerate(counted)})
+
+    def compose(part):
+        """Follow the pieces of one replicate, each from the group the one before ended in."""
+        part = part.sort_values("piece")
+        group, total = int(part["begin"].iloc[0]), np.zeros(4, np.int64)
+        ends, counts_ = part[["end0", "end1"]].to_numpy(), part[counted].to_numpy().reshape(-1, 2, 4)
+        for end, moved in zip(ends, counts_, strict=True):
+            total += moved[group]
+            group = int(end[group])
+        return pd.DataFrame([[part["rep"].iloc[0], *total]], columns=["rep", "m00", "m01", "m10", "m11"])
 
     def attach_degrees(batches):
         for batch in batches:
@@ -798,12 +877,14 @@ def bootstrap(
                 out, columns=["rep", "r00", "r01", "r10", "r11", "inv0", "inv1", "ss"]
             ).astype({"ss": "float64"})
 
-    moves = "m00 long, m01 long, m10 long, m11 long"
     units = df.sparkSession.range(replicates * pieces)
-    summed = (
-        units.mapInPandas(simulate, f"rep long, {moves}")
-        .groupBy("rep")
-        .agg(*[F.sum(f"m{c}").alias(f"m{c}") for c in ("00", "01", "10", "11")])
+    simulated = units.mapInPandas(
+        simulate,
+        "rep long, piece long, begin int, end0 int, end1 int, " + ", ".join(f"{c} long" for c in counted),
+    )
+    # one row per piece of ``chain`` draws
+    summed = simulated.groupBy("rep").applyInPandas(
+        compose, "rep long, m00 long, m01 long, m10 long, m11 long"
     )
     # a few rows, but real work per row: spread them whatever their size
     reps = summed.repartition(df.sparkSession.sparkContext.defaultParallelism, "rep").mapInPandas(

@@ -192,3 +192,52 @@ def test_suitability_reads_the_study(sample):
     assert rows[("large sampling fraction", "RDS-I")] == (False, "ok")
     assert rows[("high differential activity", "RDS-II")][1] == "no"
     assert len(rows) == 32
+
+
+def spoiled(rows):
+    """The sample with rows no estimator can use: null outcome, null, zero and negative degree."""
+    top = max(r[0] for r in rows) + 1
+    bad = [(5, None), (None, 1), (0, 1), (-3, 0)]
+    return rows + [(top + i, rows[i][0], d, y, 10_000 + i) for i, (d, y) in enumerate(bad)]
+
+
+@pytest.mark.parametrize(
+    "estimate",
+    [
+        lambda df: R.rds_i(df),
+        lambda df: R.rds_i_binary(df),
+        lambda df: R.rds_ii(df),
+        lambda df: R.rds_ii_levels(df),
+        lambda df: R.ss_estimate(df, 3000),
+        lambda df: R.hcg_estimate(df, 3000),
+        lambda df: R.bootstrap(df, replicates=5, size=3000),
+        lambda df: R.weights(df, 3000).where("w_ss is not null").orderBy("id").select("w_rds_i", "w_rds_ii", "w_ss"),
+        lambda df: R.convergence_grid(df, 3000, points=3),
+    ],
+)
+def test_unusable_rows_change_nothing(spark, estimate):
+    rows, _ = make_sample(want=200)
+    got = estimate(spark.createDataFrame(spoiled(rows), SCHEMA)).collect()
+    want = estimate(spark.createDataFrame(rows, SCHEMA)).collect()
+    as_rows = lambda rs: sorted([tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rs], key=str)
+    assert as_rows(got) == as_rows(want)
+
+
+def test_unusable_rows_are_counted(spark):
+    rows, _ = make_sample(want=50)
+    got = R.left_out(spark.createDataFrame(spoiled(rows), SCHEMA)).first()
+    assert (got.n, got.no_outcome, got.no_degree, got.bad_degree, got.left_out) == (54, 1, 1, 2, 4)
+
+
+def test_bootstrap_does_not_depend_on_the_piece_length(spark):
+    rows, _ = make_sample(want=300)
+    df = spark.createDataFrame(rows, SCHEMA).cache()
+    want = R.bootstrap(df, replicates=20, size=3000).orderBy("estimator").collect()
+    for chain in (1, 7, 299, 300, 301):
+        assert R.bootstrap(df, replicates=20, size=3000, chain=chain).orderBy("estimator").collect() == want
+
+
+def test_rate_needs_positive_degrees():
+    with pytest.raises(ValueError, match="positive"):
+        R._solve_rate(np.array([0.0, 2.0]), np.array([1.0, 5.0]), 100)
+    assert R._solve_rate(np.array([2.0]), np.array([5.0]), 1e30) > 0
