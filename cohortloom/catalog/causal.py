@@ -69,7 +69,7 @@ def _(v):
     return E.mantel_haenszel(v.effects, "c").select("rr_adj", "or_adj", "n_strata")
 
 
-_SIDE = "CASE WHEN {0} > 1.05 THEN 1 WHEN {0} < 1 / 1.05 THEN -1 ELSE 0 END"
+_SIDE = "(CASE WHEN {0} > 1.05 THEN 1 WHEN {0} < 1 / 1.05 THEN -1 ELSE 0 END)"
 
 
 def _pattern(crude: str, low: str, high: str) -> str:
@@ -81,6 +81,7 @@ def _pattern(crude: str, low: str, high: str) -> str:
         f" WHEN {between} AND NOT {high} / {low} <= 1.5 AND {qual} THEN 'qualitative interaction'"
         f" WHEN {between} AND NOT {high} / {low} <= 1.5 THEN 'quantitative interaction'"
         f" WHEN {between} OR {low} = {crude} OR {high} = {crude} THEN 'no clear change'"
+        f" WHEN NOT {high} / {low} <= 1.5 OR {_SIDE.format(low)} * {_SIDE.format(high)} < 0 THEN 'leans to confounding'"
         f" WHEN ({mean} - 1) * ({crude} - 1) < 0 THEN 'qualitative confounding'"
         f" WHEN ABS(LN({mean})) < ABS(LN({crude})) THEN 'positive confounding' ELSE 'negative confounding' END"
     )

@@ -69,7 +69,8 @@ def classify(
 ) -> Column:
     """Pattern of the stratum RRs (their ``low`` and ``high`` end) around the crude RR.
 
-    Crude strictly between differing strata is interaction; strata on one side of it is confounding.
+    Crude strictly between differing strata is interaction. Strata on one side of it are confounding
+    if they are alike and on one side of 1, and otherwise only lean that way.
     ``alike`` is the largest ratio at which stratum RRs still count as the same.
     """
     side = lambda v: M.side_of_null(v, near_null)
@@ -89,6 +90,7 @@ def classify(
         .when(between & ~same & qualitative, "qualitative interaction")
         .when(between & ~same, "quantitative interaction")
         .when(between | (low == crude) | (high == crude), "no clear change")
+        .when(~same | (side(low) * side(high) < 0), "leans to confounding")
         .otherwise(confounding)
     )
 

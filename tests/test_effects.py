@@ -19,6 +19,8 @@ from cohortloom.plans.confounding import adjustment_covariates
         (3.0, 5.0, 0.6, "qualitative interaction"),
         (0.4, 0.5, 0.55, "positive confounding"),
         (2.0, 1.9, 2.1, "no clear change"),
+        (8.0, 1.2, 6.0, "leans to confounding"),
+        (2.0, 0.5, 1.4, "leans to confounding"),
     ],
 )
 def test_patterns(spark, crude, a, b, want):
