@@ -186,28 +186,37 @@ def any_lab_flags(framed: DataFrame, rules: list[LimitRule] = LIMIT_RULES) -> Da
     """
     rows = grade_rows(framed)
     has = F.col(RESULT).isNotNull()
-    highs = F.col(LAB).isin([r.lab for r in rules if r.column == HIGH])
-    lows = F.col(LAB).isin([r.lab for r in rules if r.column == LOW])
+    open_labs = {c: F.col(LAB).isin([r.lab for r in rules if r.column == c]) for c in (HIGH, LOW)}
+    # the group's own limit, as each rule asks for it
+    own = {}
+    for c in (HIGH, LOW):
+        value = F.lit(None).cast("double")
+        for how, pick in (("min", F.min), ("max", F.max)):
+            labs = [r.lab for r in rules if (r.column, r.own) == (c, how)]
+            if labs:
+                value = F.coalesce(value, pick(F.when(F.col(LAB).isin(labs), F.col(c))))
+        own[c] = value
     flags = [f"{c}_g{g}" for c in LAB_CONDITIONS for g in GRADES]
     usable = F.when(F.col(LAB) == CREATININE, F.col("crcl").isNotNull()).otherwise(has)
     groups = rows.groupBy(ID, FRAME, LAB, "siteid").agg(
         F.count_if(usable).alias("__rows"),
         F.count_if(has).alias("__known"),
         *[F.max(F.when(has, F.col(f))).alias(f"__k_{f}") for f in flags],
-        F.coalesce(
-            F.max(F.when(highs & F.col(HIGH).isNull(), F.col(RESULT))),
-            F.min(F.when(lows & F.col(LOW).isNull(), F.col(RESULT))),
-        ).alias(RESULT),
-        F.min(F.when(highs, F.col(HIGH))).alias(HIGH),
-        F.max(F.when(lows, F.col(LOW))).alias(LOW),
+        F.max(F.when(open_labs[HIGH] & F.col(HIGH).isNull(), F.col(RESULT))).alias("__highest"),
+        F.min(F.when(open_labs[LOW] & F.col(LOW).isNull(), F.col(RESULT))).alias("__lowest"),
+        own[HIGH].alias(HIGH),
+        own[LOW].alias(LOW),
     )
-    # for the extreme row the kidney flags are already known and stay out
-    filled = grade_rows(impute_constant(groups, rules).withColumn("crcl", F.lit(None).cast("double")))
-    open_row = F.col(RESULT).isNotNull()
-    merged = [
-        F.max(F.greatest(F.col(f"__k_{f}"), F.when(open_row, F.col(f)))).alias(f"{f}_lab")
-        for f in flags
-    ]
+    filled = impute_constant(groups, rules).withColumn("crcl", F.lit(None).cast("double"))
+    merged = [F.col(f"__k_{f}") for f in flags]
+    # for the extreme rows the kidney flags are already known and stay out
+    for extreme in ("__highest", "__lowest"):
+        filled = grade_rows(filled.withColumn(RESULT, F.col(extreme))).withColumnsRenamed(
+            {f: f"{extreme}_{f}" for f in flags}
+        )
+        there = F.col(extreme).isNotNull()
+        merged = [F.greatest(m, F.when(there, F.col(f"{extreme}_{f}"))) for m, f in zip(merged, flags)]
+    merged = [F.max(m).alias(f"{f}_lab") for m, f in zip(merged, flags)]
     counts = [
         F.sum(F.when(lab_rows_of(c), F.col("__rows")).otherwise(0)).alias(f"{c}_lab_rows")
         for c in LAB_CONDITIONS

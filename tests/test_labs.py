@@ -1,3 +1,4 @@
+import dataclasses
 import datetime as dt
 import random
 
@@ -124,7 +125,12 @@ def test_clearance_uses_the_weight_of_its_frame(frame):
     assert got[1] is None and got[2] == float("inf") and got[3] is None and got[4] is None
 
 
-def test_group_flags_equal_row_flags_with_a_hot_person(spark, frame):
+SWAPPED = [dataclasses.replace(r, own="max" if r.own == "min" else "min") for r in L.LIMIT_RULES]
+TWO_SIDED = [*L.LIMIT_RULES, L.LimitRule(L.HEMOGLOBIN, L.HIGH, "min", 16.0)]
+
+
+@pytest.mark.parametrize("rules", [L.LIMIT_RULES, SWAPPED, TWO_SIDED])
+def test_group_flags_equal_row_flags_with_a_hot_person(spark, frame, rules):
     """The join-free person-frame flags equal grading every imputed row; one person holds a third."""
     rnd = random.Random(3)
     rows = []
@@ -139,8 +145,8 @@ def test_group_flags_equal_row_flags_with_a_hot_person(spark, frame):
         crcl = None if lab != 11 or result is None or rnd.random() < 0.2 else result * 20
         rows.append((who, DAY, lab, 1, result, low, high, 1 + who % 2, rnd.randrange(1, 5), crcl))
     df = frame(rows, FRAMED)
-    done = L.impute_constant(L.drop_null_results(L.impute_own_record(df)))
-    slow, fast = T.lab_flags(T.grade_rows(done)), T.any_lab_flags(df)
+    done = L.impute_constant(L.drop_null_results(L.impute_own_record(df, rules)), rules)
+    slow, fast = T.lab_flags(T.grade_rows(done)), T.any_lab_flags(df, rules)
     cols = ["studyid", "time_frame", *[f"{c}_g{g}_lab" for c in T.LAB_CONDITIONS for g in (1, 2, 3)],
             *[f"{c}_lab_rows" for c in T.LAB_CONDITIONS]]
     as_rows = lambda d: sorted(map(tuple, d.select(*cols).collect()), key=str)
