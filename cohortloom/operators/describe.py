@@ -38,21 +38,24 @@ def table_one(
     non-missing total. One aggregation serves all variables and filters.
     """
     filters = filters or {"all": F.lit(True)}
-    masks = F.array(*[F.when(c, F.lit(n)) for n, c in filters.items()])
+    masks = {f"__m{i}": c for i, c in enumerate(filters.values())}
     cells = F.array(
         *[
             F.struct(F.lit(v).alias("variable"), F.col(v).cast("string").alias("level"))
             for v in variables
         ]
     )
+    # rows fan out over variables only; each filter is one conditional count
     counts = (
-        df.select(masks.alias("__m"), cells.alias("__c"))
-        .select(F.explode("__m").alias("subset"), "__c")
-        .where("subset IS NOT NULL")
-        .select("subset", F.inline("__c"))
-        .groupBy("subset", "variable", "level")
-        .agg(F.count("*").alias("n"))
+        df.select(*[c.alias(m) for m, c in masks.items()], cells.alias("__c"))
+        .select(*masks, F.inline("__c"))
+        .groupBy("variable", "level")
+        .agg(*[F.count_if(m).alias(m) for m in masks])
     )
+    subsets = F.array(
+        *[F.struct(F.lit(n).alias("subset"), F.col(m).alias("n")) for n, m in zip(filters, masks)]
+    )
+    counts = counts.select("variable", "level", F.inline(subsets)).where("n > 0")
     known = F.when(F.col("level").isNotNull(), F.col("n"))
     total = F.sum(known).over(W.partitionBy("subset", "variable"))
     pct = F.when(F.col("level").isNotNull(), 100 * ratio(F.col("n"), total))
