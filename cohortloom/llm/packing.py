@@ -7,6 +7,7 @@ packed by the sum-of-squares rule, and only lengths and places travel, never tok
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import cache
 
@@ -22,7 +23,9 @@ from .shared import arrow_map, keyed
 LENGTH = 2048
 END = 0
 GROUP = 20_000
-MOST_CACHED = 400_000
+MOST_WORDS = 200_000
+MOST_PARTS = 600_000
+_SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 PIECES = "doc_id long, text_key long, piece int, start long, length long, ids_crc32 long, row long"
 PLACED = (
@@ -38,6 +41,31 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# words of these characters are already in composed form and split by simple rules: letters, single
+# digits, and runs of anything else; an apostrophe or a special token's "<|" needs the whole tokenizer
+_PLAIN = re.compile(r"(?!.*<\|)[!-&(-~À-ÖØ-öø-ÿ]+")
+_PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-zÀ-ÖØ-öø-ÿ0-9]+")
+# the byte-level alphabet: visible Latin-1 characters stand for themselves, the rest follow from 256
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+
+
+class _Parts(dict):
+    """Lower-cased letter run, digit or mark run -> little-endian 32-bit ids, straight from the model."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenize = tokenizer.model.tokenize
+
+    def __missing__(self, part: str) -> bytes:
+        coded = part if part.isascii() else part.encode().decode("latin-1").translate(_ALPHABET)
+        found = np.array([t.id for t in self.tokenize(coded)], "<u4").tobytes()
+        if len(self) >= MOST_PARTS:
+            self.clear()
+        self[part] = found
+        return found
+
+
 class TokenBytes(dict):
     """Word -> little-endian 32-bit ids, filled on demand.
 
@@ -49,20 +77,23 @@ class TokenBytes(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.encode = Tokenizer.from_file(path).encode
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.parts = tokenizer.encode, _Parts(tokenizer)
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word, add_special_tokens=False).ids
-        found = np.array(ids, "<u4").tobytes()
-        if len(self) >= MOST_CACHED:
+        if _PLAIN.fullmatch(word):
+            found = b"".join(map(self.parts.__getitem__, _PARTS.findall(word.lower())))
+        else:
+            found = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self) >= MOST_WORDS:
             self.clear()
         self[word] = found
         return found
 
     def of(self, text: str | None) -> bytes:
         # ASCII white space only: it is white space to the tokenizer whatever stands around it
-        words = (text or "").encode().split()
-        return b"".join(map(self.__getitem__, [w.decode() for w in words]))
+        words = _SPACE.split(text or "")
+        return b"".join(map(self.__getitem__, filter(None, words)))
 
 
 @cache

@@ -19,6 +19,15 @@ def ids_of(text):
     return [*TOKENIZER.encode(text or "", add_special_tokens=False).ids, 0]
 
 
+def test_words_have_the_tokenizers_ids():
+    table = packing.TokenBytes(packing.tokenizer_path())
+    rng = np.random.default_rng(6)
+    alphabet = list("abcXYZ019_'-.,!<|>\"#&ÀÖ×Øß÷ÿµªº éñ\u0301İſ\u00adΣ漢\x85\xa0\x1f\t\n") + ["<|endoftext|>", "'s", "'LL"]
+    for _ in range(3000):
+        text = "".join(rng.choice(alphabet, rng.integers(1, 14)))
+        assert table.of(text) == np.array(ids_of(text)[:-1], "<u4").tobytes(), repr(text)
+
+
 def check(rows, got, length):
     want = Counter()
     for r in rows:
