@@ -32,7 +32,8 @@ UNION ALL SELECT 'bad network size', {big('COUNT(*) FILTER (network_size IS NULL
 UNION ALL SELECT 'self recruitment', {big('COUNT(*) FILTER (id = recruiter_id)')} FROM rds
 UNION ALL SELECT 'repeated id', {big('COUNT(*)')} FROM (SELECT id FROM rds GROUP BY 1 HAVING COUNT(*) > 1) a
 UNION ALL SELECT 'unknown recruiter', {big('COUNT(*)')} FROM rds WHERE recruiter_id IS NOT NULL AND recruiter_id NOT IN (SELECT id FROM rds)
-UNION ALL SELECT 'recruited before recruiter', {big('COUNT(*)')} FROM rds r JOIN rds o ON r.recruiter_id = o.id WHERE o.sample_order > r.sample_order""")
+UNION ALL SELECT 'recruited before recruiter', {big('COUNT(*)')} FROM rds r JOIN rds o ON r.recruiter_id = o.id WHERE o.sample_order > r.sample_order
+UNION ALL SELECT 'no path to a seed', {big('COUNT(*)')} FROM rds WHERE id NOT IN (SELECT id FROM waves WHERE seed_id IS NOT NULL)""")
 def _(v):
     return R.validity_report(v.rds)
 
@@ -129,6 +130,40 @@ def _(v):
     return R.convergence(v.rds)
 
 
+def _every_m(source: str, by: str) -> str:
+    """RDS-I at every m from running sums; a recruitment counts at the later of its ends."""
+    part = f"PARTITION BY {by} " if by else ""
+    keys = f"{by}, " if by else ""
+    run = lambda x: f"SUM({x}) OVER w"
+    moved = {c: run(f"COALESCE(r{c}, 0)") for c in ("00", "01", "10", "11")}
+    flow = {
+        "01": f"({moved['01']} * 1.0 / NULLIF({moved['00']} + {moved['01']}, 0))",
+        "10": f"({moved['10']} * 1.0 / NULLIF({moved['10']} + {moved['11']}, 0))",
+    }
+    deg = {
+        g: f"({run(f'CASE WHEN y = {g} THEN 1 ELSE 0 END')} / NULLIF({run(f'CASE WHEN y = {g} THEN 1.0 / network_size ELSE 0 END')}, 0))"
+        for g in (0, 1)
+    }
+    a, b = f"({flow['01']} * {deg[0]})", f"({flow['10']} * {deg[1]})"
+    counts = ", ".join(f"COUNT(*) FILTER (g = {c[0]} AND h = {c[1]}) AS r{c}" for c in ("00", "01", "10", "11"))
+    return f"""
+SELECT {keys}id, {big('ROW_NUMBER() OVER w')} AS m, {r6(f'{a} / NULLIF({a} + {b}, 0)')} AS estimate
+FROM {source} LEFT JOIN (SELECT at_id, {counts} FROM (
+ SELECT CASE WHEN (o.sample_order, o.id) > (r.sample_order, r.id) THEN o.id ELSE r.id END AS at_id, o.y AS g, r.y AS h
+ FROM {source} r JOIN {source} o ON r.recruiter_id = o.id) l GROUP BY 1) p ON p.at_id = id
+WINDOW w AS ({part}ORDER BY sample_order, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+
+@query("k12_convergence_rds_i", _every_m("rds", ""))
+def _(v):
+    return R.convergence_rds_i(v.rds)
+
+
+@query("k13_bottleneck_rds_i", _every_m("waves", "seed_id"))
+def _(v):
+    return R.convergence_rds_i(R.with_waves(v.rds), by=["seed_id"])
+
+
 _GRID = {
     "ranked": "SELECT *, CAST(CEIL(ROW_NUMBER() OVER (ORDER BY sample_order, id) * 20.0 / COUNT(*) OVER ()) AS INTEGER) AS slice FROM rds",
     "points": "SELECT UNNEST(RANGE(1, 21)) AS cut_point",

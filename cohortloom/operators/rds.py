@@ -152,6 +152,8 @@ def validity_report(df: DataFrame, frame: Frame = Frame()) -> DataFrame:
         rules.append(
             late.agg(F.count("*").alias("n_bad")).withColumn("rule", F.lit("recruited before recruiter"))
         )
+    lost = circular(df.where(i.isNotNull()).dropDuplicates([frame.id]), frame)
+    rules.append(lost.agg(F.count("*").alias("n_bad")).withColumn("rule", F.lit("no path to a seed")))
     return reduce(DataFrame.unionByName, [x.select("rule", "n_bad") for x in rules])
 
 
@@ -495,6 +497,47 @@ def convergence(df: DataFrame, frame: Frame = Frame(), by: list[str] | None = No
     return ran.select(*by, frame.id, "m", ratio(F.col("__wy"), F.col("__w")).alias("estimate"))
 
 
+def convergence_rds_i(
+    df: DataFrame, frame: Frame = Frame(), by: list[str] | None = None
+) -> DataFrame:
+    """RDS-I estimate of a 0/1 outcome on the first m respondents for every m (per ``by`` when given).
+
+    A recruitment counts from the later of its two ends on. Everything RDS-I needs is a running sum:
+    recruitments between the groups, group sizes and inverse degrees. Null while a group is empty or
+    has recruited nobody.
+    """
+    by = by or []
+    i, t = F.col(frame.id), F.col(frame.order)
+    roles = [frame.id, frame.recruiter, frame.order, frame.degree, frame.outcome]
+    src = checkpointed(usable(df, frame).select(*dict.fromkeys([*by, *roles])))
+    owners = src.select(i.alias("__o"), F.struct(t, i).alias("__made"), F.col(frame.outcome).alias("__g"))
+    moves = {(g, h): f"__r{g}{h}" for g in (0, 1) for h in (0, 1)}
+    ends = (
+        src.where(F.col(frame.recruiter).isNotNull())
+        .join(owners, F.col(frame.recruiter) == F.col("__o"))
+        .select(F.greatest(F.struct(t, i), F.col("__made")).alias("__at"), "__g", F.col(frame.outcome).alias("__h"))
+        .groupBy(F.col("__at")[frame.id].alias("__e"))
+        .agg(*[F.count_if((F.col("__g") == g) & (F.col("__h") == h)).alias(c) for (g, h), c in moves.items()])
+    )
+    rows = src.join(ends, i == F.col("__e"), "left").drop("__e").fillna(0, [*moves.values()])
+    mine = {g: F.col(frame.outcome) == g for g in (0, 1)}
+    sums = {"m": F.lit(1), **{f"s{c}": F.col(c) for c in moves.values()}}
+    for g in (0, 1):
+        sums[f"__n{g}"] = F.when(mine[g], 1).otherwise(0)
+        sums[f"__inv{g}"] = F.when(mine[g], _inverse(F.col(frame.degree))).otherwise(0.0)
+    ran = running_sums(checkpointed(rows), by, [t, i], [t, i], sums)
+    col = {c: F.col(f"s__r{c}") for c in ("00", "01", "10", "11")}
+    ran = ran.withColumns(
+        {
+            "s01": ratio(col["01"], col["00"] + col["01"]),
+            "s10": ratio(col["10"], col["10"] + col["11"]),
+            "d0": ratio(F.col("__n0"), F.col("__inv0")),
+            "d1": ratio(F.col("__n1"), F.col("__inv1")),
+        }
+    )
+    return ran.select(*by, frame.id, "m", _rds_i_expr("d0", "d1").alias("estimate"))
+
+
 def _with_slice(
     df: DataFrame, frame: Frame, points: int, by: list[str] | None = None
 ) -> DataFrame:

@@ -241,3 +241,15 @@ def test_rate_needs_positive_degrees():
     with pytest.raises(ValueError, match="positive"):
         R._solve_rate(np.array([0.0, 2.0]), np.array([1.0, 5.0]), 100)
     assert R._solve_rate(np.array([2.0]), np.array([5.0]), 1e30) > 0
+
+
+def test_rds_i_at_every_m(spark):
+    """The first m respondents on their own give the estimate of row m."""
+    rows, _ = make_sample(want=60)
+    rows[30] = (rows[30][0], rows[59][0], *rows[30][2:])  # a recruiter who joins later
+    df = spark.createDataFrame(spoiled(rows), SCHEMA)
+    got = {r.m: r.estimate for r in R.convergence_rds_i(df).collect()}
+    assert sorted(got) == list(range(1, 61))
+    for m in (2, 31, 45, 60):
+        want = R.rds_i_binary(spark.createDataFrame(rows[:m], SCHEMA)).first().estimate
+        assert got[m] == (want if want is None else pytest.approx(want))
