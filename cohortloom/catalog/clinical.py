@@ -180,14 +180,24 @@ def _(v):
     )
 
 
-@query("g10_missing_pattern", f"""
-SELECT studyid, time_frame, co_tox_lab_name, {big('COUNT(*)')} AS n, {big('COUNT(*) FILTER (co_tox_lab_normal_low IS NULL)')} AS n_missing,
-  CASE WHEN COUNT(*) = COUNT(*) FILTER (co_tox_lab_normal_low IS NULL) THEN 'full' WHEN COUNT(*) FILTER (co_tox_lab_normal_low IS NULL) = 0 THEN 'none' ELSE 'partial' END AS missing_ind
-FROM lab8 WHERE co_tox_lab_name IN (1, 16, 17) GROUP BY 1, 2, 3""")
+def _missing_pattern(limit: str, labs: str) -> str:
+    gone = f"COUNT(*) FILTER ({limit} IS NULL)"
+    return f"""
+SELECT studyid, time_frame, co_tox_lab_name, {big('COUNT(*)')} AS n, {big(gone)} AS n_missing,
+  CASE WHEN COUNT(*) = {gone} THEN 'full' WHEN {gone} = 0 THEN 'none' ELSE 'partial' END AS missing_ind
+FROM lab8 WHERE co_tox_lab_name IN ({labs}) GROUP BY 1, 2, 3"""
+
+
+@query("g10_missing_pattern", _missing_pattern(L.LOW, "1, 16, 17"))
 def _(v):
     return L.missing_pattern(L.blank_limits(P.framed_labs(sources(v))), L.LOW, [1, 16, 17])
 
 
+@query("g10_missing_pattern_high", _missing_pattern(L.HIGH, "6, 7, 8"))
+def _(v):
+    return L.missing_pattern(L.blank_limits(P.framed_labs(sources(v))), L.HIGH, [6, 7, 8])
+
+
 _LIMITS = f"studyid, co_tox_lab_date, co_tox_lab_name, time_frame, {r6('co_tox_lab_normal_low')} AS co_tox_lab_normal_low, {r6('co_tox_lab_normal_high')} AS co_tox_lab_normal_high"
 
 
@@ -252,6 +262,14 @@ def _(v):
     return L.limit_missing_report(P.framed_labs(sources(v), clean=False), L.LOW, [1, 16, 17])
 
 
+_REPORT_HIGH = _REPORT.replace("normal_low", "normal_high").replace("(1, 16, 17)", "(6, 7, 8)")
+
+
+@query("g15_limit_missing_report_high", f"SELECT time_frame, co_tox_lab_name, {_REPORT_HIGH} GROUP BY 1, 2")
+def _(v):
+    return L.limit_missing_report(P.framed_labs(sources(v), clean=False), L.HIGH, [6, 7, 8])
+
+
 @query("g15_limit_missing_by_site", f"SELECT siteid, time_frame, co_tox_lab_name, {_REPORT} GROUP BY 1, 2, 3")
 def _(v):
     framed = P.framed_labs(sources(v), clean=False)

@@ -343,15 +343,24 @@ def _(v):
     return v.lab.groupBy(L.LAB).agg(F.countDistinct(gap).alias("n_patient"))
 
 
-@query("e7_limit_profile", f"""
-SELECT studyid, time_frame, co_tox_lab_name, {big('COUNT(*)')} AS n, {r6('MEDIAN(co_tox_lab_normal_low)')} AS median_limit,
-  {r6('MIN(co_tox_lab_normal_low)')} AS min_limit, {r6('MAX(co_tox_lab_normal_low)')} AS max_limit,
-  CASE WHEN MIN(co_tox_lab_normal_low) = MAX(co_tox_lab_normal_low) THEN 1 ELSE 0 END AS ind
-FROM rawf WHERE co_tox_lab_name IN (1, 16, 17) AND co_tox_lab_normal_low IS NOT NULL GROUP BY 1, 2, 3""")
+def _limit_profile(limit: str, labs: str) -> str:
+    return f"""
+SELECT studyid, time_frame, co_tox_lab_name, {big('COUNT(*)')} AS n, {r6(f'MEDIAN({limit})')} AS median_limit,
+  {r6(f'MIN({limit})')} AS min_limit, {r6(f'MAX({limit})')} AS max_limit,
+  CASE WHEN MIN({limit}) = MAX({limit}) THEN 1 ELSE 0 END AS ind
+FROM rawf WHERE co_tox_lab_name IN ({labs}) AND {limit} IS NOT NULL GROUP BY 1, 2, 3"""
+
+
+@query("e7_limit_profile", _limit_profile(L.LOW, "1, 16, 17"))
 def _(v):
     return L.limit_profile(P.framed_labs(sources(v), clean=False), L.LOW, [1, 16, 17])
 
 
+@query("e7_limit_profile_high", _limit_profile(L.HIGH, "6, 7, 8"))
+def _(v):
+    return L.limit_profile(P.framed_labs(sources(v), clean=False), L.HIGH, [6, 7, 8])
+
+
 _DIST = (
     "{n} AS n, {q1} AS q1, {med} AS median, {q3} AS q3, {lo} AS min, {hi} AS max, {mean} AS mean"
 )
@@ -418,16 +427,25 @@ def _(v):
     return D.lab_presence(P.validation_table(sources(v), SETTINGS), T.LAB_CONDITIONS)
 
 
-@query("e15_missing_mode", f"""
+def _missing_mode(limit: str, labs: str) -> str:
+    return f"""
 SELECT time_frame, co_tox_lab_name, n_patient, missing_ind, n_missing, {r6('100.0 * n_missing / n_patient')} AS percent_missing FROM (
  SELECT time_frame, co_tox_lab_name, missing_ind, {big('COUNT(*)')} AS n_missing, {big('SUM(COUNT(*)) OVER (PARTITION BY time_frame, co_tox_lab_name)')} AS n_patient FROM (
-  SELECT studyid, time_frame, co_tox_lab_name, CASE WHEN COUNT(*) = COUNT(*) FILTER (co_tox_lab_normal_low IS NULL) THEN 'full'
-    WHEN COUNT(*) FILTER (co_tox_lab_normal_low IS NULL) = 0 THEN 'none' ELSE 'partial' END AS missing_ind
-  FROM rawf WHERE co_tox_lab_name IN (1, 16, 17) GROUP BY 1, 2, 3) p GROUP BY 1, 2, 3) q WHERE missing_ind <> 'none'""")
+  SELECT studyid, time_frame, co_tox_lab_name, CASE WHEN COUNT(*) = COUNT(*) FILTER ({limit} IS NULL) THEN 'full'
+    WHEN COUNT(*) FILTER ({limit} IS NULL) = 0 THEN 'none' ELSE 'partial' END AS missing_ind
+  FROM rawf WHERE co_tox_lab_name IN ({labs}) GROUP BY 1, 2, 3) p GROUP BY 1, 2, 3) q WHERE missing_ind <> 'none'"""
+
+
+@query("e15_missing_mode", _missing_mode(L.LOW, "1, 16, 17"))
 def _(v):
     return L.missing_mode_report(P.framed_labs(sources(v), clean=False), L.LOW, [1, 16, 17])
 
 
+@query("e15_missing_mode_high", _missing_mode(L.HIGH, "6, 7, 8"))
+def _(v):
+    return L.missing_mode_report(P.framed_labs(sources(v), clean=False), L.HIGH, [6, 7, 8])
+
+
 # ---- F. windows, sorts, dedup, set operations
 
 

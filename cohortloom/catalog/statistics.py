@@ -109,9 +109,9 @@ def _(v):
 _P = "((tp + tn) / NULLIF(tp + fp + fn + tn, 0))"
 
 
-@query("i5_percent_agreement", f"SELECT {KEYS}, {r6(f'100 * {_P}')} AS agree_pct FROM ({_D}) q WHERE against LIKE 'lab%'")
+@query("i5_percent_agreement", f"SELECT {KEYS}, {r6(f'100 * {_P}')} AS agree_pct FROM ({_D}) q")
 def _(v):
-    out = V.with_agreement(counts(v)).where("against LIKE 'lab%'")
+    out = V.with_agreement(counts(v))
     return out.select(*KEYS.split(", "), "agree_pct")
 
 
