@@ -5,8 +5,8 @@ values per class are hashed band by band; classes that share a band hash form a
 of 8 rows a pair at similarity s meets with probability 1 - (1 - s**8)**40: 0.9994 at 0.8, above
 0.99999 from 0.85 on. Buckets with the same members count once. Members of a bucket bring their full
 shingle sets and all pairs are verified inside the tile they meet in, never written out: a tile gives
-link counts per class and enough edges to connect what is linked. A bucket above ``TILE_BYTES`` is
-cut into blocks, and every two of its blocks meet in a tile of their own.
+link counts per class and enough edges to connect what is linked. A bucket above ``TILE_BYTES`` or
+``TILE_MEMBERS`` is cut into blocks, and every two of its blocks meet in a tile of their own.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from .shared import arrow_map, components, join_documents, keyed, whole_groups
 WIDTH = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 40, 8
-TILE_BYTES = 4 << 20
+TILE_BYTES, TILE_MEMBERS = 4 << 20, 2048
 _SEED = 20_240_607
 
 SIGNED = "doc_id long, text_key long, set_a long, set_b long, shingles int, bands array<long>"
@@ -102,7 +102,8 @@ def _buckets(classes: DataFrame, tile_bytes: int) -> DataFrame:
     sizes = sizes.where("members > 1").groupBy("who", "members").agg(
         F.min("bucket").alias("bucket"), F.max("bytes").alias("bytes")
     )
-    sizes = sizes.select("bucket", F.ceil(F.col("bytes") / tile_bytes).cast("int").alias("blocks"))
+    blocks = F.greatest(F.col("bytes") / tile_bytes, F.col("members") / TILE_MEMBERS)
+    sizes = sizes.select("bucket", F.ceil(blocks).cast("int").alias("blocks"))
     return rows.join(sizes, "bucket").select("bucket", "class", "blocks")
 
 

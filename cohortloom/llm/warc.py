@@ -313,6 +313,13 @@ class Written(WriterCommitMessage):
     files: list
 
 
+def _records(batches, rows: int = 200) -> Iterator[dict]:
+    """Rows of Arrow batches, a few turned into Python objects at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield from batch.slice(lo, rows).to_pylist()
+
+
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options):
         self.path = options["path"]
@@ -322,19 +329,18 @@ class WarcWriter(DataSourceArrowWriter):
         fs, root = _filesystem(self.path)
         fs.create_dir(root, recursive=True)
         files, out, size = [], None, 0
-        for batch in batches:
-            for record in batch.to_pylist():
-                if out is None:
-                    # a name of its own: a repeated task never writes into another's file
-                    name = f"part-{uuid.uuid4().hex}.warc.gz"
-                    out = fs.open_output_stream(f"{root}/{name}", compression=None)
-                member = gzip_member(record_bytes(record))
-                out.write(member)
-                size += len(member)
-                if size >= self.file_bytes:
-                    out.close()
-                    files.append((name, size))
-                    out, size = None, 0
+        for record in _records(batches):
+            if out is None:
+                # a name of its own: a repeated task never writes into another's file
+                name = f"part-{uuid.uuid4().hex}.warc.gz"
+                out = fs.open_output_stream(f"{root}/{name}", compression=None)
+            member = gzip_member(record_bytes(record))
+            out.write(member)
+            size += len(member)
+            if size >= self.file_bytes:
+                out.close()
+                files.append((name, size))
+                out, size = None, 0
         if out is not None:
             out.close()
             files.append((name, size))
