@@ -235,15 +235,15 @@ FROM docs d LEFT JOIN marked USING (doc_id) GROUP BY d.doc_id, len(d.w)
 
 ORACLE["op9_suffix_array_dedup"] = """
 WITH docs AS (
-  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents
+  SELECT doc_id, encode(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS n FROM documents
 ),
 windows AS (
-  SELECT doc_id, i, hash(substr(h, 2 * i + 1, 800)) AS a, hash(substr(h, 2 * i + 1, 796)) AS b
+  SELECT doc_id, i, hash(h[i + 1:i + 400]) AS a, hash(h[i + 1:i + 399]) AS b
   FROM docs, unnest(range(0, n - 399)) AS t(i)
 ),
 often AS (SELECT a, b FROM windows GROUP BY 1, 2 HAVING count(*) > 1),
 starts AS (SELECT doc_id, i, i AS place FROM windows SEMI JOIN often USING (a, b)),
-bytes AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS x FROM docs, unnest(range(0, n)) AS t(i)),
+bytes AS (SELECT doc_id, i, hex(h[i + 1:i + 1]) AS x FROM docs, unnest(range(0, n)) AS t(i)),
 marked AS (
   SELECT doc_id, i, x,
     coalesce(max(place) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) > i - 400, false) AS gone
