@@ -96,7 +96,8 @@ def _buckets(classes: DataFrame, tile_bytes: int) -> DataFrame:
     )
     sizes = rows.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("members"),
-        F.sum(F.xxhash64("class").bitwiseAND((1 << 48) - 1)).alias("who"),
+        # cannot overflow, however many members a bucket has
+        F.bit_xor(F.xxhash64("class")).alias("who"),
         F.sum(F.col("shingles").cast("long") * 8).alias("bytes"),
     )
     sizes = sizes.where("members > 1").groupBy("who", "members").agg(

@@ -77,6 +77,15 @@ def test_dense_group_in_blocks(spark):
     assert got == all_pairs(rows)
 
 
+def test_bucket_of_many_classes(spark):
+    classes = spark.range(70_001).selectExpr(
+        "id AS class", "5 AS shingles", "IF(id < 70000, array(1L, 2L, id + 10), array(3L)) AS bands"
+    )
+    got = ngram_join._buckets(classes, ngram_join.TILE_BYTES)
+    # both buckets have the same members and count once
+    assert [tuple(r) for r in got.groupBy("bucket", "blocks").count().collect()] in ([(1, 35, 70_000)], [(2, 35, 70_000)])
+
+
 def test_keep_one(spark):
     rows = near_copies()
     df = spark.createDataFrame(rows, SCHEMA)
