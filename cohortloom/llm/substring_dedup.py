@@ -6,9 +6,12 @@ hashes of those that stay open are counted, and repeated windows merge into maxi
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.scale import checkpointed
 from . import text as T
@@ -67,6 +70,17 @@ def window_rows(docs: DataFrame, width: int) -> DataFrame:
     return arrow_map(docs, of_batch, WINDOWS)
 
 
+def removal_spans(own: DataFrame, width: int, keep_first: bool, seed: int) -> DataFrame:
+    """(doc_id, text_key, spans) of the documents that lose words; ``own`` comes from ``keyed``."""
+    found = survey(own, "word", width, seed)
+    looked_at = join_documents(own, by_document(found.rest), "inner")
+    windows = checkpointed(window_rows(looked_at, width))
+    spans = whole_runs(found, keep_first, width).unionByName(
+        repeated_by_count(windows, keep_first, width)
+    )
+    return spans_by_document(spans)
+
+
 def remove_repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, ...): words, removed words, removed word spans, kept text.
 
@@ -76,11 +90,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> Dat
     columns of ``docs`` are ignored.
     """
     own = keyed(docs)
-    found = survey(own, "word", width, seed)
-    looked_at = join_documents(own, by_document(found.rest), "inner")
-    windows = checkpointed(window_rows(looked_at, width))
-    spans = whole_runs(found, False, width).unionByName(repeated_by_count(windows, False, width))
-    marked = join_documents(own, spans_by_document(spans), "left")
+    marked = join_documents(own, removal_spans(own, width, False, seed), "left")
 
     def of_batch(batch):
         rows, spans = struct_columns(batch.column("spans"), ["lo", "hi"])
@@ -111,3 +121,47 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> Dat
         )
 
     return arrow_map(marked, of_batch, RESULT)
+
+
+def clean(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
+    """``docs`` with later copies of ``width``-word sequences cut out of the texts, first ones kept.
+
+    The order is that of ``suffix_dedup``: id with null first, then text hash, then place. White space
+    around a cut stays. ``n_chars``, where there is one, follows the new text; texts that lose nothing,
+    nulls included, stay as they are. No row goes.
+    """
+    columns = docs.columns
+    own = docs.withColumns({"__d": F.col("doc_id").cast("long"), "__k": F.xxhash64(F.col("text"))})
+    spans = removal_spans(keyed(docs), width, True, seed).withColumnsRenamed(
+        {"doc_id": "__sd", "text_key": "__sk", "spans": "__spans"}
+    )
+    marked = own.join(
+        spans, F.col("__d").eqNullSafe(F.col("__sd")) & (F.col("__k") == F.col("__sk")), "left"
+    ).select(*columns, "__spans")
+
+    def of_batch(batch):
+        rows, spans = struct_columns(batch.column("__spans"), ["lo", "hi"])
+        begin = np.searchsorted(rows, np.arange(batch.num_rows + 1))
+        touched = np.flatnonzero(np.diff(begin))
+        data = {c: batch.column(c) for c in columns}
+        if len(touched):
+            texts = data["text"].to_pylist()
+            sizes = data["n_chars"].to_pylist() if "n_chars" in data else None
+            for i in touched.tolist():
+                raw = texts[i].encode()
+                words = [m.span() for m in re.finditer(rb"\S+", raw)]
+                here = slice(begin[i], begin[i + 1])
+                left, at = [], 0
+                for a, b in zip(*(x.tolist() for x in merged(spans["lo"][here], spans["hi"][here])), strict=True):
+                    left.append(raw[at : words[a][0]])
+                    at = words[b - 1][1]
+                left.append(raw[at:])
+                texts[i] = b"".join(left).decode()
+                if sizes is not None:
+                    sizes[i] = len(texts[i])
+            data["text"] = pa.array(texts, pa.string())
+            if sizes is not None:
+                data["n_chars"] = pa.array(sizes, data["n_chars"].type)
+        yield pa.record_batch(data)
+
+    return arrow_map(marked, of_batch, docs.schema)

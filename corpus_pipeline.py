@@ -1,18 +1,23 @@
-"""A corpus pipeline of five stages; each stage's Parquet output is the next one's documents.
+"""A corpus pipeline; each stage's Parquet output is the next one's documents.
 
 Every stage takes (spark, docs, sf_dir). All but the last return the columns of ``documents``:
 quality rules drop rejected documents and frequent lines, the n-gram join leaves one document of each
-group, suffix-array dedup cuts later copies of long strings out of the texts, decontamination drops
-documents that hold a benchmark item, and packing returns the pieces of the sequences.
+group, suffix-array dedup cuts later copies of long strings out of the texts, passage dedup does the
+same for passages of 51 words or more, decontamination drops documents that hold a benchmark item,
+and packing returns the pieces of the sequences.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.llm import decontaminate, ngram_join, packing, quality, suffix_dedup
+from cohortloom.llm import decontaminate, ngram_join, packing, quality, substring_dedup, suffix_dedup
 from cohortloom.operators.scale import scratch_path
 
+# passages of over 50 words: counted in words, as 51 words are often shorter than the 400 bytes of op9
+PASSAGE_WIDTH = 51
+PASSAGE_SEED = 17
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.clean(docs)
@@ -26,6 +31,10 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return suffix_dedup.clean(docs)
 
 
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substring_dedup.clean(docs, PASSAGE_WIDTH, PASSAGE_SEED)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
     return decontaminate.clean(docs, items)
@@ -39,6 +48,7 @@ STAGES = [
     ("quality_rules", quality_rules),
     ("ngram_jaccard_join", ngram_jaccard_join),
     ("suffix_array_dedup", suffix_array_dedup),
+    ("passage_dedup", passage_dedup),
     ("benchmark_decontamination", benchmark_decontamination),
     ("best_fit_packing", best_fit_packing),
 ]

@@ -81,6 +81,43 @@ def test_stages(spark, tmp_path):
     assert used <= least * 1.05 + 2
 
 
+def test_passage_of_51_words_is_cut(spark):
+    passage = " ".join(f"p{i}" for i in range(51))
+    assert len(passage) < 390
+    ahead = [" ".join(f"{k}w{i}w{k}" for i in range(90)) for k in range(3)]
+    after = [" ".join(f"{k}v{i}v{k}" for i in range(90)) for k in range(3)]
+    # one word less than 51 may repeat
+    short = passage.rsplit(" ", 1)[0]
+    texts = [f"{ahead[k]} {p}\n{after[k]}" for k, p in enumerate([passage, passage.replace(" ", "  "), short])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(k, t, "en", "src0", len(t)) for k, t in enumerate(texts)], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "benchmark_decontamination":
+            break
+        docs = stage(spark, docs, FOLDER)
+    got = {r.doc_id: (r.text, r.n_chars) for r in docs.collect()}
+    want = {**dict(enumerate(texts)), 1: f"{ahead[1]} \n{after[1]}"}
+    assert got == {k: (t, len(t)) for k, t in want.items()}
+
+
+def test_passage_dedup_against_every_window(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = brute.awkward_documents()
+    docs = spark.createDataFrame(rows, schema)
+    stage = dict(corpus_pipeline.STAGES)["passage_dedup"]
+    # rows equal in id and text share one place
+    keys = docs.selectExpr("doc_id", "xxhash64(text) k", "text").distinct().collect()
+    order = sorted(keys, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.k))
+    cut = brute.covered([brute.split(r.text) for r in order], 51, keep_first=True)
+    want = {
+        (r.doc_id, b" ".join(w for i, w in enumerate(brute.split(r.text)) if i not in c))
+        for r, c in zip(order, cut, strict=True)
+    }
+    got = stage(spark, docs, FOLDER).collect()
+    assert {(r.doc_id, b" ".join(brute.split(r.text))) for r in got} == want
+    assert len(got) == len(rows) and any(cut)
+
+
 def test_run_on_awkward_documents(spark, tmp_path):
     folder = str(tmp_path)
     schema = "doc_id long, text string, lang string, source string, n_chars long, spans string, row int"
