@@ -3,11 +3,14 @@
 Templates are configuration, at most ``MOST_TEMPLATE_WORDS`` words in all, so their inverted index
 (fingerprint -> template and place) goes to every task. All word 3-grams of a text are looked up in
 it: text is never winnowed, so a copied stretch of ``GRAM + WINDOW - 1`` template words always meets a
-fingerprint. Hits with nearly the same start are one candidate place, aligned within a band around it.
+fingerprint. Templates of up to ``SHORT`` words keep all their grams. Hits with nearly the same start
+are one candidate place, aligned within a band around it. Where spans of several templates overlap, the
+one with the most matched words is reported.
 """
 
 from __future__ import annotations
 
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
@@ -21,6 +24,7 @@ from .shared import arrow_map, keyed
 
 GRAM = 3
 WINDOW = 4
+SHORT = 32
 BAND = 16
 LEAST_COVERAGE = 0.8
 MOST_TEMPLATE_WORDS = 1 << 20
@@ -54,6 +58,11 @@ def winnowed(grams: np.ndarray, window: int) -> np.ndarray:
     return np.unique(np.arange(len(least)) + window - 1 - np.argmax((views == least[:, None])[:, ::-1], axis=1))
 
 
+def gram_of(n_words: int, gram: int) -> int:
+    """Words per gram; one changed word may leave no three in a row of a template of five."""
+    return max(1, min(gram, n_words if n_words > 5 else 2, n_words))
+
+
 def build_index(templates: dict[str, str], gram: int = GRAM, window: int = WINDOW) -> Index:
     names = sorted(templates)
     (group,) = T.groups(pa.array([templates[n] for n in names]), limit=1 << 62)
@@ -63,8 +72,8 @@ def build_index(templates: dict[str, str], gram: int = GRAM, window: int = WINDO
     own = [found.hash[a:b] for a, b in zip(found.first[:-1], found.first[1:], strict=True)]
     hashes, template, place = [], [], []
     for i, w in enumerate(own):
-        grams = T.Rolling(w).windows(min(gram, max(1, len(w))))
-        at = winnowed(grams, window)
+        grams = T.Rolling(w).windows(gram_of(len(w), gram))
+        at = winnowed(grams, window) if len(w) > SHORT else np.arange(len(grams))
         hashes.append(grams[at])
         template.append(np.full(len(at), i))
         place.append(at)
@@ -128,6 +137,20 @@ def text_matches(index: Index, words: np.ndarray, hits: list[tuple[int, np.ndarr
                 yield template, matched, a, b
 
 
+def best_covering(found: list[tuple[int, int, int, int]], index: Index, n_words: int):
+    """Matches of one text less those that have half of their span inside better ones of other templates.
+
+    More matched words are better, then a larger share of the template; matches equal in both all stay.
+    """
+    rank = lambda f: (-f[1], len(index.words[f[0]]))
+    taken = np.zeros(n_words, bool)
+    for _, same in groupby(sorted(found, key=rank), rank):
+        stay = [f for f in same if 2 * taken[f[2] : f[3] + 1].sum() < f[3] + 1 - f[2]]
+        for _, _, a, b in stay:
+            taken[a : b + 1] = True
+        yield from stay
+
+
 def scan(
     docs: DataFrame,
     templates: dict[str, str] | None = None,
@@ -139,14 +162,15 @@ def scan(
 
     Words are runs of ASCII letters and digits, case folded, and other characters beyond ASCII.
     ``coverage`` is the share of the template's words matched in order; places below
-    ``least_coverage`` are left out. ``first_word`` and ``last_word`` count these words, ``start`` and
+    ``least_coverage`` are left out, and so are places with half of their span inside those of templates with
+    more matched words. ``first_word`` and ``last_word`` count these words, ``start`` and
     ``end`` are UTF-8 byte positions in the text. Null and empty texts match nothing; repeated rows
     match once each; other columns of ``docs`` are ignored.
     """
     index = build_index(templates if templates is not None else TEMPLATES, gram, window)
     unique, at = np.unique(index.hash, return_index=True)
     times = np.diff(np.concatenate((at, [len(index.hash)])))
-    lengths = {min(gram, len(w)) for w in index.words if len(w)}
+    lengths = {gram_of(len(w), gram) for w in index.words if len(w)}
 
     def of_batch(batch):
         out = {c.split()[0]: [] for c in RESULT.split(", ")[2:]}
@@ -174,7 +198,7 @@ def scan(
             text, template, start = (np.concatenate(x) for x in (text, template, start))
             order = np.lexsort((start, template, text))
             text, template, start = text[order], template[order], start[order]
-            cut = np.flatnonzero((np.diff(text) != 0) | (np.diff(template) != 0)) + 1
+            cut = np.flatnonzero(np.diff(text) != 0) + 1
             cut = np.concatenate(([0], cut, [len(text)]))
             for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 if lo == hi:
@@ -182,8 +206,13 @@ def scan(
                 t = int(text[lo])
                 base = int(found.first[t])
                 words = found.hash[base : found.first[t + 1]]
-                hits = [(int(template[lo]), np.unique(start[lo:hi]))]
-                for name, matched, a, b in text_matches(index, words, hits, least_coverage):
+                part = np.flatnonzero(np.diff(template[lo:hi]) != 0) + lo + 1
+                hits = [
+                    (int(template[x]), np.unique(start[x:y]))
+                    for x, y in zip([lo, *part.tolist()], [*part.tolist(), hi], strict=True)
+                ]
+                matches = list(text_matches(index, words, hits, least_coverage))
+                for name, matched, a, b in best_covering(matches, index, len(words)):
                     total = len(index.words[name])
                     rows.append(group.lo + t)
                     begin_byte = int(found.start[base + a] - group.offsets[t])

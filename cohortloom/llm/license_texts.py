@@ -46,4 +46,33 @@ that the following conditions are met: Redistributions of source code must retai
 notice, this list of conditions and the following disclaimer. Redistributions in binary form must
 reproduce the above copyright notice, this list of conditions and the following disclaimer in the
 documentation and/or other materials provided with the distribution.""",
+    "gpl-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "lgpl-2.1-notice": "Licensed under the GNU Lesser General Public License, version 2.1.",
+    "lgpl-3.0-notice": "Licensed under the GNU Lesser General Public License, version 3.",
+    "agpl-3.0-notice": "Licensed under the GNU Affero General Public License, version 3.",
+    "mpl-2.0-notice": "Licensed under the Mozilla Public License, Version 2.0.",
+    "epl-2.0-notice": "Licensed under the Eclipse Public License, Version 2.0.",
+    "cc-by-4.0-short": "Licensed under CC BY 4.0.",
+    "cc-by-sa-4.0-short": "Licensed under CC BY-SA 4.0.",
+    "cc-by-3.0-short": "Licensed under CC BY 3.0.",
+    "cc-by-sa-3.0-short": "Licensed under CC BY-SA 3.0.",
+    "cc-by-nc-3.0-notice": "Licensed under CC BY-NC 3.0.",
+    "cc0-1.0-notice": "Released under CC0 1.0 Universal Public Domain Dedication.",
+    "mpl-2.0-header": """
+This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL
+was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "gpl-2.0-header": """
+This program is free software; you can redistribute it and/or modify it under the terms of the GNU
+General Public License as published by the Free Software Foundation; either version 2 of the License,
+or (at your option) any later version. This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A
+PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    "unlicense": """
+This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+publish, use, compile, sell, or distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any means.""",
+    "bsd-disclaimer": """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
+PARTICULAR PURPOSE ARE DISCLAIMED.""",
 }

@@ -80,6 +80,22 @@ def test_winnowing_keeps_every_window():
     assert all(at & set(range(i, i + 4)) for i in range(297))
 
 
+def test_versions_and_changed_words(spark):
+    rows = {
+        1: "This work is licensed under the GNU General Public License, version 2.",
+        2: "Licensed under CC BY 4.0",
+        3: "Licensed under CC BY-NC 3.0",
+        4: "Released under a MIT License.",
+        5: TEMPLATES["apache-2.0-header"],
+        6: "Licensed under the Mozilla Public License, Version 2.0.",
+    }
+    got = {(r.doc_id, r.license) for r in found(spark.createDataFrame(list(rows.items()), SCHEMA))}
+    assert got == {
+        (1, "gpl-2.0-notice"), (2, "cc-by-4.0-short"), (3, "cc-by-nc-3.0-notice"), (4, "mit-notice"),
+        (5, "apache-2.0-header"), (6, "mpl-2.0-notice"),
+    }
+
+
 def test_empty_and_clashing(spark):
     assert found(spark.createDataFrame([], SCHEMA)) == []
     rows = [(1, TEMPLATES["mit-notice"], 3, "x")]
