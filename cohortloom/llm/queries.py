@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from ..operators.scale import scratch_path
 from ..sources.io import scan_table
 from . import (
+    alignment,
     decontaminate,
     html_extract,
     license_scan,
+    merkle,
     ngram_join,
     packing,
     quality,
+    quality_model,
     substring_dedup,
     suffix_dedup,
     url_filter,
@@ -121,6 +124,26 @@ def op10_benchmark_decontamination(spark, folder):
     return found.select("doc_id", "item_id", "n_item", "n_shared")
 
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+@query
+def op11_merkle_manifest(spark, folder):
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    text = F.when(tampered, F.translate("text", UPPER, UPPER.lower())).otherwise(F.col("text"))
+    return merkle.manifest(table(spark, folder, "documents"), changes={"text": text})
+
+
+@query
+def op12_quality_classifier(spark, folder):
+    return quality_model.classified(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op13_cross_tokenizer_alignment(spark, folder):
+    return alignment.aligned(table(spark, folder, "documents"))
+
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 _SHINGLES = f"""
@@ -269,3 +292,70 @@ SELECT doc_id, item_id, any_value(x.n)::INTEGER AS n_item, count(*)::INTEGER AS
 FROM sets JOIN asked USING (s) JOIN item_sizes x USING (item_id)
 GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(x.n)
 """
+
+# bitwise CRC-32: every byte is followed by eight shift steps (-1)
+_CRC = """
+xor(list_reduce(
+  flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda acc, x: CASE WHEN x >= 0 THEN xor(acc, x) WHEN acc & 1 = 1 THEN xor(acc >> 1, 3988292384) ELSE acc >> 1 END,
+  4294967295::BIGINT), 4294967295)
+"""
+
+
+def _leaf(text: str) -> str:
+    fields = ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+def _climb(name: str, nodes: str) -> str:
+    """Tree ``name`` (grp, lvl, pos, node, n) over the lowest level ``nodes`` (grp, pos, node)."""
+    return f"""
+{name} AS (
+  SELECT grp, 0 AS lvl, pos, node, count(*) OVER (PARTITION BY grp) AS n FROM ({nodes})
+  UNION ALL
+  SELECT grp, lvl + 1, pos // 16, sha256(string_agg(node, '' ORDER BY pos)), count(*) OVER (PARTITION BY grp)
+  FROM {name} WHERE n > 1 GROUP BY grp, lvl, pos // 16
+)"""
+
+
+def _flanks(tree: str, start: str, offset: str) -> str:
+    """Digests before and after a row's node on every level of a tree that has several nodes."""
+    return f"""
+  SELECT r.row, {offset} + t.lvl AS step,
+    coalesce(string_agg(t.node, '' ORDER BY t.pos) FILTER (t.pos < r.{start} // (16 ** t.lvl)::BIGINT), '') AS before,
+    coalesce(string_agg(t.node, '' ORDER BY t.pos) FILTER (t.pos > r.{start} // (16 ** t.lvl)::BIGINT), '') AS after
+  FROM rows r JOIN {tree} t ON t.n > 1 AND t.grp = r.{'grp' if tree == 'trees' else 'one'}
+    AND t.pos // 16 = r.{start} // (16 ** (t.lvl + 1))::BIGINT
+  GROUP BY r.row, t.lvl"""
+
+
+ORACLE["op11_merkle_manifest"] = f"""
+WITH RECURSIVE leaves AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce('=' || source, '') AS grp, {_leaf("text")} AS leaf,
+    CASE WHEN {_CRC} % 5 = 0 THEN {_leaf(f"translate(text, '{UPPER}', '{UPPER.lower()}')")} ELSE {_leaf("text")} END AS present
+  FROM documents
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves
+),
+{_climb("trees", "SELECT grp, pos, leaf AS node FROM placed")},
+subroots AS (
+  SELECT grp, node AS subroot, row_number() OVER (ORDER BY encode(grp)) - 1 AS place FROM trees WHERE n = 1
+),
+{_climb("tops", "SELECT 0 AS grp, place AS pos, subroot AS node FROM subroots")},
+rows AS (SELECT p.*, subroot, place, 0 AS one FROM placed p JOIN subroots USING (grp)),
+flanks AS ({_flanks("trees", "pos", "0")}
+  UNION ALL {_flanks("tops", "place", "100")}
+),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY step) AS turn FROM flanks),
+folded AS (
+  SELECT row, 1 AS turn, present AS node FROM rows
+  UNION ALL
+  SELECT f.row, f.turn + 1, sha256(before || node || after) FROM folded f JOIN numbered m ON m.row = f.row AND m.turn = f.turn
+),
+last AS (SELECT row, arg_max(node, turn) AS folded_root FROM folded GROUP BY row),
+proofs AS (SELECT row, sha256(string_agg(before || after, '' ORDER BY turn)) AS proof FROM numbered GROUP BY row),
+top AS (SELECT node AS root FROM tops WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM rows JOIN last USING (row) LEFT JOIN proofs USING (row), top
+"""
