@@ -1,7 +1,8 @@
 """Main text of web pages: boosted trees over DOM-node features, decoded along the tree.
 
-Block elements are the nodes; inline markup belongs to the block around it. Every node gets log-odds
-of being main text from its subtree's density, its attribute tokens, depth and siblings. Decoding takes
+Block elements are the nodes; inline markup belongs to the block around it, and text that stands beside
+blocks is a leaf of its own. Every node gets log-odds of being main text from its subtree's density, its
+attribute tokens (hashed; their weights are learnt from the training pages), depth and siblings. Decoding takes
 the most likely labelling in which nothing below a dropped node is kept, so an ancestor and its
 descendants never contradict each other.
 """
@@ -10,8 +11,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right as bisect
 from functools import cache
 from html.parser import HTMLParser
+from typing import NamedTuple
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Boosted, fit
-from .html_pages import BOILERPLATE, MAIN_TOKENS, PageMaker
+from .html_pages import PageMaker
 from .shared import arrow_map
 
-TRAINING_PAGES = 700
+TRAINING_PAGES, TOKEN_PAGES = 700, 300
 TRAINING_SEED = 11
 BATCH_NODES = 20_000
+TOKEN_BUCKETS = 4096
+TOKEN_DOUBT = 4.0
 
 # fixed values
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,6 +46,7 @@ KINDS = {
     "article": 1, "main": 1, "section": 2, "div": 2, "p": 3, "h1": 4, "h2": 4, "h3": 4, "h4": 4, "h5": 4, "h6": 4,
     "ul": 5, "ol": 5, "li": 6, "dl": 5, "dt": 6, "dd": 6, "table": 7, "tr": 7, "td": 7, "th": 7, "blockquote": 8, "pre": 8,
     "nav": 9, "menu": 9, "header": 10, "footer": 11, "aside": 12, "form": 13, "html": 14, "body": 14,
+    "#text": 15,
 }
 CLOSED_BY = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -50,30 +57,36 @@ CLOSED_BY = {
     "th": ({"td", "th"}, {"tr", "table"}),
 }
 _BLOCK = frozenset(BLOCKS)
-_GOOD = frozenset(t for name in MAIN_TOKENS for t in name.split("-"))
-_BAD = frozenset(t for names in BOILERPLATE.values() for name in names for t in name.split("-")) - {"page", "list", "site"}
 _TOKEN = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "depth", "good", "bad", "label", "chars", "link", "words", "stops", "tags", "inputs", "kids", "before", "own")
+    __slots__ = ("tag", "parent", "depth", "tokens", "label", "chars", "link", "words", "stops", "tags", "inputs", "kids", "before", "own")
 
     def __init__(self, tag, parent, depth, attrs):
         self.tag, self.parent, self.depth = tag, parent, depth
-        self.good = self.bad = 0
+        self.tokens = ()
         self.label = None
         for name, value in attrs:
             if name in ("class", "id", "role") and value:
-                for token in _TOKEN.findall(value.lower()):
-                    self.good += token in _GOOD
-                    self.bad += token in _BAD
+                self.tokens += tuple(crc32(t.encode()) % TOKEN_BUCKETS for t in _TOKEN.findall(value.lower()))
             elif name == "data-m":
                 self.label = value == "1"
         self.chars = self.link = self.words = self.stops = self.tags = self.inputs = self.kids = self.before = self.own = 0
 
 
+class Run:
+    """Text between two block borders or line breaks, and the node it belongs to."""
+
+    __slots__ = ("node", "text", "chars", "link", "words", "stops", "before", "label", "goes_on")
+
+
 class Dom(HTMLParser):
-    """Block nodes in page order (parents first) and runs of text with the block each belongs to."""
+    """Block nodes (parents before their children) and the runs of text in page order.
+
+    Open elements are found through the places of each tag, so every tag costs constant time and
+    what it closes, whatever is left unclosed before it.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -83,28 +96,89 @@ class Dom(HTMLParser):
         self.nodes = [Node("html", -1, 0, ())]
         # open elements: (tag, block it is in, is skipped, is a link)
         self.open = [("html", 0, False, False)]
+        self.blocks = [0]  # places of open blocks
+        self.places: dict[str, list[int]] = {}
         self.runs, self.pieces = [], []
-        self.seen = 0
+        self.sums = [0, 0, 0, 0]
+        self.seen, self.mark, self.broken = 0, None, False
         self.feed(html)
         self.close()
         self._flush()
+        self._own_leaves()
         return self
 
+    def parse_marked_section(self, i, report=1):
+        # "<![" is no more than a comment up to the next ">"
+        return self.parse_bogus_comment(i, report)
+
+    def handle_comment(self, data):
+        if data in ("m0", "m1"):
+            # training pages say so of the text that follows
+            self.mark = data == "m1"
+
     def _flush(self):
-        if self.pieces:
-            text = " ".join("".join(self.pieces).split())
-            self.pieces = []
-            if text:
-                self.runs.append((self.open[-1][1], text))
+        if not self.pieces:
+            return
+        text = " ".join("".join(self.pieces).split())
+        self.pieces = []
+        if text:
+            run = Run()
+            run.node, run.text, run.label, run.goes_on = self.open[-1][1], text, self.mark, self.broken
+            run.chars, run.link, run.words, run.stops = self.sums
+            run.before = self.seen
+            self.seen += run.chars
+            self.runs.append(run)
+            self.mark, self.broken = None, False
+        self.sums = [0, 0, 0, 0]
+
+    def _own_leaves(self):
+        """Text beside blocks, or right in the page, becomes a leaf; other text is its block's own."""
+        nodes = self.nodes
+        holders = {n.parent for n in nodes}
+        for run in self.runs:
+            block = nodes[run.node]
+            if run.node in holders or block.tag in ("html", "body"):
+                leaf = Node("#text", run.node, block.depth + 1, ())
+                leaf.before = run.before
+                leaf.label = False if run.label is None and block.label is False else run.label
+                run.node = len(nodes)
+                nodes.append(leaf)
+            n = nodes[run.node]
+            n.chars += run.chars
+            n.own += run.chars
+            n.link += run.link
+            n.words += run.words
+            n.stops += run.stops
+
+    def _push(self, tag, block, skipped, link):
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in _BLOCK:
+            self.blocks.append(len(self.open))
+        self.open.append((tag, block, skipped, link))
 
     def _close_to(self, at: int):
-        if any(e[0] in _BLOCK for e in self.open[at:]):
+        if self.blocks[-1] >= at:
             self._flush()
-        del self.open[at:]
+            self.broken = False
+        while len(self.open) > at:
+            tag = self.open.pop()[0]
+            self.places[tag].pop()
+            if self.blocks[-1] == len(self.open):
+                self.blocks.pop()
+
+    def _last(self, tags) -> int:
+        """Place of the innermost open element of these tags, or 0."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
 
     def handle_starttag(self, tag, attrs):
-        if tag == "br" or tag == "hr":
+        if tag == "br":
+            # white space inside the block, though what stands before and after is judged apart
+            self._flush()
+            self.broken = True
+            return
+        if tag == "hr":
             self._flush()
+            self.broken = False
             return
         _, block, skipped, link = self.open[-1]
         if tag in ("body", "html"):
@@ -120,23 +194,19 @@ class Dom(HTMLParser):
             stop = len(self.open)
             if tag in CLOSED_BY:
                 same, border = CLOSED_BY[tag]
-                for i in range(len(self.open) - 1, 0, -1):
-                    if self.open[i][0] in same:
-                        stop = i
-                    elif self.open[i][0] in border:
-                        break
-            else:
-                for i in range(len(self.open) - 1, 0, -1):
-                    if self.open[i][0] == "p":
-                        stop = i
-                        break
-                    if self.open[i][0] in _BLOCK:
-                        break
+                last = self._last(same)
+                # the outermost open one of the kind inside the border: a cell closes with its row
+                edge = self._last(border)
+                if last > edge:
+                    stop = min(p[bisect(p, edge)] for p in map(self.places.get, same) if p and p[-1] > edge)
+            elif self.open[self.blocks[-1]][0] == "p":
+                stop = self.blocks[-1]
             self._flush()
+            self.broken = False
             self._close_to(stop)
             _, block, skipped, link = self.open[-1]
             if not skipped:
-                self.nodes.append(Node(tag, block, len(self.open), attrs))
+                self.nodes.append(Node(tag, block, len(self.blocks), attrs))
                 self.nodes[-1].before = self.seen
                 block = len(self.nodes) - 1
         elif tag in VOID:
@@ -147,7 +217,7 @@ class Dom(HTMLParser):
             self.nodes[block].tags += 1
             if tag in ("select", "textarea", "button"):
                 self.nodes[block].inputs += 1
-        self.open.append((tag, block, skipped or tag in SKIPPED, link or tag == "a"))
+        self._push(tag, block, skipped or tag in SKIPPED, link or tag == "a")
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -155,29 +225,31 @@ class Dom(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == tag:
-                self._close_to(i)
-                return
+        places = self.places.get(tag)
+        # an inline end tag closes nothing beyond the block it stands in
+        if places and (tag in _BLOCK or places[-1] > self.blocks[-1] or tag in SKIPPED):
+            self._close_to(places[-1])
 
     def handle_data(self, data):
-        _, block, skipped, link = self.open[-1]
+        _, _, skipped, link = self.open[-1]
         if skipped:
             return
         self.pieces.append(data)
-        node, words = self.nodes[block], data.split()
+        words = data.split()
         size = sum(map(len, words))
-        node.chars += size
-        node.own += size
-        node.words += len(words)
-        node.stops += data.count(".") + data.count(",") + data.count("?")
-        self.seen += size
+        sums = self.sums
+        sums[0] += size
         if link:
-            node.link += size
+            sums[1] += size
+        sums[2] += len(words)
+        sums[3] += data.count(".") + data.count(",") + data.count("?")
+
 
+def features(nodes: list[Node], tokens: list[float]) -> list[list[float]]:
+    """One row per node; subtree sums are gathered bottom-up into the nodes first.
 
-def features(nodes: list[Node]) -> list[list[float]]:
-    """One row per node; subtree sums are gathered bottom-up into the nodes first."""
+    ``tokens`` has the weight of each bucket of attribute tokens.
+    """
     for i in range(len(nodes) - 1, 0, -1):
         n, up = nodes[i], nodes[nodes[i].parent]
         up.chars += n.chars
@@ -188,16 +260,16 @@ def features(nodes: list[Node]) -> list[list[float]]:
         up.inputs += n.inputs
         up.kids += 1
     total = nodes[0].chars or 1
-    good, bad, inside = [0] * len(nodes), [0] * len(nodes), [0] * len(nodes)
-    first_kid: dict[int, int] = {}
+    own, above, worst, inside = [0.0] * len(nodes), [0.0] * len(nodes), [0.0] * len(nodes), [0] * len(nodes)
     same_tag: dict[tuple, int] = {}
     for i, n in enumerate(nodes):
+        if n.tokens:
+            own[i] = sum(map(tokens.__getitem__, n.tokens))
         if i:
-            good[i] = good[n.parent] + n.good
-            bad[i] = bad[n.parent] + n.bad
+            above[i] = above[n.parent] + own[n.parent]
+            worst[i] = min(worst[n.parent], own[n.parent])
             inside[i] = max(inside[n.parent], _family(n.tag))
             same_tag[n.parent, n.tag] = same_tag.get((n.parent, n.tag), 0) + 1
-            first_kid.setdefault(n.parent, i)
     out = []
     for i, n in enumerate(nodes):
         up = nodes[n.parent] if i else n
@@ -207,10 +279,9 @@ def features(nodes: list[Node]) -> list[list[float]]:
                 _family(n.tag),
                 inside[n.parent] if i else 0,
                 n.depth,
-                n.good,
-                n.bad,
-                good[i] - n.good,
-                bad[i] - n.bad,
+                own[i],
+                above[i],
+                worst[i],
                 math.log1p(n.chars),
                 n.chars / (n.tags + 1),
                 n.link / (n.chars or 1),
@@ -256,39 +327,73 @@ def decode(nodes: list[Node], odds: list[float]) -> list[bool]:
     return kept
 
 
+class Extractor(NamedTuple):
+    """Weights of attribute tokens and the trees over the nodes' features."""
+
+    tokens: list[float]
+    trees: Boosted
+
+    def odds(self, rows: list[list[float]]) -> list[float]:
+        return self.trees.score(np.array(rows)).tolist() if rows else []
+
+
+def token_weights(pages: list[list[Node]]) -> list[float]:
+    """Log-odds of main text per bucket of attribute tokens, drawn to zero where a token is rare."""
+    counts = np.zeros((2, TOKEN_BUCKETS))
+    for nodes in pages:
+        for node in nodes:
+            if node.label is not None:
+                for bucket in set(node.tokens):
+                    counts[int(node.label), bucket] += 1
+    share = counts.sum(axis=1) / counts.sum()
+    counts += TOKEN_DOUBT * share[:, None]
+    return (np.log(counts[1] / counts[0]) - math.log(share[1] / share[0])).tolist()
+
+
 @cache
-def trained(pages: int = TRAINING_PAGES, seed: int = TRAINING_SEED) -> Boosted:
-    """The model, fitted on a bounded number of made-up labelled pages."""
+def trained(pages: int = TRAINING_PAGES, seed: int = TRAINING_SEED) -> Extractor:
+    """The model, fitted on a bounded number of made-up labelled pages; other pages give the token weights."""
     maker, dom = PageMaker(seed), Dom()
+    tokens = token_weights([dom.parse(maker.page()).nodes for _ in range(TOKEN_PAGES)])
     x, y = [], []
     for _ in range(pages):
         nodes = dom.parse(maker.page()).nodes
-        rows = features(nodes)
-        for row, node in zip(rows, nodes, strict=True):
+        for row, node in zip(features(nodes, tokens), nodes, strict=True):
             if node.label is not None and node.parent >= 0:
                 x.append(row)
                 y.append(node.label)
-    return fit(np.array(x), np.array(y))
+    return Extractor(tokens, fit(np.array(x), np.array(y)))
+
+
+def joined(runs: list[Run], kept: list[bool]) -> str:
+    """Kept runs, a line each; what a line break alone parts goes on after a space."""
+    out: list[str] = []
+    before = False
+    for run in runs:
+        if kept[run.node]:
+            if out:
+                out.append(" " if run.goes_on and before else "\n")
+            out.append(run.text)
+        before = kept[run.node]
+    return "".join(out)
 
 
-def texts(pages: list[str | None], model: Boosted) -> list[str]:
+def texts(pages: list[str | None], model: Extractor) -> list[str]:
     """Main text of each page; nodes of many pages are scored together."""
     dom, out, waiting = Dom(), [], []
 
     def settle():
-        rows = [row for _, _, feats in waiting for row in feats]
-        odds = model.score(np.array(rows)).tolist() if rows else []
+        odds = model.odds([row for _, _, feats in waiting for row in feats])
         at = 0
         for nodes, runs, feats in waiting:
-            kept = decode(nodes, odds[at : at + len(feats)])
+            out.append(joined(runs, decode(nodes, odds[at : at + len(feats)])))
             at += len(feats)
-            out.append("\n".join(text for block, text in runs if kept[block]))
         waiting.clear()
 
     held = 0
     for html in pages:
         dom.parse(html or "")
-        waiting.append((dom.nodes, dom.runs, features(dom.nodes)))
+        waiting.append((dom.nodes, dom.runs, features(dom.nodes, model.tokens)))
         held += len(dom.nodes)
         if held >= BATCH_NODES:
             settle()
@@ -297,12 +402,14 @@ def texts(pages: list[str | None], model: Boosted) -> list[str]:
     return out
 
 
-def main_text(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
+def main_text(pages: DataFrame, model: Extractor | None = None) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars.
 
-    Blocks of main text in page order, white space inside a block as one space, joined by one line
-    feed. Null, empty and textless pages give an empty text. Broken markup is read as far as it goes;
-    other columns of ``pages`` are ignored.
+    Blocks of main text in page order, white space inside a block (a ``<br>`` included) as one space,
+    joined by one line feed. Text beside blocks is a block of its own and judged as one. Null, empty and
+    textless pages give an empty text. Any markup is read: ``<!`` that opens nothing known is a comment up
+    to the next ``>``, end tags of nothing open are ignored. Rows repeat as they are; other columns of
+    ``pages`` are ignored.
     """
     known = model or trained()
 

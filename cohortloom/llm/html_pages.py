@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 _SYLLABLES = "an be co da el fo ga hi in jo ka lo me no or pa qu re sa to un ve wi yo ze tion ment ing".split()
 
@@ -19,10 +20,12 @@ BOILERPLATE = {
     "form": "form search subscribe login signup contact-form".split(),
     "share": "share social sharing follow".split(),
 }
+# layout words that say nothing about what an element holds
+NEUTRAL = "col row inner wrap box grid left right block clearfix wide".split()
 
 
 class PageMaker:
-    """Pages as (html, is-main flag by element id); every element carries its label in ``data-m``."""
+    """Made-up pages; every element carries its label in ``data-m``, text beside blocks in a comment before it."""
 
     def __init__(self, seed: int):
         self.r = random.Random(seed)
@@ -40,12 +43,24 @@ class PageMaker:
         attr = ""
         if names and self.r.random() < 0.75:
             attr = f' {self.r.choice(["class", "class", "id"])}="{self.r.choice(names)}"'
+        elif self.r.random() < 0.2:
+            attr = f' class="{self.r.choice(NEUTRAL)}-{self.r.choice(NEUTRAL)}"'
         return f'<{tag}{attr} data-m="{int(main)}">{inner}</{tag}>'
 
     def links(self, n: int, tag: str = "li") -> str:
         items = "".join(self.el(tag, f'<a href="/{i}">{self.words(1, 4)}</a>', False) for i in range(n))
         return self.el("ul", items, False) if tag == "li" else items
 
+    def loose(self, main: bool) -> str:
+        """Text without a block around it."""
+        if main:
+            text = "<br><br>".join(self.words(8, 90) for _ in range(self.r.choice([1, 1, 2, 4])))
+            return "".join(f"<!--m1-->{t}" if i % 2 == 0 else t for i, t in enumerate(re.split("(<br><br>)", text)))
+        text = self.words(2, 18)
+        if self.r.random() < 0.3:
+            text += f' <a href="/b">{self.words(1, 4)}</a>'
+        return f"<!--m0-->{text}"
+
     def paragraph(self, main: bool) -> str:
         text = self.words(4, 90) if self.r.random() < 0.8 else self.words(1, 6)
         if self.r.random() < 0.2:
@@ -88,7 +103,9 @@ class PageMaker:
         parts = [self.el(r.choice(["h1", "h1", "h2"]), self.words(2, 12), True)] if r.random() < 0.9 else []
         for _ in range(r.choice([1, 1, 2, 3, 5, 8, 14])):
             x = r.random()
-            if x < 0.75:
+            if x < 0.08:
+                parts.append(self.loose(True))
+            elif x < 0.75:
                 parts.append(self.paragraph(True))
             elif x < 0.82:
                 parts.append(self.el("h2", self.words(1, 8), True))
@@ -98,7 +115,12 @@ class PageMaker:
                 parts.append(self.el("blockquote", self.paragraph(True), True))
         if r.random() < 0.4:
             parts.insert(r.randint(0, len(parts)), self.boilerplate(r.choice(["ad", "share", "notice", "form", "aside", "comments"])))
+        if r.random() < 0.1:
+            parts.insert(r.randint(0, len(parts)), self.el("div", self.loose(False) + self.links(2), False, BOILERPLATE["ad"]))
         inner = "".join(parts)
+        if r.random() < 0.08:
+            # no element of its own
+            return inner
         for _ in range(r.randint(0, 2)):
             inner = self.el("div", inner, True, MAIN_TOKENS)
         return self.el(r.choice(["article", "article", "article", "main", "div", "section"]), inner, True, MAIN_TOKENS)
@@ -106,9 +128,13 @@ class PageMaker:
     def page(self) -> str:
         r = self.r
         kinds = list(BOILERPLATE)
-        before = [self.boilerplate(k) for k in r.sample(kinds, r.randint(1, 4))]
-        after = [self.boilerplate(k) for k in r.sample(kinds, r.randint(1, 4))]
+        before = [self.boilerplate(k) for k in r.sample(kinds, r.randint(0, 4))]
+        after = [self.boilerplate(k) for k in r.sample(kinds, r.randint(0, 4))]
+        for side in (before, after):
+            if r.random() < 0.3:
+                side.insert(r.randint(0, len(side)), self.loose(False))
         body = "".join([*before, self.article(), *after])
         if r.random() < 0.3:
             body = self.el("div", body, True, ["wrapper", "container", "page"])
-        return f'<!DOCTYPE html><html data-m="1"><head><title>{self.words(2, 8)}</title></head><body data-m="1">{body}</body></html>'
+        late = self.loose(False) if r.random() < 0.1 else ""
+        return f'<!DOCTYPE html><html data-m="1"><head><title>{self.words(2, 8)}</title></head><body data-m="1">{body}</body>{late}</html>'

@@ -23,7 +23,7 @@ def test_held_out_accuracy(model):
     right = total = 0
     for _ in range(150):
         nodes = dom.parse(maker.page()).nodes
-        kept = html_extract.decode(nodes, model.score(np.array(html_extract.features(nodes))).tolist())
+        kept = html_extract.decode(nodes, model.odds(html_extract.features(nodes, model.tokens)))
         for node, k in zip(nodes, kept, strict=True):
             if node.label is not None and node.own:
                 right += k == node.label
@@ -83,6 +83,79 @@ def test_awkward_pages(spark, model):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+ADVERT = "Buy cheap pills here now"
+
+
+@pytest.mark.parametrize("page", [
+    f"<html><body><article>{BODY}</article>{ADVERT}</body></html>",
+    f"<html><body><article>{BODY}</article></body>{ADVERT}</html>",
+    f"<article>{BODY}</article>{ADVERT}",
+    f"<html><body>{ADVERT}<main>{BODY}</main></body></html>",
+    f"<html><body><div class=x1>{BODY}</div><p></p>{ADVERT} <a href=/b>now</a></body></html>",
+])
+def test_text_beside_blocks_is_judged_by_itself(model, page):
+    assert html_extract.texts([page], model) == ["\n".join(re.findall(r"<p>(.*?)</p>", BODY))]
+
+
+def test_text_beside_blocks_can_be_main(model):
+    long_ = "A sentence of the article stands here, right beside the paragraphs. It goes on for a while, as text does."
+    page = f"<html><body><nav><ul><li><a href=/>Home</a></ul></nav><article>{BODY}{long_}{BODY}</article></body></html>"
+    want = re.findall(r"<p>(.*?)</p>", BODY)
+    assert html_extract.texts([page], model) == ["\n".join([*want, long_, *want])]
+
+
+def test_line_breaks_are_white_space(model):
+    page = f"<article><p>One line<br>and another,<br/><br>and a third.</p>{BODY}</article>"
+    got = html_extract.texts([page], model)[0]
+    assert got.startswith("One line and another, and a third.\nSentence number 0")
+
+
+@pytest.mark.parametrize("odd", ["<![ x", "<![foo[x]]>", "<![CDATA[a > b]]>", "<![if !IE]>", "<!>", "<!x", "</>", "<?php echo 1 ?>", "<!-- x", "<![endif]-->", "&#x110000;", "<p <b", "\x00<\x00>"])
+def test_odd_markup_is_read(model, odd):
+    want = re.findall(r"<p>(.*?)</p>", BODY)
+    got = html_extract.texts([f"<article>{BODY}{odd}</article>", f"<article>{BODY}{odd}<p>{BODY}</article>"], model)
+    assert all(g.split("\n")[: len(want)] == want for g in got)
+
+
+def test_any_cut_of_a_page_is_read(spark):
+    """Ten thousand pages with pieces cut out, doubled and mixed; the parser must give nodes for all."""
+    rng = np.random.default_rng(12)
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()]
+    pages += [PageMaker(i).page() for i in range(20)]
+    odd = ["<![", "<!", "</", "<!--", "-->", "]]>", "&#", "<b", "<li", "'", '"', ">", "<table><td>", "</p>", "<br>", "<![a[", "<?"]
+    dom = html_extract.Dom()
+    for _ in range(10_000):
+        page = pages[rng.integers(len(pages))]
+        for _ in range(rng.integers(1, 5)):
+            lo = int(rng.integers(0, len(page) + 1))
+            hi = min(len(page), lo + int(rng.integers(0, 200)))
+            page = page[:lo] + odd[rng.integers(len(odd))] * int(rng.integers(0, 3)) + page[hi : hi + 2000]
+        nodes = dom.parse(page).nodes
+        assert all(n.parent < i for i, n in enumerate(nodes)) and all(0 <= r.node < len(nodes) for r in dom.runs)
+
+
+@pytest.mark.parametrize("piece", ["<i>x", "<b><i></b>x", "<div><b>x</div>", "<li><i>x", "<td><div>", "</b></i>x", "<p><a>x"])
+def test_hostile_nesting_takes_linear_time(piece):
+    import time
+
+    dom, took = html_extract.Dom(), []
+    for n in (4_000, 32_000):
+        page = "<i>" * n + piece * n + "</b></li></td>" * n
+        began = time.process_time()
+        dom.parse(page)
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * 3 * max(took[0], 0.02)
+
+
+def test_token_weights_are_learnt():
+    """A word the code has never seen, on elements with a label, gets its weight from the pages."""
+    dom = html_extract.Dom()
+    pages = [dom.parse(f'<body data-m="1"><div class="zorg" data-m="0">{i}</div><p id="kumquat" data-m="1">x</p></body>').nodes for i in range(30)]
+    weights = html_extract.token_weights(pages)
+    of = lambda word: weights[html_extract.crc32(word.encode()) % html_extract.TOKEN_BUCKETS]
+    assert of("zorg") < -1 < 0 < of("kumquat") and of("unseen") == 0
+
+
 def test_empty_and_clashing(spark, model):
     clash = spark.createDataFrame([], SCHEMA + ", text string, n_chars int")
     assert html_extract.main_text(clash, model).count() == 0
