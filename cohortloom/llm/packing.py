@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from functools import cache
 
 import numpy as np
@@ -23,8 +24,9 @@ from .shared import arrow_map, keyed
 LENGTH = 2048
 END = 0
 GROUP = 20_000
-MOST_WORDS = 200_000
-MOST_PARTS = 600_000
+# entries of the newer half of a worker's tables
+MOST_WORDS = 50_000
+MOST_PARTS = 250_000
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 PIECES = "doc_id long, text_key long, piece int, start long, length long, ids_crc32 long, row long"
@@ -41,59 +43,68 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-# words of these characters are already in composed form and split by simple rules: letters, single
-# digits, and runs of anything else; an apostrophe or a special token's "<|" needs the whole tokenizer
-_PLAIN = re.compile(r"(?!.*<\|)[!-&(-~À-ÖØ-öø-ÿ]+")
-_PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-zÀ-ÖØ-öø-ÿ0-9]+")
+# what only the whole tokenizer reads right: characters beyond composed Latin-1 letters and visible ASCII,
+# and special tokens
+_ODD = re.compile(r"[^\x09-\x0D\x20-~À-ÖØ-öø-ÿ]|<\|")
+# the tokenizer's own split of lower-cased text, for the other characters
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 # the byte-level alphabet: visible Latin-1 characters stand for themselves, the rest follow from 256
 _VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 
 
-class _Parts(dict):
-    """Lower-cased letter run, digit or mark run -> little-endian 32-bit ids, straight from the model."""
+class _Known(dict):
+    """Bounded table of made values: full, it becomes the older half, from which what is asked comes back."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.tokenize = tokenizer.model.tokenize
-
-    def __missing__(self, part: str) -> bytes:
-        coded = part if part.isascii() else part.encode().decode("latin-1").translate(_ALPHABET)
-        found = np.array([t.id for t in self.tokenize(coded)], "<u4").tobytes()
-        if len(self) >= MOST_PARTS:
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        self[part] = found
+        self[key] = found
         return found
 
 
-class TokenBytes(dict):
-    """Word -> little-endian 32-bit ids, filled on demand.
+class TokenBytes:
+    """Text -> little-endian 32-bit ids, from tables of letter runs, digits and marks filled on demand.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its words
-    in turn; a word list of a corpus repeats itself far more than its texts do.
+    The tokenizer drops white space and never joins across it or across a split, so a text's ids are
+    those of its parts in turn; the parts of a corpus repeat themselves far more than its texts do.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         tokenizer = Tokenizer.from_file(path)
-        self.encode, self.parts = tokenizer.encode, _Parts(tokenizer)
+        self.encode, self.tokenize = tokenizer.encode, tokenizer.model.tokenize
+        self.parts = _Known(self._of_part, MOST_PARTS)
+        self.words = _Known(self._of_word, MOST_WORDS)
 
-    def __missing__(self, word: str) -> bytes:
-        if _PLAIN.fullmatch(word):
-            found = b"".join(map(self.parts.__getitem__, _PARTS.findall(word.lower())))
-        else:
-            found = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= MOST_WORDS:
-            self.clear()
-        self[word] = found
-        return found
+    def _of_part(self, part: str) -> bytes:
+        coded = part if part.isascii() else part.encode().decode("latin-1").translate(_ALPHABET)
+        return array("I", [t.id for t in self.tokenize(coded)]).tobytes()
+
+    def _of_word(self, word: str) -> bytes:
+        if _ODD.search(word):
+            return array("I", self.encode(word, add_special_tokens=False).ids).tobytes()
+        return self._plain(word)
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.parts.__getitem__, _PARTS.findall(text.lower())))
 
     def of(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if not _ODD.search(text):
+            return self._plain(text)
         # ASCII white space only: it is white space to the tokenizer whatever stands around it
-        words = _SPACE.split(text or "")
-        return b"".join(map(self.__getitem__, filter(None, words)))
+        return b"".join(map(self.words.__getitem__, filter(None, _SPACE.split(text))))
 
 
 @cache

@@ -22,12 +22,23 @@ def ids_of(text):
 def test_words_have_the_tokenizers_ids():
     table = packing.TokenBytes(packing.tokenizer_path())
     rng = np.random.default_rng(6)
-    alphabet = list("abcXYZ019_'-.,!<|>\"#&ÀÖ×Øß÷ÿµªº éñ\u0301İſ\u00adΣ漢\x85\xa0\x1f\t\n") + ["<|endoftext|>", "'s", "'LL"]
-    for _ in range(3000):
+    alphabet = list("abcXYZ019_'-.,!<|>\"#&ÀÖ×Øß÷ÿµªº éñ\u0301İſ\u00adΣ漢\x85\xa0\x1f\t\n") + ["<|endoftext|>", "'s", "'LL", "'Re", "''", "'D"]
+    for _ in range(6000):
         text = "".join(rng.choice(alphabet, rng.integers(1, 14)))
         assert table.of(text) == np.array(ids_of(text)[:-1], "<u4").tobytes(), repr(text)
 
 
+def test_tables_stay_bounded_and_right(monkeypatch):
+    monkeypatch.setattr(packing, "MOST_PARTS", 7)
+    monkeypatch.setattr(packing, "MOST_WORDS", 3)
+    table = packing.TokenBytes(packing.tokenizer_path())
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        text = " ".join(rng.choice(["alpha", "Beta", "漢字", "x1", "don't", "we'll", "--", "é", "a’b"], 9))
+        assert table.of(text) == np.array(ids_of(text)[:-1], "<u4").tobytes(), repr(text)
+        assert len(table.parts) <= 8 and len(table.words) <= 4 and len(table.parts.older) <= 8
+
+
 def check(rows, got, length):
     want = Counter()
     for r in rows:
