@@ -1,15 +1,19 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified exactly.
 
 A test item of a few dozen shingles inside a document of thousands has a Jaccard similarity near zero,
-so the two are not sketched alike. Items are partitioned by size (powers of two); each keeps its
-``sketch`` least shingle hashes (all of them in the smallest partitions), a uniform sample of its
-set. A document that contains a share c of the item holds about c of that sample, whatever its own
-size, so holding ``needed`` of them makes it a candidate: at c = 0.8 and 32 of a sketch, fewer than 13
-hits have a probability below 1e-5. Candidates are verified on the item's whole shingle set.
+so the two are not sketched alike. Items are partitioned by size (powers of two), and the partition sets
+how many least shingle hashes an item keeps (all of them in the smaller partitions) and how many of
+these a document must hold to be a candidate. The kept hashes are a uniform sample of the item's set, so a
+document that contains a share c of the item holds about c of them, whatever its own size; the needed
+number is the largest that an item at the threshold misses with a probability below ``MISS``. Candidates
+are verified on the item's whole shingle set.
 """
 
 from __future__ import annotations
 
+import math
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,18 +25,42 @@ from .shared import KEY, arrow_map, keyed
 
 WIDTH = 5
 THRESHOLD = 0.8
-SKETCH = 32
-SAFETY = 0.5
+# hashes kept in the smallest partition that keeps a sample, and more per doubling of the size
+SKETCH, MORE = 32, 8
+MISS = 1e-6
 # item shingles that may be sent to every task (8 bytes each); above it the search is a shuffle join
 MOST_BROADCAST = 1 << 20
 
-ITEMS = "item_id long, text_key long, size int, class int, sketch array<long>, shingles array<long>"
+ITEMS = (
+    "item_id long, text_key long, size int, partition int, needed int, sketch array<long>, "
+    "shingles array<long>"
+)
 FOUND = "doc_id long, text_key long, item_id long, item_key long, n_item int, n_shared int"
 HASHES = "doc_id long, text_key long, value long"
 
 
-def item_sketches(items: DataFrame, width: int, sketch: int) -> DataFrame:
-    """Distinct shingles, size partition and least-hash sketch of every item that has a word."""
+@cache
+def partition_plan(partition: int, sketch: int, threshold: float) -> tuple[int, int]:
+    """(kept hashes, needed hits) of items with ``2 ** partition`` shingles or more, fewer than twice that.
+
+    Below twice ``sketch`` shingles all are kept, and the needed number follows from each item's size
+    (given as 0 here). Above, hits of an item at the threshold are drawn without replacement; drawing with
+    replacement is the wider case, so its tail bounds the misses.
+    """
+    most = 2 ** (partition + 1) - 1
+    if most < 2 * sketch:
+        return most, 0
+    kept = sketch + MORE * (partition + 1 - math.ceil(math.log2(2 * sketch)))
+    tail, needed = 0.0, 0
+    while True:
+        tail += math.comb(kept, needed) * threshold**needed * (1 - threshold) ** (kept - needed)
+        if tail > MISS:
+            return kept, max(1, needed)
+        needed += 1
+
+
+def item_sketches(items: DataFrame, width: int, sketch: int, threshold: float) -> DataFrame:
+    """Distinct shingles, size partition, sketch and needed hits of every item that has a word."""
     own = items.select(
         F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("text_key"), "text"
     )
@@ -46,13 +74,17 @@ def item_sketches(items: DataFrame, width: int, sketch: int) -> DataFrame:
             sets = [T.signed(values[border[i] : border[i + 1]]) for i in has]
             take = pa.array(has + group.lo)
             size = np.array([len(s) for s in sets], np.int32)
+            partition = np.log2(np.maximum(size, 1)).astype(np.int32)
+            plans = [partition_plan(int(p), sketch, threshold) for p in partition]
+            needed = [n or math.ceil(threshold * len(s) - 1e-9) for s, (_, n) in zip(sets, plans, strict=True)]
             yield pa.table(
                 {
                     "item_id": batch.column("item_id").take(take),
                     "text_key": batch.column("text_key").take(take),
                     "size": size,
-                    "class": np.log2(np.maximum(size, 1)).astype(np.int32),
-                    "sketch": pa.array([s[:sketch] for s in sets], pa.list_(pa.int64())),
+                    "partition": partition,
+                    "needed": pa.array(needed, pa.int32()),
+                    "sketch": pa.array([s[:k] for s, (k, _) in zip(sets, plans, strict=True)], pa.list_(pa.int64())),
                     "shingles": pa.array(sets, pa.list_(pa.int64())),
                 }
             )
@@ -60,18 +92,9 @@ def item_sketches(items: DataFrame, width: int, sketch: int) -> DataFrame:
     return checkpointed(arrow_map(own, of_batch, ITEMS).dropDuplicates(["item_id", "text_key"]))
 
 
-def needed_hits(size, sketch: int, threshold: float):
-    """Sketch hits that make a candidate: the expected number at the threshold, with room for chance.
-
-    Where the sketch is the whole set no chance is involved."""
-    whole = size <= sketch
-    return np.where(whole, np.ceil(threshold * size - 1e-9), np.ceil(SAFETY * threshold * sketch))
-
-
-def _search_in_tasks(own: DataFrame, items: DataFrame, sketch: int, threshold: float, width: int) -> DataFrame:
+def _search_in_tasks(own: DataFrame, items: DataFrame, threshold: float, width: int) -> DataFrame:
     """Look the shared, size-checked item sketches up in every document's shingles."""
-    rows = items.select("item_id", "text_key", "size", "class", "sketch", "shingles").collect()
-    rows.sort(key=lambda r: (r["class"], r.item_id is None, r.item_id, r.text_key))
+    rows = items.select("item_id", "text_key", "size", "needed", "sketch", "shingles").collect()
     size = np.array([r.size for r in rows], np.int64)
     sketch_item = np.repeat(np.arange(len(rows)), [len(r.sketch) for r in rows])
     sketch_value = np.array([v for r in rows for v in r.sketch], np.int64).view(np.uint64)
@@ -82,7 +105,7 @@ def _search_in_tasks(own: DataFrame, items: DataFrame, sketch: int, threshold: f
         {
             "value": sketch_value[order],
             "item": sketch_item[order],
-            "needed": needed_hits(size, sketch, threshold),
+            "needed": np.array([r.needed for r in rows], np.int64),
             "ids": [r.item_id for r in rows],
             "keys": [r.text_key for r in rows],
             "sets": sets,
@@ -141,7 +164,7 @@ def _search_in_tasks(own: DataFrame, items: DataFrame, sketch: int, threshold: f
     return arrow_map(own, of_batch, FOUND)
 
 
-def _search_by_join(own: DataFrame, items: DataFrame, sketch: int, threshold: float, width: int) -> DataFrame:
+def _search_by_join(own: DataFrame, items: DataFrame, threshold: float, width: int) -> DataFrame:
     """The same search with both sides shuffled: sketches to candidates, then whole sets of those."""
 
     def hashes(batch):
@@ -158,14 +181,10 @@ def _search_by_join(own: DataFrame, items: DataFrame, sketch: int, threshold: fl
             )
 
     held = arrow_map(own.dropDuplicates(KEY), hashes, HASHES)
-    small = F.col("size") <= sketch
-    needed = F.when(small, F.ceil(threshold * F.col("size") - 1e-9)).otherwise(
-        F.ceil(F.lit(SAFETY * threshold * sketch))
-    )
     item = ["item_id", F.col("text_key").alias("item_key"), "size"]
     names = ["doc_id", "text_key", "item_id", "item_key", "size"]
     candidates = (
-        held.join(items.select(*item, needed.alias("needed"), F.explode("sketch").alias("value")), "value")
+        held.join(items.select(*item, "needed", F.explode("sketch").alias("value")), "value")
         .groupBy(*names, "needed")
         .agg(F.count(F.lit(1)).alias("hits"))
         .where("hits >= needed")
@@ -205,13 +224,14 @@ def contained_items(
     An item is inside if at least ``threshold`` of its distinct ``width``-word shingles (words
     unchanged) occur anywhere in the document; an item with fewer words has one shingle of all its
     words, which only a text of the same words holds. Null and wordless texts and items match nothing.
-    Repeated rows of ``docs`` give repeated rows or one, repeated items one; other columns are ignored.
+    Rows of ``docs`` that agree in id and text give one row an item, and so do repeated items; other
+    columns are ignored.
     """
     own = keyed(docs)
-    known = item_sketches(items.select("item_id", "text"), width, sketch)
+    known = item_sketches(items.select("item_id", "text"), width, sketch, threshold)
     total = known.agg(F.sum("size")).first()[0] or 0
     search = _search_in_tasks if 0 < total <= most_broadcast else _search_by_join
-    found = search(own, known, sketch, threshold, width)
+    found = search(own, known, threshold, width).dropDuplicates([*KEY, "item_id", "item_key"])
     return found.select(
         *KEY,
         "item_id",

@@ -47,6 +47,32 @@ def test_awkward(spark, most_broadcast):
     assert found(docs, bench, most_broadcast=most_broadcast) == plain(rows, items)
 
 
+@pytest.mark.parametrize("most_broadcast", [1 << 20, 0])
+def test_repeated_rows_give_one_row(spark, most_broadcast):
+    item = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, f"before {item} after"), (1, f"before {item} after"), (None, item), (None, item), (1, f"other {item}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (7, item)], "item_id long, text string")
+    got = decontaminate.contained_items(docs, bench, most_broadcast=most_broadcast).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "1", "None"] and len({r.text_key for r in got}) == 3
+
+
+@pytest.mark.parametrize("sketch", [4, 32])
+def test_partitions_decide(spark, sketch):
+    """Items of every size at 0.8 or a little below: the partition's plan must find all, the check drops the rest."""
+    items, rows = [], []
+    for i, n in enumerate([5, 9, 16, 33, 63, 64, 127, 128, 300, 1000]):
+        words = [f"i{i}w{j}" for j in range(n + 4)]
+        items.append((i, " ".join(words)))
+        for k, share in enumerate([1.0, 0.9, 0.82, 0.78]):
+            rows.append((10 * i + k, " ".join([f"f{i}{k}{j}" for j in range(900)] + words[: round(share * n) + 4])))
+    plans = [decontaminate.partition_plan(p, sketch, 0.8) for p in range(11)]
+    assert len(set(plans)) > 6 and all(n < k for k, n in plans)
+    docs = spark.createDataFrame([(*r, None, None, None) for r in rows], SCHEMA)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert found(docs, bench, sketch=sketch) == plain(rows, items)
+
+
 def test_whole_table(spark):
     folder = "/root/testdata/sf0.01"
     docs, bench = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
