@@ -17,8 +17,9 @@ from . import text as T
 from .shared import KEY, arrow_map
 
 # production parameters
-LEAST_DOCUMENTS = 50
+LEAST_DOCUMENTS = 5  # so few documents share a line by chance
 HOST_SHARE = 0.1
+MOST_DOCUMENTS = 10_000  # more than these share no line but boilerplate, however large the host
 LEAST_LEFT = 0.5
 LEAST_WORDS = 50
 MOST_REPEATED = 0.5
@@ -121,10 +122,10 @@ def measured(own: DataFrame) -> DataFrame:
     return arrow_map(own, of_batch, STATS)
 
 
-def frequent_lines(stats: DataFrame, least_documents: int, host_share: float) -> DataFrame:
-    """(source, line) above the limit: more than ``least_documents`` distinct documents and more than
-    ``host_share`` of the host's. Rows equal in text are one document: copies of a whole document are
-    for a deduplicator, not boilerplate."""
+def frequent_lines(stats: DataFrame, least_documents: int, host_share: float, most_documents: int) -> DataFrame:
+    """(source, line) above the limits: more than ``host_share`` of the host's distinct documents, and more
+    than chance gives (``least_documents``); or more than ``most_documents``, whatever the share. Rows
+    equal in text are one document: copies of a whole document are for a deduplicator, not boilerplate."""
     host = F.col("source")
     # exact copies and repeated rows count once
     texts = stats.groupBy("source", "text_key").agg(F.first("lines").alias("lines"))
@@ -138,7 +139,8 @@ def frequent_lines(stats: DataFrame, least_documents: int, host_share: float) ->
     )
     totals = totals.withColumnRenamed("source", "host")
     above = counts.join(totals, F.col("source").eqNullSafe(F.col("host")))
-    return above.where(F.col("holders") > host_share * F.col("documents")).select("source", "line")
+    share = F.col("holders") > host_share * F.col("documents")
+    return above.where(share | (F.col("holders") > most_documents)).select("source", "line")
 
 
 def judged(
@@ -146,6 +148,7 @@ def judged(
     least_documents: int = LEAST_DOCUMENTS,
     host_share: float = HOST_SHARE,
     least_left: float = LEAST_LEFT,
+    most_documents: int = MOST_DOCUMENTS,
 ) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, source, ...): base counts, base_failed, removed lines, kept.
 
@@ -160,7 +163,7 @@ def judged(
         F.col("source").cast("string").alias("source"),
     )
     stats = checkpointed(measured(own))
-    above = checkpointed(frequent_lines(stats, least_documents, host_share))
+    above = checkpointed(frequent_lines(stats, least_documents, host_share, most_documents))
     above = above.withColumnsRenamed({"source": "host", "line": "frequent"})
     held = stats.select(*KEY, "source", F.explode("lines").alias("l"))
     lost = (

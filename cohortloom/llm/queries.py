@@ -202,7 +202,7 @@ totals AS (SELECT source, count(DISTINCT t) AS documents FROM docs GROUP BY 1),
 above AS (
   SELECT w.source, norm FROM worded w JOIN totals x ON w.source IS NOT DISTINCT FROM x.source
   GROUP BY w.source, norm, documents
-  HAVING count(DISTINCT t) > 50 AND count(DISTINCT t) > 0.1 * documents
+  HAVING count(DISTINCT t) > 5 AND (count(DISTINCT t) > 0.1 * documents OR count(DISTINCT t) > 10000)
 ),
 lost AS (
   SELECT doc_id, sum(len(lw)) AS n FROM worded w

@@ -11,7 +11,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def plain(rows, least, share, left=0.5):
+def plain(rows, least, share, left=0.5, most=10_000):
     def norm(line):
         return " ".join(WORD.findall(line)).translate({i: i + 32 for i in range(65, 91)})
 
@@ -21,7 +21,7 @@ def plain(rows, least, share, left=0.5):
     above = {}
     for host, own in texts.items():
         held = Counter(x for t in own for x in {norm(line) for line in (t or "").split("\n")} - {""})
-        above[host] = {x for x, n in held.items() if n > least and n > share * len(own)}
+        above[host] = {x for x, n in held.items() if n > least and (n > share * len(own) or n > most)}
     out = []
     for doc, text, _, host, _ in rows:
         words = WORD.findall(text or "")
@@ -74,7 +74,23 @@ def test_awkward(spark):
 def test_whole_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [tuple(r) for r in df.select(*[c.split()[0] for c in SCHEMA.split(", ")]).collect()]
-    assert spark_rows(df) == plain(rows, 50, 0.1)
+    assert spark_rows(df) == plain(rows, 5, 0.1)
+
+
+def test_hosts_of_any_size(spark):
+    """One rule for a host of 20 and one of 20,000 documents: share above chance, or very many documents."""
+    def page(i, line):
+        return f"{' '.join(f'd{i}w{j}' for j in range(52))}\n{line} " + "menu " * 90
+
+    rows = [(i, page(i, "in six" if i < 6 else f"x{i}"), "en", "small", 0) for i in range(20)]
+    rows += [(i + 50, page(i + 50, "in five" if i < 5 else f"x{i}"), "en", "other", 0) for i in range(20)]
+    share = {i: "tenth" if i < 2_001 else "many" if i < 3_600 else "less" if i < 5_100 else f"x{i}" for i in range(20_000)}
+    rows += [(i + 100, page(i + 100, share[i]), "en", "large", 0) for i in range(20_000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    options = {"least_documents": 5, "most_documents": 1_500}
+    got = quality.judged(df, **options).where("n_removed_words > 0").select("doc_id", "kept").collect()
+    want = {*range(6), *(i + 100 for i in range(3_600))}
+    assert {r.doc_id for r in got} == want and not any(r.kept for r in got)
 
 
 def test_clean_removes_lines(spark):
