@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..operators.scale import checkpointed
 from . import text as T
+from .shared import release, small_batches
 
 CHUNK_BYTES = 2 << 20
 _LOW = np.int64(0xFFFFFFFF)
@@ -231,8 +232,9 @@ def _chunks(docs: DataFrame, path_a: str, path_b: str, chunk_bytes: int) -> Data
                 row |= {k: [v if isinstance(v, bytes) else list(v)] for k, v in made.items()}
                 name += 1
                 yield pa.RecordBatch.from_pydict(row, schema=_CHUNK_SCHEMA)
+                release()
 
-    return docs.mapInArrow(run, CHUNKS)
+    return small_batches(docs).mapInArrow(run, CHUNKS)
 
 
 _CHUNK_SCHEMA = pa.schema(
@@ -258,6 +260,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield batch.slice(i, 1).to_pylist()[0]
+        release()
 
 
 def _asked(chunks: DataFrame) -> DataFrame:

@@ -5,8 +5,14 @@ values per class are hashed band by band; classes that share a band hash form a
 of 8 rows a pair at similarity s meets with probability 1 - (1 - s**8)**40: 0.9994 at 0.8, above
 0.99999 from 0.85 on. Buckets with the same members count once. Members of a bucket bring their full
 shingle sets and all pairs are verified inside the tile they meet in, never written out: a tile gives
-link counts per class and enough edges to connect what is linked. A bucket above ``TILE_BYTES`` or
-``TILE_MEMBERS`` is cut into blocks, and every two of its blocks meet in a tile of their own.
+link counts per class and enough edges to connect what is linked.
+
+A bucket above ``TILE_BYTES`` or ``TILE_MEMBERS`` is dense. Dense buckets that share members form a
+cluster, and the cluster a pivot: the shingles that most of a few of its members hold. From |x & y| >=
+|x & P| + |y & P| - |P| it follows that any two members close enough to the pivot (its core) are linked. Their
+links are one sum over the core, without a pair looked at, and no set of theirs moves for the sake of
+another's. Only members outside the core are cut into blocks, and every two of these blocks, and each with
+every block of the core, meet in a tile of their own.
 """
 
 from __future__ import annotations
@@ -18,18 +24,29 @@ from pyspark.sql import functions as F
 
 from ..operators.scale import checkpointed
 from . import text as T
-from .shared import arrow_map, components, join_documents, keyed, whole_groups
+from .shared import (
+    arrow_map,
+    components,
+    join_documents,
+    keyed,
+    release,
+    small_batches,
+    whole_groups,
+)
 
 WIDTH = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 40, 8
 TILE_BYTES, TILE_MEMBERS = 4 << 20, 2048
+# members whose shingles make a cluster's pivot; it decides about work, never about links
+PIVOT_MEMBERS = 9
+ROWS_BYTES = 2 << 20
 _SEED = 20_240_607
 
 SIGNED = "doc_id long, text_key long, set_a long, set_b long, shingles int, bands array<long>"
 MEMBERS = (
-    "bucket long, one int, two int, block int, class long, copies long, buckets binary, "
-    "shingles binary"
+    "bucket long, one int, two int, block int, class long, copies long, home long, core boolean, "
+    "buckets binary, shingles binary"
 )
 LINKS = "class long, other long, links long"
 
@@ -90,7 +107,7 @@ def signatures(own: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 
 
 def _buckets(classes: DataFrame, tile_bytes: int) -> DataFrame:
-    """(bucket, class, blocks): buckets of two or more classes, one of those with equal members."""
+    """(bucket, class, shingles, dense): buckets of two or more classes, one of those with equal members."""
     rows = checkpointed(
         classes.select("class", "shingles", F.explode("bands").alias("bucket"))
     )
@@ -103,45 +120,129 @@ def _buckets(classes: DataFrame, tile_bytes: int) -> DataFrame:
     sizes = sizes.where("members > 1").groupBy("who", "members").agg(
         F.min("bucket").alias("bucket"), F.max("bytes").alias("bytes")
     )
-    blocks = F.greatest(F.col("bytes") / tile_bytes, F.col("members") / TILE_MEMBERS)
-    sizes = sizes.select("bucket", F.ceil(blocks).cast("int").alias("blocks"))
-    return rows.join(sizes, "bucket").select("bucket", "class", "blocks")
+    dense = (F.col("bytes") > tile_bytes) | (F.col("members") > TILE_MEMBERS)
+    return checkpointed(rows.join(sizes.select("bucket", dense.alias("dense")), "bucket"))
+
+
+def _sets(batch: pa.RecordBatch, width: int):
+    """(row, shingle set) of every text of a batch."""
+    for group in T.groups(batch.column("text")):
+        values, texts = T.shingles(T.words(group), width)
+        values, border = T.distinct_per_text(values, texts, group.hi - group.lo)
+        for i in range(group.lo, group.hi):
+            yield i, values[border[i - group.lo] : border[i - group.lo + 1]]
+
+
+def _texts(own: DataFrame, chosen: DataFrame, classes: DataFrame) -> DataFrame:
+    """Texts of the documents that stand for the ``chosen`` classes, with the columns of ``chosen``."""
+    who = classes.select("class", F.col("who.doc_id").alias("doc_id"), F.col("who.text_key").alias("text_key"))
+    # texts are dealt by document at every size; a small list must not be broadcast on one day only
+    return join_documents(own, checkpointed(chosen.join(who, "class")).hint("merge"), "inner")
+
+
+def _clusters(dense: DataFrame) -> DataFrame:
+    """(class, home): the members of dense buckets that are connected through members have one home."""
+    low = checkpointed(dense.groupBy("class").agg(F.min("bucket").alias("low")))
+    edges = dense.join(low, "class").where("bucket <> low").select(F.col("bucket").alias("a"), F.col("low").alias("b"))
+    joined = components(edges.distinct()).withColumnsRenamed({"node": "low", "label": "home"})
+    return checkpointed(low.join(joined, "low", "left").select("class", F.coalesce("home", "low").alias("home")))
+
+
+def _core(own: DataFrame, homes: DataFrame, classes: DataFrame, width: int, threshold: float) -> DataFrame:
+    """(class, home, core): whether a member is so close to its cluster's pivot that all such are linked."""
+    few = homes.groupBy("home", F.pmod(F.xxhash64("class"), F.lit(PIVOT_MEMBERS))).agg(F.min("class").alias("class"))
+    few = checkpointed(few.select("home", "class"))
+
+    def spread(batch):
+        rows, values = zip(*_sets(batch, width), strict=True) if batch.num_rows else ((), ())
+        if rows:
+            take = pa.array(np.repeat(rows, [len(v) for v in values]), pa.int64())
+            yield pa.table({"home": batch.column("home").take(take), "value": T.signed(np.concatenate(values))})
+
+    held = arrow_map(_texts(own, few, classes), spread, "home long, value long")
+    most = few.groupBy("home").agg(F.count(F.lit(1)).alias("asked"))
+    pivots = held.groupBy("home", "value").count().join(most, "home").where("2 * count > asked")
+    pivots = checkpointed(pivots.groupBy("home").agg(F.sort_array(F.collect_list("value")).alias("pivot")))
+
+    def near(batch):
+        out = []
+        pivot = batch.column("pivot")
+        for i, mine in _sets(batch, width):
+            known = pivot[i].values.to_numpy() if pivot[i].is_valid else np.zeros(0, np.int64)
+            both = len(np.intersect1d(T.signed(mine), known, assume_unique=True))
+            # sure of x and y if their sum reaches (1 + threshold) * |P|
+            reach = (1 + threshold) * both - threshold * len(mine)
+            out.append(len(known) > 0 and reach >= (1 + threshold) * len(known) / 2 + 1e-6)
+        yield pa.table({"class": batch.column("class"), "home": batch.column("home"), "core": pa.array(out, pa.bool_())})
+
+    asked = homes.join(pivots, "home", "left")
+    return checkpointed(arrow_map(_texts(own, asked, classes), near, "class long, home long, core boolean"))
+
+
+def _placed(buckets: DataFrame, cores: DataFrame | None, tile_bytes: int) -> DataFrame:
+    """(class, home, core, buckets): per class the buckets it is in and their blocks outside and inside the core."""
+    if cores is None:
+        core, home = F.lit(False), F.lit(0).cast("long")
+        rows = buckets.withColumns({"home": home, "core": core})
+    else:
+        rows = buckets.join(cores, "class", "left").withColumn("core", F.coalesce("core", F.lit(False)))
+    inside = F.col("dense") & F.col("core")
+    size = F.col("shingles").cast("long") * 8
+
+    def blocks(of):
+        n, data = F.count(F.when(of, 1)), F.coalesce(F.sum(F.when(of, size)), F.lit(0))
+        return F.ceil(F.greatest(n / TILE_MEMBERS, data / tile_bytes)).cast("int")
+
+    sizes = rows.groupBy("bucket").agg(blocks(~inside).alias("outer"), blocks(inside).alias("inner"))
+    rows = rows.join(sizes, "bucket").where("outer > 0")
+    return rows.groupBy("class").agg(
+        F.first("home").alias("home"),
+        F.first("core").alias("core"),
+        F.collect_list(F.struct("bucket", inside.alias("inside"), "outer", "inner")).alias("buckets"),
+    )
+
+
+def _tiles_of(name: int, inside: bool, outer: int, inner: int) -> tuple[int, list[int]]:
+    """The block of a member, and the blocks it meets: all outer ones, and from outside the inner ones."""
+    if inside:
+        return outer + hash_block(name, inner), list(range(outer))
+    return hash_block(name, outer), list(range(outer + inner))
 
 
 def _members(docs: DataFrame, width: int) -> DataFrame:
     """One row per class and tile it takes part in, with its shingle set."""
+    tile = ("bucket", "one", "two", "block", "row", "buckets", "shingles")
+
+    def table(batch, out):
+        take = pa.array(out.pop("row"), pa.int64())
+        return pa.table(
+            {
+                "bucket": pa.array(out["bucket"], pa.int64()),
+                **{n: pa.array(out[n], pa.int32()) for n in ("one", "two", "block")},
+                **{n: batch.column(n).take(take) for n in ("class", "copies", "home", "core")},
+                "buckets": pa.array(out["buckets"], pa.binary()),
+                "shingles": pa.array(out["shingles"], pa.binary()),
+            }
+        )
 
     def of_batch(batch):
-        for group in T.groups(batch.column("text")):
-            values, texts = T.shingles(T.words(group), width)
-            values, border = T.distinct_per_text(values, texts, group.hi - group.lo)
-            out = {name: [] for name in ("bucket", "one", "two", "block", "row", "buckets", "shingles")}
-            for i in range(group.lo, group.hi):
-                data = values[border[i - group.lo] : border[i - group.lo + 1]].tobytes()
-                mine = batch.column("buckets")[i].as_py()
-                name = batch.column("class")[i].as_py()
-                known = np.sort(np.array([b["bucket"] for b in mine], np.int64)).tobytes()
-                for b in mine:
-                    block = hash_block(name, b["blocks"])
-                    for other in range(b["blocks"]):
-                        out["bucket"].append(b["bucket"])
-                        out["one"].append(min(block, other))
-                        out["two"].append(max(block, other))
-                        out["block"].append(block)
-                        out["row"].append(i)
-                        out["buckets"].append(known)
-                        out["shingles"].append(data)
-            take = pa.array(out.pop("row"), pa.int64())
-            yield pa.table(
-                {
-                    "bucket": pa.array(out["bucket"], pa.int64()),
-                    **{n: pa.array(out[n], pa.int32()) for n in ("one", "two", "block")},
-                    "class": batch.column("class").take(take),
-                    "copies": batch.column("copies").take(take),
-                    "buckets": pa.array(out["buckets"], pa.binary()),
-                    "shingles": pa.array(out["shingles"], pa.binary()),
-                }
-            )
+        out, held = {n: [] for n in tile}, 0
+        for i, values in _sets(batch, width):
+            data, name = values.tobytes(), batch.column("class")[i].as_py()
+            mine = batch.column("buckets")[i].as_py()
+            known = np.sort(np.array([b["bucket"] for b in mine], np.int64)).tobytes()
+            for b in mine:
+                block, others = _tiles_of(name, b["inside"], b["outer"], b["inner"])
+                for other in others:
+                    row = (b["bucket"], min(block, other), max(block, other), block, i, known, data)
+                    for n, x in zip(tile, row, strict=True):
+                        out[n].append(x)
+                    held += len(data) + len(known)
+                    if held >= ROWS_BYTES:
+                        yield table(batch, out)
+                        out, held = {n: [] for n in tile}, 0
+        if held:
+            yield table(batch, out)
 
     return arrow_map(docs, of_batch, MEMBERS)
 
@@ -185,7 +286,7 @@ def forest(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _verified(bucket: int, across: bool, block, names, copies, known, sets, threshold):
+def _verified(bucket: int, across: bool, block, names, copies, cores, known, sets, threshold):
     """Links of one tile: (class, a class it is connected to, weight of links first met here)."""
     size = np.array([len(s) for s in sets], np.float64)
     both = overlaps(sets)
@@ -195,6 +296,10 @@ def _verified(bucket: int, across: bool, block, names, copies, known, sets, thre
         return None
     # a tile of two blocks counts the pairs across, that of one block the pairs within
     mine = linked & (block[:, None] != block[None, :]) if across else linked.copy()
+    # the links inside a core are counted all at once
+    for home in np.unique(cores[cores >= 0]):
+        part = np.flatnonzero(cores == home)
+        mine[np.ix_(part, part)] = False
     # a pair that shares a smaller bucket is counted there
     earlier = [k[k < bucket] for k in known]
     owner = np.repeat(np.arange(len(known)), [len(e) for e in earlier])
@@ -218,7 +323,9 @@ def _tiles(members: DataFrame, threshold: float) -> DataFrame:
             bucket, one, two = (table[k].to_numpy() for k in keys)
             cut = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(one) != 0) | (np.diff(two) != 0)) + 1
             cut = np.concatenate(([0], cut, [len(bucket)]))
-            name, copies, block = (table[k].to_numpy() for k in ("class", "copies", "block"))
+            name, copies, block, home = (table[k].to_numpy() for k in ("class", "copies", "block", "home"))
+            # a number per home of the table, or none outside a core
+            homes = np.where(table["core"].to_numpy(), np.unique(home, return_inverse=True)[1], -1)
             known, sets = table["buckets"].to_pylist(), table["shingles"].to_pylist()
             found = []
             for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
@@ -232,6 +339,7 @@ def _tiles(members: DataFrame, threshold: float) -> DataFrame:
                             block[pick],
                             names,
                             copies[pick],
+                            homes[pick],
                             [np.frombuffer(known[i], np.int64) for i in pick],
                             [np.frombuffer(sets[i], np.uint64) for i in pick],
                             threshold,
@@ -241,9 +349,11 @@ def _tiles(members: DataFrame, threshold: float) -> DataFrame:
             if found:
                 a, b, n = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield pa.record_batch({"class": a, "other": b, "links": n.astype(np.int64)})
+            del table
+            release()
 
     dealt = members.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, LINKS)
+    return small_batches(dealt).mapInArrow(run, LINKS)
 
 
 def near_duplicates(
@@ -276,16 +386,19 @@ def near_duplicates(
             F.first("shingles").alias("shingles"),
         ).withColumn("class", F.xxhash64("set_a", "set_b"))
     )
-    placed = _buckets(classes, tile_bytes).groupBy("class").agg(
-        F.collect_list(F.struct("bucket", "blocks")).alias("buckets")
-    )
-    chosen = placed.join(classes, "class").select(
-        "class", "copies", "buckets", F.col("who.doc_id").alias("doc_id"), F.col("who.text_key").alias("text_key")
-    )
-    # texts are dealt by document at every size; a small list must not be broadcast on one day only
-    chosen = checkpointed(chosen).hint("merge")
-    members = _members(join_documents(own, chosen, "inner"), width)
-    links = checkpointed(_tiles(members, threshold))
+    buckets = _buckets(classes, tile_bytes)
+    dense = buckets.where("dense").select("bucket", "class")
+    cores = None
+    if not dense.isEmpty():
+        cores = _core(own, _clusters(checkpointed(dense)), classes, width, threshold)
+    placed = _placed(buckets, cores, tile_bytes).join(classes.select("class", "copies"), "class")
+    links = _tiles(_members(_texts(own, placed, classes), width), threshold)
+    if cores is not None:
+        inside = cores.where("core").join(classes.select("class", "copies"), "class")
+        whole = inside.groupBy("home").agg(F.sum("copies").alias("all"), F.min("class").alias("other"))
+        linked = inside.join(whole, "home").select("class", "other", (F.col("all") - F.col("copies")).alias("links"))
+        links = links.unionByName(linked)
+    links = checkpointed(links)
     counts = links.groupBy("class").agg(F.sum("links").alias("links"))
     connected = components(links.select(F.col("class").alias("a"), F.col("other").alias("b")))
     grouped = counts.join(connected.withColumnRenamed("node", "class"), "class", "left")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 from ..operators.scale import checkpointed
 
 ROWS_OUT = 20_000
+# bytes of a batch that Spark hands to a task's Python worker
+BATCH_BYTES = "8m"
 
 
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
@@ -47,6 +51,29 @@ def join_documents(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     return found.drop(*names.values())
 
 
+@cache
+def _trim() -> Callable | None:
+    """The C library's call that gives free memory back to the system, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return None
+
+
+def release() -> None:
+    """Give back what earlier batches have used: a worker is kept for later tasks, with all it holds."""
+    pa.default_memory_pool().release_unused()
+    trim = _trim()
+    if trim is not None:
+        trim(0)
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on bounds Arrow batches by bytes; results do not depend on it."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator], schema: str) -> DataFrame:
     """Apply a function that turns one record batch into record batches or tables."""
 
@@ -57,8 +84,10 @@ def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator], sch
                     yield from out.to_batches(max_chunksize=ROWS_OUT)
                 else:
                     yield out
+            del batch
+            release()
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

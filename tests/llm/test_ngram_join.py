@@ -77,13 +77,52 @@ def test_dense_group_in_blocks(spark):
     assert got == all_pairs(rows)
 
 
+def variants(n, changes, seed=0):
+    """Texts of 300 words with ``changes[k % len]`` words of their own each."""
+    rng = np.random.default_rng(seed)
+    words = [f"s{seed}w{i}" for i in range(300)]
+    rows = []
+    for k in range(n):
+        copy = list(words)
+        for j in range(changes[k % len(changes)]):
+            copy[int(rng.integers(300))] = f"own{seed}k{k}j{j}"
+        rows.append((10_000 * seed + k, " ".join(copy), None, None, None))
+    return rows
+
+
+@pytest.mark.parametrize("changes", [[1, 1, 2], [0, 1, 2, 3, 4, 6, 8, 10], [9], [14, 1]])
+def test_dense_groups_of_all_kinds(spark, changes):
+    """Members in and out of the core, copies, groups without a core, several groups at once."""
+    rows = variants(150, changes, 1) + variants(60, [2], 2) + variants(40, [30], 3) + near_copies()
+    rows += [(90_000 + k, rows[k][1], None, None, None) for k in range(0, 150, 4)]
+    got = links(spark.createDataFrame(rows, SCHEMA), bands=160, tile_bytes=30_000)
+    assert got == all_pairs(rows)
+
+
+def test_a_dense_group_moves_its_sets_once(spark, monkeypatch):
+    """Four times the members move about four times the bytes, not sixteen times."""
+    moved, tiles = [], ngram_join._tiles
+
+    def watched(members, threshold):
+        moved.append(members.selectExpr("sum(octet_length(shingles)) AS n").first().n or 0)
+        return tiles(members, threshold)
+
+    monkeypatch.setattr(ngram_join, "_tiles", watched)
+    for n in (300, 1200):
+        # nine in ten near the pivot, the rest further away
+        rows = variants(n, [1, 2, 1, 2, 1, 2, 1, 2, 1, 10], 5)
+        got = ngram_join.near_duplicates(spark.createDataFrame(rows, SCHEMA), tile_bytes=600_000)
+        assert got.agg({"n_links": "max"}).first()[0] > n / 2
+    assert 0 < moved[1] < 6 * moved[0]
+
+
 def test_bucket_of_many_classes(spark):
     classes = spark.range(70_001).selectExpr(
         "id AS class", "5 AS shingles", "IF(id < 70000, array(1L, 2L, id + 10), array(3L)) AS bands"
     )
     got = ngram_join._buckets(classes, ngram_join.TILE_BYTES)
     # both buckets have the same members and count once
-    assert [tuple(r) for r in got.groupBy("bucket", "blocks").count().collect()] in ([(1, 35, 70_000)], [(2, 35, 70_000)])
+    assert [tuple(r) for r in got.groupBy("bucket", "dense").count().collect()] in ([(1, True, 70_000)], [(2, True, 70_000)])
 
 
 def test_keep_one(spark):
