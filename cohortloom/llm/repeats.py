@@ -29,6 +29,9 @@ POSITION_BITS = 22
 _POSITION = np.uint64((1 << POSITION_BITS) - 1)
 PIECE = 1 << 20
 
+# runs that make up more than one in so many of all runs; there are at most so many of them
+HOT_SHARE = 1000
+
 RUNS = "doc_id long, text_key long, start int, windows int, anchor long, run long"
 
 
@@ -139,11 +142,19 @@ def survey(docs: DataFrame, unit: str, width: int, seed: int) -> Survey:
     twice = classes.where("n > 1").select(
         "anchor",
         "run",
+        "n",
         F.col("first.doc_id").alias("d0"),
         F.col("first.text_key").alias("k0"),
         F.col("first.start").alias("s0"),
     )
-    repeated = runs.join(twice, ["anchor", "run"]).select(
+    # a run copied everywhere would be one key in one task; the few such are looked up where their rows lie
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    hot = checkpointed(twice.where(F.col("n") * HOT_SHARE > total))
+    cold = runs.join(F.broadcast(hot.select("anchor", "run")), ["anchor", "run"], "left_anti")
+    found = runs.join(F.broadcast(hot), ["anchor", "run"]).unionByName(
+        cold.join(twice.where(F.col("n") * HOT_SHARE <= total), ["anchor", "run"])
+    )
+    repeated = found.select(
         *KEY,
         "start",
         "windows",
