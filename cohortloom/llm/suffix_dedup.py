@@ -24,7 +24,7 @@ from .repeats import (
     survey,
     whole_runs,
 )
-from .shared import KEY, arrow_map, join_documents, keyed, whole_groups
+from .shared import KEY, arrow_map, join_documents, keyed, release, small_batches, whole_groups
 from .substring_dedup import WINDOWS, expand
 
 WIDTH = 400
@@ -206,8 +206,11 @@ def _settle(stretches: DataFrame, width: int, keep_first: bool) -> DataFrame:
                             "hi": np.concatenate(last).astype(np.int32),
                         }
                     )
+            del table
+            release()
 
-    return stretches.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, SPANS)
+    dealt = stretches.repartition("anchor").sortWithinPartitions("anchor")
+    return small_batches(dealt).mapInArrow(run, SPANS)
 
 
 def _window_rows(stretches: DataFrame, width: int) -> DataFrame:
@@ -312,9 +315,18 @@ def remove_repeats(
     return arrow_map(marked, of_batch, schema)
 
 
-def clean(docs: DataFrame, width: int = WIDTH, **options) -> DataFrame:
+def whole_words(raw: bytes, lo: int, hi: int) -> int:
+    """Words of ``raw`` that lie in ``raw[lo:hi]`` from end to end."""
+    words = len(raw[lo:hi].split())
+    cut_open = lo > 0 and not T.IS_SPACE[raw[lo - 1]] and not T.IS_SPACE[raw[lo]]
+    cut_close = hi < len(raw) and not T.IS_SPACE[raw[hi]] and not T.IS_SPACE[raw[hi - 1]]
+    return max(0, words - cut_open - cut_close)
+
+
+def clean(docs: DataFrame, width: int = WIDTH, least_words: int = 0, **options) -> DataFrame:
     """``docs`` with later copies of ``width``-byte strings cut out of the texts, first ones kept.
 
+    Of the maximal stretches so covered only those with ``least_words`` whole words or more are cut.
     A character that a cut leaves incomplete goes too. ``n_chars``, where there is one, follows the
     new text; texts that lose nothing, nulls included, stay as they are. No row goes.
     """
@@ -341,8 +353,9 @@ def clean(docs: DataFrame, width: int = WIDTH, **options) -> DataFrame:
                 here = slice(begin[i], begin[i + 1])
                 left, at = [], 0
                 for a, b in zip(*(x.tolist() for x in merged(spans["lo"][here], spans["hi"][here])), strict=True):
-                    left.append(raw[at:a].decode(errors="ignore"))
-                    at = b
+                    if not least_words or whole_words(raw, a, b) >= least_words:
+                        left.append(raw[at:a].decode(errors="ignore"))
+                        at = b
                 left.append(raw[at:].decode(errors="ignore"))
                 texts[i] = "".join(left)
                 if sizes is not None:

@@ -2,45 +2,51 @@
 
 Every stage takes (spark, docs, sf_dir). All but the last return the columns of ``documents``:
 quality rules drop rejected documents and frequent lines, the n-gram join leaves one document of each
-group, suffix-array dedup cuts later copies of long strings out of the texts, passage dedup does the
-same for passages of 51 words or more, decontamination drops documents that hold a benchmark item,
-and packing returns the pieces of the sequences.
+group, suffix-array dedup cuts later copies of passages of 51 words or more out of the texts,
+decontamination drops documents that hold a benchmark item, and packing returns the pieces of the
+sequences.
+
+Null, empty and wordless texts fail the quality rules and go there; so do texts of under 50 words. Rows
+equal in id and text become one in the n-gram join, rows that share an id only are documents of their own, a
+null id or source is a value like any other. Ties fall to the least id, then the least text hash. Other
+columns, whatever their names, travel along to the last stage but one. Empty tables stay empty.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.llm import decontaminate, ngram_join, packing, quality, substring_dedup, suffix_dedup
+from cohortloom.llm import decontaminate, ngram_join, packing, quality, suffix_dedup
 from cohortloom.operators.scale import scratch_path
 
-# passages of over 50 words: counted in words, as 51 words are often shorter than the 400 bytes of op9
-PASSAGE_WIDTH = 51
-PASSAGE_SEED = 17
+# passages of over 50 words; 51 words are often shorter than the 400 bytes of op9, hardly ever than these
+PASSAGE_WORDS = 51
+PASSAGE_BYTES, PASSAGE_SEED = 180, 32
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Kept documents without the lines that too many documents of their host carry."""
     return quality.clean(docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near duplicates; documents without links all stay."""
     return ngram_join.keep_one(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix_dedup.clean(docs)
-
-
-def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return substring_dedup.clean(docs, PASSAGE_WIDTH, PASSAGE_SEED)
+    """All documents; of passages that repeat, the first place keeps the words."""
+    return suffix_dedup.clean(docs, PASSAGE_BYTES, PASSAGE_WORDS, seed=PASSAGE_SEED)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of ``benchmark``."""
     items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
     return decontaminate.clean(docs, items)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens with their sequence and place."""
     return packing.packed(docs).drop("text_key")
 
 
@@ -48,7 +54,6 @@ STAGES = [
     ("quality_rules", quality_rules),
     ("ngram_jaccard_join", ngram_jaccard_join),
     ("suffix_array_dedup", suffix_array_dedup),
-    ("passage_dedup", passage_dedup),
     ("benchmark_decontamination", benchmark_decontamination),
     ("best_fit_packing", best_fit_packing),
 ]
