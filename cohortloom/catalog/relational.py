@@ -455,10 +455,7 @@ def _(v):
     rows = v.table("orders").select(
         F.col("o_custkey").alias("studyid"), "o_orderkey", F.col("o_orderdate").cast("date").alias("od")
     )
-    numbered = number_rows(
-        rows, ["studyid"], [F.unix_date("od"), F.col("o_orderkey")], [F.col("od"), F.col("o_orderkey")]
-    )
-    return numbered.drop("od")
+    return number_rows(rows, ["studyid"], [F.col("od"), F.col("o_orderkey")]).drop("od")
 
 
 @query("f2_first_event", """

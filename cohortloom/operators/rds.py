@@ -490,7 +490,6 @@ def convergence(df: DataFrame, frame: Frame = Frame(), by: list[str] | None = No
     ran = running_sums(
         checkpointed(df.select(*dict.fromkeys([*by, *roles]))),
         by,
-        [F.col(frame.order)],
         [F.col(frame.order), F.col(frame.id)],
         {"m": F.lit(1), "__wy": F.col(frame.outcome) * _inverse(d), "__w": _inverse(d)},
     )
@@ -525,7 +524,7 @@ def convergence_rds_i(
     for g in (0, 1):
         sums[f"__n{g}"] = F.when(mine[g], 1).otherwise(0)
         sums[f"__inv{g}"] = F.when(mine[g], _inverse(F.col(frame.degree))).otherwise(0.0)
-    ran = running_sums(checkpointed(rows), by, [t, i], [t, i], sums)
+    ran = running_sums(checkpointed(rows), by, [t, i], sums)
     col = {c: F.col(f"s__r{c}") for c in ("00", "01", "10", "11")}
     ran = ran.withColumns(
         {
@@ -545,8 +544,7 @@ def _with_slice(
     by = by or []
     roles = [frame.id, frame.recruiter, frame.degree, frame.outcome, frame.order]
     src = checkpointed(df.select(*dict.fromkeys([*by, *roles])))
-    ranked = running_sums(src, by, [F.col(frame.order)], [F.col(frame.order), F.col(frame.id)],
-                          {"__rn": F.lit(1)}, True)
+    ranked = running_sums(src, by, [F.col(frame.order), F.col(frame.id)], {"__rn": F.lit(1)}, True)
     cut = F.ceil(F.col("__rn") * points / F.col("__rn_total")).cast("int")
     return ranked.withColumn("slice", cut).drop("__rn", "__rn_total")
 

@@ -1,24 +1,22 @@
 """Skew-proof building blocks: running totals, exact quantiles, first rows, reliable checkpoints.
 
 A plain window over a hot key, or over no key at all, sorts everything in one task. The helpers here
-cut each key's order into value buckets, do the local work per (key, bucket), and stitch buckets
-together through a small table of bucket totals.
+cut the order of all rows into stretches of bounded size, do the local work per stretch, and carry the
+totals of earlier stretches over through a table of one row a stretch.
 """
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
-from collections import Counter
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+# rows of a stretch of a running sum, and those below which no further stretch is opened
+ROWS_PER_TASK, LEAST_ROWS = 1_000_000, 10_000
 
 _RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -79,90 +77,64 @@ def side_by_side(*parts: DataFrame) -> DataFrame:
     return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
-def _cut_points(df: DataFrame, x: Column, buckets: int) -> list[float]:
-    """Interior cut points from an approximate quantile sketch (fewer than ``buckets``)."""
-    probs = [i / buckets for i in range(1, buckets)]
-    return df.select(x.cast("double").alias("__x")).approxQuantile("__x", probs, 0.5 / buckets)
+def dealt_in_order(df: DataFrame, by: list[Column], rows_per_task: int) -> DataFrame:
+    """``df`` with ``__p``, the number of its stretch along ``by``, written so that it stays.
 
-
-def _sized(df: DataFrame, x: Column, splits: list[float], name: str) -> DataFrame:
-    if not splits:
-        return df.withColumn(name, F.lit(0.0))
-    inf = float("inf")
-    sizer = Bucketizer(splits=[-inf, *splits, inf], inputCol="__x", outputCol=name)
-    sizer.setHandleInvalid("keep")
-    return sizer.transform(df.withColumn("__x", x.cast("double"))).drop("__x")
-
-
-def with_order_bucket(
-    df: DataFrame, order: list[Column], name: str, buckets: int = BUCKETS
-) -> DataFrame:
-    """Bucket that never decreases along ``order`` (numeric columns, leading one first).
-
-    A value common enough to fill buckets by itself gets its own bucket, which is then cut along the
-    next order column. Cut points only affect balance, never results.
+    Stretches are the partitions of a range partitioning on all of ``by``, so one value of the leading
+    columns, however common, is cut along the next ones; their number follows from the number of rows.
     """
-    cuts = _cut_points(df, order[0], buckets)
-    heavy = sorted(v for v, n in Counter(cuts).items() if n > 1)
-    after = {v: math.nextafter(v, math.inf) for v in heavy}
-    splits = sorted({*cuts, *after.values()})
-    out = _sized(df, order[0], splits, name)
-    if not heavy or len(order) == 1:
-        return out
-    common = order[0].cast("double").isin(heavy)
-    inner = sorted(set(_cut_points(df.where(common), order[1], buckets)))
-    out = _sized(out, order[1], inner, "__b2")
-    fine = F.col(name) + F.when(common, F.col("__b2")).otherwise(0) / (len(inner) + 2)
-    return out.withColumn(name, fine).drop("__b2")
+    spark = df.sparkSession
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.count()
+    parts = max(-(-rows // rows_per_task), min(most, -(-rows // LEAST_ROWS)), 1)
+    dealt = df.repartitionByRange(parts, *by)
+    return checkpointed(dealt.withColumn("__p", F.spark_partition_id()))
 
 
 def running_sums(
     df: DataFrame,
     keys: list[str],
-    bucket_on: list[Column],
     order: list[Column],
     sums: dict[str, Column],
     totals: bool = False,
-    buckets: int = BUCKETS,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Inclusive running sum of each ``sums`` column along ``order`` inside ``keys``.
+    """Inclusive running sum of each ``sums`` column along ``order`` inside ``keys``, in two levels.
 
-    ``bucket_on`` holds numeric forms of the leading order columns (one, or two to split a value that
-    very many rows share). With ``totals`` the whole-key
-    sum is added as ``<name>_total``. No task ever holds more than one bucket of one key.
+    Rows are dealt into stretches of about ``rows_per_task`` rows along (keys, order). The totals of a
+    key's stretches, one row each, give every stretch what comes before it; that carry is one more row
+    at the head of the stretch, so a single window adds it without a join. With ``totals`` the whole-key sum is
+    added as ``<name>_total``. No task holds more than a stretch, whichever key or order value is common.
     """
-    src = with_order_bucket(
-        df.withColumns({f"__v_{n}": c for n, c in sums.items()}), bucket_on, "__b", buckets
-    )
-    per_bucket = src.groupBy(*keys, "__b").agg(
-        *[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums]
-    )
-    by_key = W.partitionBy(*[F.col(k) for k in keys])
-    before = by_key.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    stitched = per_bucket.select(
+    columns = df.columns
+    values = {f"__v_{n}": c for n, c in sums.items()}
+    dealt = dealt_in_order(df.withColumns(values), [*[F.col(k) for k in keys], *order], rows_per_task)
+    stretches = dealt.groupBy(*keys, "__p").agg(*[F.sum(v).alias(v) for v in values])
+    by_key = W.partitionBy(*keys)
+    before = by_key.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+    carry = stretches.select(
         *keys,
-        "__b",
-        *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__p_{n}") for n in sums],
-        *([F.sum(f"__t_{n}").over(by_key).alias(f"{n}_total") for n in sums] if totals else []),
-    )
-    local = W.partitionBy(*[F.col(k) for k in keys], "__b").orderBy(*order)
-    local = local.rowsBetween(W.unboundedPreceding, 0)
-    inner = src.withColumns({f"__l_{n}": F.sum(f"__v_{n}").over(local) for n in sums})
-    if not keys:
-        # at most ``buckets`` rows
-        stitched = F.broadcast(stitched)
-    joined = join_null_safe(inner, stitched, [*keys, "__b"], "inner")
-    out = joined.withColumns(
-        {n: F.coalesce(F.col(f"__l_{n}"), F.lit(0)) + F.col(f"__p_{n}") for n in sums}
+        "__p",
+        *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(v) for v in values],
+        *[F.sum(v).over(by_key).alias(f"__t_{v}") for v in values if totals],
+        F.lit(0).alias("__row"),
     )
-    return out.drop("__b", *[f"__{p}_{n}" for n in sums for p in "vlp"])
-
-
-def number_rows(
-    df: DataFrame, keys: list[str], bucket_on: list[Column], order: list[Column], name: str = "rn"
-) -> DataFrame:
+    both = dealt.withColumn("__row", F.lit(1)).unionByName(carry, allowMissingColumns=True)
+    stretch = W.partitionBy(*keys, "__p")
+    local = stretch.orderBy("__row", *order).rowsBetween(W.unboundedPreceding, 0)
+    out = both.select(
+        *columns,
+        "__row",
+        *[F.coalesce(F.sum(f"__v_{n}").over(local), F.lit(0)).alias(f"__s_{n}") for n in sums],
+        *[F.first(f"__t___v_{n}").over(local).alias(f"__s_{n}_total") for n in sums if totals],
+    ).where("__row = 1")
+    made = [n for s in sums for n in ([s, f"{s}_total"] if totals else [s])]
+    return out.select(*[c for c in columns if c not in made], *[F.col(f"__s_{n}").alias(n) for n in made])
+
+
+def number_rows(df: DataFrame, keys: list[str], order: list[Column], name: str = "rn") -> DataFrame:
     """Row number inside ``keys`` along a total order, with hot keys split over tasks."""
-    return running_sums(df, keys, bucket_on, order, {name: F.lit(1)})
+    return running_sums(df, keys, order, {name: F.lit(1)})
 
 
 def exact_quantiles(
@@ -171,7 +143,7 @@ def exact_quantiles(
     value: str,
     probs: dict[str, float],
     extra: dict[str, Column] | None = None,
-    buckets: int = BUCKETS,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Exact type-7 quantiles of the non-null ``value`` per key, with count ``n``.
 
@@ -181,10 +153,10 @@ def exact_quantiles(
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("__c")
     )
-    # cut points, bucket totals and ranks all read the collapsed rows, not the input
+    # counting, dealing and ranks all read the collapsed rows, not the input
     counted = checkpointed(counted)
     v = F.col(value)
-    ranked = running_sums(counted, keys, [v], [v], {"__cum": F.col("__c")}, True, buckets)
+    ranked = running_sums(counted, keys, [v], {"__cum": F.col("__c")}, True, rows_per_task)
     first = F.col("__cum") - F.col("__c")
     aggs, finals = [F.max("__cum_total").alias("n")], {}
     for name, p in probs.items():

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from cohortloom.operators import quality as Q
 from cohortloom.operators.scale import (
+    dealt_in_order,
     exact_quantiles,
     first_row,
     number_rows,
     running_sums,
-    with_order_bucket,
 )
 
 
@@ -26,8 +26,8 @@ def skewed(spark):
 
 
 def test_running_sums_match_pandas(skewed):
-    out = running_sums(skewed, ["k"], [F.col("day"), F.col("seq")], [F.col("day"), F.col("seq")],
-                       {"s": F.col("x"), "n": F.lit(1)}, totals=True, buckets=8).toPandas()
+    out = running_sums(skewed, ["k"], [F.col("day"), F.col("seq")],
+                       {"s": F.col("x"), "n": F.lit(1)}, totals=True, rows_per_task=90).toPandas()
     pdf = skewed.toPandas().sort_values(["day", "seq"])
     pdf["k"] = pdf["k"].fillna("~")
     pdf["want"] = pdf.groupby("k")["x"].transform(lambda v: v.fillna(0).cumsum())
@@ -39,24 +39,43 @@ def test_running_sums_match_pandas(skewed):
     assert (both["n_total"] == both["k_x"].map(sizes)).all()
 
 
-def test_a_common_value_is_split_along_the_next_column(spark):
-    """Half of all rows share one day: they spread over buckets and still number correctly."""
-    rows = [(0 if i % 2 else 1 + i % 50, (i * 7919) % 2000) for i in range(2000)]
-    df = spark.createDataFrame(rows, "day int, seq int")
-    order = [F.col("day"), F.col("seq")]
-    sizes = [r["count"] for r in with_order_bucket(df, order, "b", 16).groupBy("b").count().collect()]
-    assert max(sizes) < 300
-    out = number_rows(df, [], order, order).toPandas().sort_values(["day", "seq"])
-    assert out["rn"].tolist() == list(range(1, 2001))
+def test_stretches_are_bounded_while_rows_grow(spark):
+    """Ten times the rows, the same largest stretch: with half of all rows on one key and one day, and
+    with one order value for everybody."""
+    order = [F.col("k"), F.col("day"), F.col("seq")]
+    for n in (3_000, 30_000):
+        df = spark.range(n).selectExpr(
+            "IF(id % 2 = 0, 0, id % 7) AS k", "IF(id % 2 = 0, 5, id % 50) AS day", "(id * 7919) % 1000003 AS seq"
+        )
+        for by in (order, [F.lit(1), F.col("seq")]):
+            sizes = [r["count"] for r in dealt_in_order(df, by, 500).groupBy("__p").count().collect()]
+            assert sum(sizes) == n and max(sizes) < 1_500
+    out = running_sums(df, ["k"], order[1:], {"rn": F.lit(1)}, rows_per_task=500).toPandas()
+    out = out.sort_values(["k", "day", "seq"])
+    assert (out["rn"] == out.groupby("k").cumcount() + 1).all()
+
+
+def test_one_order_value_for_everybody(spark):
+    rows = [(7, (i * 7919) % 2000) for i in range(2000)]
+    out = number_rows(spark.createDataFrame(rows, "day int, seq int"), [], [F.col("day"), F.col("seq")])
+    assert out.toPandas().sort_values("seq")["rn"].tolist() == list(range(1, 2001))
+
+
+def test_running_sums_of_nothing_and_over_a_column_of_that_name(spark):
+    empty = spark.createDataFrame([], "k string, x double")
+    assert running_sums(empty, ["k"], [F.col("x")], {"s": F.col("x")}, totals=True).collect() == []
+    df = spark.createDataFrame([("a", 1), ("a", 2), (None, 4)], "k string, x int")
+    got = running_sums(df, ["k"], [F.col("x")], {"x": F.col("x")}).orderBy("x").collect()
+    assert [tuple(r) for r in got] == [("a", 1), ("a", 3), (None, 4)]
 
 
 def test_row_numbers_without_a_key_are_a_permutation(skewed):
-    out = number_rows(skewed, [], [F.col("seq")], [F.col("seq")]).orderBy("seq")
+    out = number_rows(skewed, [], [F.col("seq")]).orderBy("seq")
     assert [r.rn for r in out.collect()] == list(range(1, 3004))
 
 
 def test_exact_quantiles_match_numpy(skewed):
-    out = exact_quantiles(skewed, ["k"], "x", {"q1": 0.25, "med": 0.5, "top": 1.0}, buckets=16)
+    out = exact_quantiles(skewed, ["k"], "x", {"q1": 0.25, "med": 0.5, "top": 1.0}, rows_per_task=50)
     got = {r.k: r for r in out.collect()}
     pdf = skewed.toPandas().dropna(subset=["x"])
     pdf["k"] = pdf["k"].where(pdf["k"].notna(), None)
@@ -75,10 +94,10 @@ def test_first_row_is_deterministic(skewed):
 
 
 def test_no_window_over_a_raw_key(skewed):
-    """The hot key's rows are sorted per (key, bucket), never per key."""
-    plan = number_rows(skewed, ["k"], [F.col("seq")], [F.col("seq")])._jdf.queryExecution().toString()
+    """The hot key's rows are sorted per (key, stretch), never per key; nothing is joined."""
+    plan = number_rows(skewed, ["k"], [F.col("seq")])._jdf.queryExecution().toString()
     rows = [line for line in plan.split("\n") if "Window [" in line and "__v_rn" in line]
-    assert rows and all("__b" in line for line in rows)
+    assert rows and all("__p" in line for line in rows if "__row" in line) and "Join" not in plan
 
 
 def test_quality_reports(frame):
