@@ -67,7 +67,7 @@ def test_validity(spark):
     rows = [(1, None, 3, 0, 1), (2, 2, 0, 0, 2), (3, 9, None, 0, 3), (4, 1, 2, 0, 0), (4, 1, 2, 0, 5)]
     bad = {r.rule: r.n_bad for r in R.validity_report(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert bad == {"missing id": 0, "bad network size": 2, "self recruitment": 1, "repeated id": 1,
-                   "unknown recruiter": 1, "recruited before recruiter": 1}
+                   "unknown recruiter": 1, "recruited before recruiter": 1, "no path to a seed": 2}
 
 
 def test_estimators_against_pandas(sample):
