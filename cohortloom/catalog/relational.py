@@ -22,7 +22,7 @@ from ..operators import quality as Q
 from ..operators import rds as R
 from ..operators import relational as X
 from ..operators import tox as T
-from ..operators.scale import first_row, join_null_safe, number_rows, scratch_path
+from ..operators.scale import checkpointed, first_row, join_null_safe, number_rows, scratch_path
 from ..plans import toxicity as P
 from ..sources import io
 from .prelude import big, r6
@@ -278,8 +278,9 @@ SELECT studyid, time_frame, 'icd only' AS side FROM (SELECT studyid, time_frame
 UNION ALL SELECT studyid, time_frame, 'lab only' FROM (SELECT studyid, time_frame FROM labpf EXCEPT SELECT studyid, time_frame FROM icdpf) b""")
 def _(v):
     src, keys = sources(v), ["studyid", "time_frame"]
-    icd = P.framed_icd(src).select(*keys).distinct()
-    lab = P.limited_labs(src).select(*keys).distinct()
+    # both key tables are looked at from either side
+    icd = checkpointed(P.framed_icd(src).select(*keys).distinct())
+    lab = checkpointed(P.limited_labs(src).select(*keys).distinct())
     return icd.join(lab, keys, "left_anti").withColumn("side", F.lit("icd only")).unionByName(
         lab.join(icd, keys, "left_anti").withColumn("side", F.lit("lab only"))
     )

@@ -76,8 +76,10 @@ def percent_to_absolute(lab: DataFrame, targets: tuple[str, ...] = (RESULT, LOW)
 
     Per patient and day one percent row (for each target) and one white-count row are used; every row
     sharing the chosen percent row's patient, day, lab and unit takes the converted value. Only the
-    few rows that can hold a percent meet the join; all others pass by without a shuffle.
+    few rows that can hold a percent meet the join; all others pass by without a shuffle. Each part asks
+    for its lab codes first, so a table partitioned by them is read in parts.
     """
+    counts, whites = F.col(LAB).isin(ANC, NEUTROPHIL_PCT), F.col(LAB) == WBC
     by_unit = (F.col(LAB) == ANC) & (F.col(UNIT) == UNIT_PERCENT)
     by_code = F.col(LAB) == NEUTROPHIL_PCT
     candidate = F.coalesce(by_unit | by_code, F.lit(False))
@@ -87,11 +89,11 @@ def percent_to_absolute(lab: DataFrame, targets: tuple[str, ...] = (RESULT, LOW)
     for t in targets:
         is_percent = by_unit | (by_code & (F.col(t) <= 100))
         picks.append(F.min(F.when(is_percent, F.struct(LAB, UNIT, F.col(t)))).alias(f"__p_{t}"))
-    days = lab.where(candidate | (F.col(LAB) == WBC)).groupBy(ID, DATE).agg(*picks)
+    days = lab.where(counts | whites).where(candidate | whites).groupBy(ID, DATE).agg(*picks)
     days = days.where(
         F.col("__wbc").isNotNull() & any_of([F.col(f"__p_{t}").isNotNull() for t in targets])
     )
-    fixed = lab.where(candidate).join(days, [ID, DATE], "left")
+    fixed = lab.where(counts).where(candidate).join(days, [ID, DATE], "left")
     for t in targets:
         pick = F.col(f"__p_{t}")
         same = (F.col(LAB) == pick[LAB]) & F.col(UNIT).eqNullSafe(pick[UNIT])

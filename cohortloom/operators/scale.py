@@ -54,14 +54,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, *parts: str) -> DataFrame:
     """Cut lineage through a table in the shared checkpoint folder.
 
-    A lost executor costs no recomputation, and later steps read only the columns they need.
+    A lost executor costs no recomputation, and later steps read only the columns they need; with
+    ``parts`` (columns of few values) a filter on these reads only the files it asks for.
     """
     path = scratch_path(df.sparkSession, "step")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = df.write.partitionBy(*parts) if parts else df.write
+    writer.parquet(path)
+    read = df.sparkSession.read.schema(df.schema).parquet(path)
+    return read.select(*df.columns) if parts else read
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -180,9 +183,8 @@ def exact_quantiles(
 def first_row(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """First row per key along ``order`` (all remaining columns break ties, nulls first).
 
-    A ``min`` over a struct, so map tasks reduce a hot key before anything is shuffled.
+    A row number of one: Spark prunes every map task to one row per key before anything is shuffled.
     """
     rest = [c for c in df.columns if c not in keys and c not in order]
-    payload = [*order, *rest]
-    best = df.groupBy(*keys).agg(F.min(F.struct(*payload)).alias("__first"))
-    return best.select(*keys, *[F.col("__first")[c].alias(c) for c in payload]).select(*df.columns)
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*order, *rest))
+    return df.withColumn("__rn", place).where("__rn = 1").select(*df.columns)
