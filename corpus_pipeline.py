@@ -22,6 +22,8 @@ from cohortloom.operators.scale import scratch_path
 # passages of over 50 words; 51 words are often shorter than the 400 bytes of op9, hardly ever than these
 PASSAGE_WORDS = 51
 PASSAGE_BYTES, PASSAGE_SEED = 180, 32
+# stretches of 329 bytes at most that one anchor's suffix order holds: 1.4 MB
+PASSAGE_TEXTS = 4096
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +38,9 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; of passages that repeat, the first place keeps the words."""
-    return suffix_dedup.clean(docs, PASSAGE_BYTES, PASSAGE_WORDS, seed=PASSAGE_SEED)
+    return suffix_dedup.clean(
+        docs, PASSAGE_BYTES, PASSAGE_WORDS, seed=PASSAGE_SEED, most_texts=PASSAGE_TEXTS
+    )
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
