@@ -258,6 +258,14 @@ def _(v):
     )
 
 
+@query("n2_of_asked_nodes", "SELECT graph_id, src AS ancestor, dst AS descendant FROM reach WHERE src IN (3, 15) OR dst IN (3, 15)")
+def _(v):
+    asked = v.dag_edges.select("graph_id", F.explode(F.array("src", "dst")).alias("node")).where("node IN (3, 15)")
+    return G.closure(v.dag_edges, asked).select(
+        "graph_id", F.col("src").alias("ancestor"), F.col("dst").alias("descendant")
+    )
+
+
 _LOOPED = {
     "looped": "SELECT graph_id, src, dst FROM dag_edges UNION SELECT graph_id, dst, src FROM dag_edges WHERE graph_id % 5 = 0 AND src = 1 AND dst = 3",
     "paths": "SELECT graph_id, src, dst FROM looped UNION SELECT p.graph_id, p.src, e.dst FROM paths p JOIN looped e ON p.graph_id = e.graph_id AND p.dst = e.src",

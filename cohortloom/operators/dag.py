@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from .scale import checkpointed
 
 EDGE = ["graph_id", "src", "dst"]
+# written steps of two layers each before paths are contracted; it decides about work, never about results
+SHALLOW = 4
 
 
 def neighbours(edges: DataFrame) -> DataFrame:
@@ -52,21 +55,24 @@ def path_ends(steps: DataFrame, key: list[str]) -> DataFrame:
     after log2(n) rounds; nodes on or before a ring, which never end, have a null ``end``.
     """
     at = checkpointed(steps.select(*key, "node", F.col("nxt").alias("end"), F.lit(1).cast("long").alias("hops")))
-    rounds = max(1, at.count()).bit_length()
-    for _ in range(rounds):
+
+    def doubled(at):
         on = at.select(*key, F.col("node").alias("end"), F.col("end").alias("further"), F.col("hops").alias("more"))
-        at = checkpointed(
-            at.join(on, [*key, "end"], "left").select(
-                *key,
-                "node",
-                F.coalesce("further", "end").alias("end"),
-                (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"),
-                F.col("further").isNotNull().alias("moved"),
-            )
+        return at.join(on, [*key, "end"], "left").select(
+            *key,
+            "node",
+            F.coalesce("further", "end").alias("end"),
+            (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"),
+            F.col("further").isNotNull().alias("moved"),
         )
-        if at.where("moved").isEmpty():
-            break
+
+    # two doublings per written step
+    for _ in range((max(1, at.count()).bit_length() + 1) // 2):
+        at = checkpointed(doubled(doubled(at).drop("moved")))
+        ended = at.where("moved").isEmpty()
         at = at.drop("moved")
+        if ended:
+            break
     # what still has a step after so many doublings goes round for ever
     left = at.select(*key, F.col("node").alias("end"), F.lit(True).alias("ring"))
     return at.join(left, [*key, "end"], "left").select(
@@ -92,27 +98,32 @@ def contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 def cyclic_graphs(edges: DataFrame) -> DataFrame:
     """``graph_id`` of the graphs with a directed cycle.
 
-    Sources and sinks are trimmed and paths contracted in turns until nothing changes. A ring and a
-    self-loop show at once; what is left at the end has a way on from every node, so it has a cycle.
+    Sources and sinks are trimmed until nothing changes; after a few steps, which are enough for shallow
+    graphs, paths are contracted in turns with it. A path that is a ring shows when it is contracted; what is left
+    at the end has a way on from every node, so it has a cycle.
     """
     left = checkpointed(edges.select(*EDGE).distinct())
-    bad = left.where("src = dst").select("graph_id").distinct()
-    size = -1
+    rings, size, step = [], -1, 0
     while True:
-        left, rings = contracted(left)
-        found = rings.unionByName(left.where("src = dst").select("graph_id"))
-        bad = checkpointed(bad.unionByName(found).distinct())
-        left = left.join(bad, "graph_id", "left_anti")
-        entered = left.select("graph_id", F.col("dst").alias("src")).distinct()
-        left_by = left.select("graph_id", F.col("src").alias("dst")).distinct()
-        left = left.join(entered, ["graph_id", "src"], "left_semi").join(left_by, ["graph_id", "dst"], "left_semi")
-        left = checkpointed(left.select(*EDGE))
-        now = left.count()
+        if step >= SHALLOW:
+            left, ring = contracted(left)
+            rings.append(ring)
+        # two layers per written step
+        left = checkpointed(_ends_off(_ends_off(left)))
+        now, step = left.count(), step + 1
         if now in (0, size):
-            return bad.unionByName(left.select("graph_id")).distinct()
+            return reduce(DataFrame.unionByName, rings, left.select("graph_id")).distinct()
         size = now
 
 
+def _ends_off(edges: DataFrame) -> DataFrame:
+    """Edges without those that start at a source or end at a sink."""
+    entered = edges.select("graph_id", F.col("dst").alias("src")).distinct()
+    left_by = edges.select("graph_id", F.col("src").alias("dst")).distinct()
+    kept = edges.join(entered, ["graph_id", "src"], "left_semi")
+    return kept.join(left_by, ["graph_id", "dst"], "left_semi").select(*EDGE)
+
+
 def acyclicity(edges: DataFrame) -> DataFrame:
     """Whether each graph is free of directed cycles."""
     bad = checkpointed(cyclic_graphs(edges)).withColumn("__bad", F.lit(1))
@@ -203,31 +214,40 @@ def spread_marks(moves: DataFrame, starts: DataFrame) -> DataFrame:
     marked nodes, never with pairs of nodes; a path or tree of any depth takes rounds with its logarithm.
     """
     key = ["graph_id", "mark", "node"]
-    starts = checkpointed(starts.select(*key).distinct())
     moves = moves.select(*key, "nxt").distinct()
+    seen, front = _walked(moves, checkpointed(starts.select(*key).distinct()), SHALLOW)
+    if front is None:
+        return seen
+    # deeper than a few steps: the nodes that one move leads to are settled with their heads
     came = moves.groupBy("graph_id", "mark", F.col("nxt").alias("node")).agg(
         F.count(F.lit(1)).alias("n"), F.min("node").alias("nxt")
     )
-    alone = came.where("n = 1").join(starts, key, "left_anti")
+    alone = came.where("n = 1").join(seen, key, "left_anti")
     heads = checkpointed(path_ends(alone, ["graph_id", "mark"])).withColumnRenamed("end", "head").drop("hops")
     tied = heads.select("graph_id", "mark", F.col("node").alias("nxt"))
     over = moves.join(tied, ["graph_id", "mark", "nxt"], "left_anti").join(heads, key, "left")
     # a tied node without a head is on a ring that nothing enters
-    ringed = heads.where(F.col("head").isNull()).select(*key)
-    over = over.join(ringed, key, "left_anti")
+    over = over.join(heads.where(F.col("head").isNull()).select(*key), key, "left_anti")
     over = checkpointed(over.select("graph_id", "mark", F.coalesce("head", "node").alias("node"), "nxt").distinct())
-    seen = starts
-    front = seen
+    seen, _ = _walked(over, seen, None)
+    below = heads.join(seen.withColumnRenamed("node", "head"), ["graph_id", "mark", "head"])
+    return checkpointed(seen.unionByName(below.select(*key)))
+
+
+def _walked(moves: DataFrame, seen: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """What ``seen`` reaches in at most ``most`` written steps, and the last front unless all is reached."""
+    key = ["graph_id", "mark", "node"]
+    front, step = seen, 0
     while True:
-        one = _hop(front, over)
+        one = _hop(front, moves)
         # two hops per written step: half the rounds, same marks
-        both = one.unionByName(_hop(one, over)).distinct()
+        both = one.unionByName(_hop(one, moves)).distinct()
         front = checkpointed(both.join(seen, key, "left_anti"))
         if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    below = heads.join(seen.withColumnRenamed("node", "head"), ["graph_id", "mark", "head"])
-    return checkpointed(seen.unionByName(below.select(*key)))
+            return seen, None
+        seen, step = seen.unionByName(front), step + 1
+        if step == most:
+            return seen, front
 
 
 class ReachIndex(NamedTuple):
