@@ -124,7 +124,52 @@ def _(v):
     return E.covariate_association(v.effects, ["z", "u"])
 
 
-@query("l7_interaction_model")
+# a Newton step written out: sums, a Cholesky factor of the curvature, forward and back substitution
+_T = ["1", "x", "z", "x * z"]
+_PAIRS = [(i, j) for i in range(4) for j in range(i + 1)]
+
+
+def _factor() -> list[str]:
+    """Lower factor l and its inverse m of the curvature h, one column after the other."""
+    out = []
+    for i, j in _PAIRS:
+        less = "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+        out.append(f"SQRT(h{i}{i}{less}) AS l{i}{i}" if i == j else f"(h{i}{j}{less}) / l{j}{j} AS l{i}{j}")
+    for i, j in _PAIRS:
+        if i == j:
+            out.append(f"1 / l{i}{i} AS m{i}{i}")
+        else:
+            out.append("-(" + " + ".join(f"l{i}{k} * m{k}{j}" for k in range(j, i)) + f") / l{i}{i} AS m{i}{j}")
+    # the order of the list is that of need: all m of a column from its diagonal down
+    return out
+
+
+_INVERSE = {
+    (i, j): "(" + " + ".join(f"m{k}{i} * m{k}{j}" for k in range(max(i, j), 4)) + ")" for i in range(4) for j in range(4)
+}
+_ETA = "b0 + b1 * x + b2 * z + b3 * x * z"
+_STEP = f"""
+SELECT it + 1 AS it, {', '.join(f"b{i} + {' + '.join(f'{_INVERSE[i, j]} * g{j}' for j in range(4))} AS b{i}" for i in range(4))},
+  {', '.join(f'SQRT({_INVERSE[i, i]}) AS s{i}' for i in range(4))}
+FROM (SELECT *, {', '.join(_factor())} FROM (
+  SELECT it, b0, b1, b2, b3, {', '.join(f'SUM((yes - n * p) * ({t})) AS g{i}' for i, t in enumerate(_T))},
+    {', '.join(f'SUM(n * p * (1 - p) * ({_T[i]}) * ({_T[j]})) AS h{i}{j}' for i, j in _PAIRS)}
+  FROM (SELECT *, 1 / (1 + EXP(-({_ETA}))) AS p FROM newton, counted) a GROUP BY it, b0, b1, b2, b3) b) c WHERE it < 12"""
+# 2 (1 - Phi(|t|)) through the series of the error function, all of whose terms are positive
+_TAIL = """
+CASE WHEN ABS(b / s) > 8 THEN 0 WHEN b = 0 THEN 1 ELSE 1 - 2 / SQRT(PI()) * EXP(-b * b / s / s / 2) * LIST_SUM(LIST_TRANSFORM(RANGE(0, 200),
+  lambda k: EXP(2 * k * LN(2) + (2 * k + 1) * LN(ABS(b / s) / SQRT(2)) - LGAMMA(2 * k + 2) + LGAMMA(k + 1)))) END"""
+_NEWTON = {
+    "counted": """
+SELECT x, z, CAST(COUNT(*) AS DOUBLE) AS n, CAST(SUM(y) AS DOUBLE) AS yes FROM (
+ SELECT CAST(x AS DOUBLE) AS x, y, (z_cont - AVG(z_cont) OVER ()) / STDDEV_SAMP(z_cont) OVER () AS z FROM effects WHERE z_cont IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL) q GROUP BY 1, 2""",
+    "newton": "SELECT 0 AS it, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, 0.0::DOUBLE AS b3, 0.0::DOUBLE AS s0, 0.0::DOUBLE AS s1, 0.0::DOUBLE AS s2, 0.0::DOUBLE AS s3 UNION ALL " + _STEP,
+    "settled": "SELECT UNNEST(['intercept', 'x', 'z', 'xz']) AS term, UNNEST([b0, b1, b2, b3]) AS b, UNNEST([s0, s1, s2, s3]) AS s FROM newton WHERE it = 12",
+}
+
+
+@query("l7_interaction_model", f"""
+SELECT term, {r6('b')} AS estimate, {r6('s')} AS std_error, {r6(_TAIL)} AS p_value, TRUE AS converged FROM settled""", _NEWTON)
 def _(v):
     return E.interaction_model(v.effects, "z_cont")
 

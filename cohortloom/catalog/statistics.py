@@ -100,7 +100,33 @@ def _(v):
     )
 
 
-@query("i4_exact_intervals")
+# Clopper-Pearson limits by halving an interval: the binomial tail beyond the count is summed term by term
+_BINOMIAL = "EXP(LGAMMA(n + 1) - LGAMMA(j + 1) - LGAMMA(n - j + 1) + j * LN((lo + hi) / 2) + (n - j) * LN(1 - (lo + hi) / 2))"
+_ABOVE = f"LIST_SUM(LIST_TRANSFORM(RANGE(k, n + 1), lambda j: {_BINOMIAL}))"
+_BELOW = f"LIST_SUM(LIST_TRANSFORM(RANGE(0, k + 1), lambda j: {_BINOMIAL}))"
+_RAISE = f"CASE WHEN side = 'low' THEN {_ABOVE} < 0.025 ELSE {_BELOW} > 0.025 END"
+_EXACT = {
+    "asked": f"""
+SELECT {KEYS}, UNNEST([{', '.join(f"'{m}'" for m in _ENDS)}]) AS share, UNNEST([{', '.join(big(k) for k, _ in _ENDS.values())}]) AS k,
+  UNNEST([{', '.join(big(n) for _, n in _ENDS.values())}]) AS n FROM ({_D}) q""",
+    "limits": f"""
+SELECT {KEYS}, share, side, k, n, 0 AS it, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi FROM asked, (VALUES ('low'), ('high')) s(side) WHERE n > 0 AND CASE side WHEN 'low' THEN k > 0 ELSE k < n END
+UNION ALL SELECT {KEYS}, share, side, k, n, it + 1, CASE WHEN up THEN (lo + hi) / 2 ELSE lo END, CASE WHEN up THEN hi ELSE (lo + hi) / 2 END
+FROM (SELECT *, {_RAISE} AS up FROM limits WHERE it < 45) w""",
+    "limited": f"""
+SELECT {KEYS}, share, MAX(lo) FILTER (side = 'low') AS low, MAX(lo) FILTER (side = 'high') AS high FROM limits WHERE it = 45 GROUP BY {KEYS}, share""",
+}
+
+
+def _exact(name: str) -> str:
+    low, high = "CASE WHEN n > 0 THEN COALESCE(low, 0) END", "CASE WHEN n > 0 THEN COALESCE(high, 1) END"
+    return ", ".join(f"{r6(f'MAX({x}) FILTER (a.share = {chr(39)}{name}{chr(39)})')} AS {name}_{s}" for s, x in (("low", low), ("high", high)))
+
+
+@query("i4_exact_intervals", f"""
+SELECT {', '.join('a.' + k for k in KEYS.split(', '))}, {', '.join(map(_exact, _ENDS))} FROM asked a LEFT JOIN limited b
+ON a.subset = b.subset AND a.condition = b.condition AND a.test = b.test AND a.against = b.against AND a.share = b.share
+GROUP BY {', '.join('a.' + k for k in KEYS.split(', '))}""", _EXACT)
 def _(v):
     exact = V.with_accuracy(counts(v), interval="exact")
     return exact.select(*KEYS.split(", "), *[f"{k}_{s}" for k in _ENDS for s in ("low", "high")])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,22 +134,58 @@ def covariate_association(
     )
 
 
+TERMS = ["intercept", "x", "z", "xz"]
+MOST_STEPS, SETTLED, FARTHEST = 30, 1e-10, 25.0
+
+
 def interaction_model(df: DataFrame, z: str, roles: Roles = Roles()) -> DataFrame:
-    """Logistic model with exposure, ``z`` (standardised) and their product; one row per term."""
+    """Logistic model with exposure, ``z`` (standardised) and their product; one row per term.
+
+    Newton steps on sums: rows are reduced to counts per exposure and value of ``z``, and each step is one
+    aggregation to the gradient and the 4 x 4 curvature. ``converged`` is false, and the columns beside
+    it null, where a model has no estimate: groups that the terms separate (coefficients run away), terms that
+    depend on each other (no curvature), or no rows.
+    """
     x, y = F.col(roles.exposure).cast("double"), F.col(roles.outcome).cast("double")
     known = df.where(x.isNotNull() & y.isNotNull() & F.col(z).isNotNull())
     stats = known.agg(F.avg(z).alias("m"), F.stddev(z).alias("s")).first()
     scaled = (F.col(z) - F.lit(stats["m"])) / F.lit(stats["s"] or 1.0)
-    rows = known.select(x.alias("x"), y.alias("label"), scaled.alias("z"))
-    # every fitting pass reads the rows again, so they are written once
-    rows = checkpointed(rows.withColumn("xz", F.col("x") * F.col("z")))
-    terms = ["x", "z", "xz"]
-    data = VectorAssembler(inputCols=terms, outputCol="features").transform(rows)
-    fit = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=50).fit(data)
-    info = fit.summary
-    coef = [*map(float, fit.coefficients), float(fit.intercept)]
-    table = zip([*terms, "intercept"], coef, info.coefficientStandardErrors, info.pValues)
-    return df.sparkSession.createDataFrame(
-        [(t, c, float(s), float(p)) for t, c, s, p in table],
-        "term string, estimate double, std_error double, p_value double",
-    )
+    rows = known.select(x.alias("x"), y.alias("y"), scaled.alias("z"))
+    # every step reads the counts again, so they are written once
+    rows = checkpointed(rows.groupBy("x", "z").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("yes")))
+    beta, spread, converged = np.zeros(4), None, False
+    for _ in range(MOST_STEPS):
+        rise, bend = _newton_sums(rows, beta)
+        if not np.isfinite(bend).all() or np.linalg.cond(bend) > 1e12:
+            break
+        step = np.linalg.solve(bend, rise)
+        beta = beta + step
+        if np.abs(beta).max() > FARTHEST:
+            break
+        if np.abs(step).max() < SETTLED:
+            spread, converged = np.sqrt(np.diag(np.linalg.inv(bend))), True
+            break
+    table = []
+    for i, term in enumerate(TERMS):
+        if converged:
+            p = math.erfc(abs(beta[i] / spread[i]) / math.sqrt(2))
+            table.append((term, float(beta[i]), float(spread[i]), p, True))
+        else:
+            table.append((term, None, None, None, False))
+    schema = "term string, estimate double, std_error double, p_value double, converged boolean"
+    return df.sparkSession.createDataFrame(table, schema)
+
+
+def _newton_sums(rows: DataFrame, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and negated curvature of the log-likelihood, from one aggregation."""
+    terms = [F.lit(1.0), F.col("x"), F.col("z"), F.col("x") * F.col("z")]
+    score = reduce(lambda a, b: a + b, [F.lit(float(b)) * t for b, t in zip(beta, terms, strict=True)])
+    p = 1 / (1 + F.exp(-score))
+    left, weight = F.col("yes") - F.col("n") * p, F.col("n") * p * (1 - p)
+    pairs = [(i, j) for i in range(4) for j in range(i, 4)]
+    sums = [F.sum(left * t) for t in terms] + [F.sum(weight * terms[i] * terms[j]) for i, j in pairs]
+    got = np.array([math.nan if v is None else v for v in rows.agg(*sums).first()], float)
+    bend = np.zeros((4, 4))
+    for (i, j), v in zip(pairs, got[4:], strict=True):
+        bend[i, j] = bend[j, i] = v
+    return got[:4], bend

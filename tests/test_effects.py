@@ -71,6 +71,23 @@ def test_interaction_model_recovers_known_coefficients(spark):
     assert fit["x"].estimate == pytest.approx(0.5, abs=0.15)
 
 
+def test_interaction_model_says_when_it_has_no_estimate(spark):
+    schema = "x int, y int, z double"
+    rng = np.random.default_rng(2)
+    rows = [(int(rng.integers(2)), int(rng.integers(2)), float(rng.normal())) for _ in range(300)]
+    good = E.interaction_model(spark.createDataFrame(rows, schema), "z").collect()
+    assert all(r.converged and r.std_error > 0 for r in good)
+    # the same fit whatever the number of equal rows per count
+    twice = E.interaction_model(spark.createDataFrame(rows * 2, schema), "z").collect()
+    assert [r.estimate for r in twice] == pytest.approx([r.estimate for r in good], rel=0.02)
+    separated = [(x, int(z > 0), z) for x, _, z in rows]
+    never_exposed = [(0, y, z) for _, y, z in rows]
+    flat = [(x, y, 1.0) for x, y, _ in rows]
+    for bad in (separated, never_exposed, flat, [], [(None, 1, 1.0)]):
+        got = E.interaction_model(spark.createDataFrame(bad, schema), "z").collect()
+        assert len(got) == 4 and not any(r.converged or r.estimate is not None for r in got)
+
+
 EDGES = ["X-Z", "Z-Y", "U-X", "U-Y", "A-Y", "R-Y", "D-Y", "J-Y", "S-Y", "B-Z", "I-Z", "I-X", "I-Y",
          "D-S", "D-J", "R-Z"]
 
