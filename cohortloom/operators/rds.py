@@ -92,44 +92,50 @@ def with_waves(df: DataFrame, frame: Frame = Frame()) -> DataFrame:
     """Seed and wave of every respondent, by pointer doubling up the recruitment trees.
 
     Each round doubles the distance covered, so the number of rounds is logarithmic in the deepest
-    chain. Respondents whose chain is broken or circular keep a null seed and wave.
+    chain. A respondent is written once more per round until it is resolved and never again: every round
+    adds a table of what was still open, and lookups go to all of these. Respondents whose chain is broken or
+    circular keep a null seed and wave.
     """
-    state = df.select(
-        F.col(frame.id).alias("id"),
-        F.coalesce(frame.recruiter, frame.id).alias("ptr"),
-        F.col(frame.recruiter).isNotNull().cast("long").alias("dist"),
-        F.col(frame.recruiter).isNull().alias("done"),
-    )
-    state = checkpointed(state)
-    reach, total = 1, state.count()
+    first = checkpointed(
+        df.select(
+            F.col(frame.id).alias("id"),
+            F.coalesce(frame.recruiter, frame.id).alias("ptr"),
+            F.col(frame.recruiter).isNotNull().cast("long").alias("dist"),
+            F.col(frame.recruiter).isNull().alias("done"),
+        )
+    )
+    resolved, open_ = first.where("done"), first.where("NOT done")
+    reach, total = 1, first.count()
     while reach <= 4 * total:
-        state = checkpointed(_double(_double(state)))
+        # two doublings per written table
+        once = _double(open_, resolved.unionByName(open_))
+        far = once.where("NOT done")
+        moved = checkpointed(once.where("done").unionByName(_double(far, resolved.unionByName(once))))
+        resolved, open_ = resolved.unionByName(moved.where("done")), moved.where("NOT done")
         reach *= 4
-        if state.where("NOT done").limit(1).count() == 0:
+        if open_.isEmpty():
             break
-    found = state.where("done AND ptr IS NOT NULL").select(
+    found = resolved.where("ptr IS NOT NULL").select(
         F.col("id").alias(frame.id), F.col("ptr").alias("seed_id"), F.col("dist").alias("wave")
     )
     return df.join(found, frame.id, "left")
 
 
-def _double(state: DataFrame) -> DataFrame:
-    """One doubling round; only unresolved respondents take part in the join."""
-    ahead = state.select(
+def _double(open_: DataFrame, known: DataFrame) -> DataFrame:
+    """The open respondents with the pointer of whom they point to; ``known`` has everybody's."""
+    ahead = known.select(
         F.col("id").alias("ptr"),
         F.col("ptr").alias("next_ptr"),
         F.col("dist").alias("next_dist"),
         F.col("done").alias("next_done"),
     )
-    moved = state.where("NOT done").join(ahead, "ptr", "left")
     # an unknown recruiter ends the chain without a seed
-    moved = moved.select(
+    return open_.join(ahead, "ptr", "left").select(
         "id",
         F.col("next_ptr").alias("ptr"),
         (F.col("dist") + F.col("next_dist")).alias("dist"),
         F.coalesce("next_done", F.lit(True)).alias("done"),
     )
-    return state.where("done").unionByName(moved)
 
 
 def validity_report(df: DataFrame, frame: Frame = Frame()) -> DataFrame:

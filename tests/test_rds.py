@@ -63,6 +63,24 @@ def test_waves_with_cycles_and_broken_chains(spark):
     assert R.circular(df).count() == 5
 
 
+def test_resolved_respondents_are_written_once(spark, monkeypatch):
+    """A chain of 600 and 3,000 recruits of seeds: every round writes only what was still open."""
+    written, write = [], R.checkpointed
+
+    def counted(df):
+        out = write(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(R, "checkpointed", counted)
+    rows = [(0, None, 1, 0, 0)] + [(i, i - 1, 1, 0, i) for i in range(1, 600)]
+    rows += [(i, 0, 1, 0, i) for i in range(1000, 4000)]
+    got = {r.id: r.wave for r in R.with_waves(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i] == i for i in range(600)) and all(got[i] == 1 for i in range(1000, 4000))
+    assert written[0] == 3600 and written[1] == 3599 and written[2] < 600
+    assert all(b < a for a, b in zip(written[1:], written[2:]))
+
+
 def test_validity(spark):
     rows = [(1, None, 3, 0, 1), (2, 2, 0, 0, 2), (3, 9, None, 0, 3), (4, 1, 2, 0, 0), (4, 1, 2, 0, 5)]
     bad = {r.rule: r.n_bad for r in R.validity_report(spark.createDataFrame(rows, SCHEMA)).collect()}
