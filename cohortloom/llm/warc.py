@@ -39,7 +39,7 @@ SMALL_PAYLOAD = 1000
 FILE_BYTES = 64 << 20
 PARTITION_BYTES = 32 << 20
 LEVEL = 3
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest"
 DATE = "1970-01-01T00:00:00Z"
 
 SCHEMA = (
@@ -148,22 +148,40 @@ class _Inflated:
             self.at -= len(self.inflate.unused_data)
         return bool(chunk)
 
-    def end(self) -> int:
-        """Start of the next member; only a member without a length is inflated for this."""
+    def drop(self, size: int) -> None:
+        """Forget the first ``size`` bytes, inflating what of them is still packed."""
+        while len(self.data) < size:
+            size -= len(self.data)
+            self.data = b""
+            if not self.more(1 << 16):
+                return
+        self.data = self.data[size:]
+
+    def next(self, record: int) -> bool:
+        """Go on to the record after one of ``record`` bytes, if the member holds another.
+
+        A member with a length is one record; only others are inflated to their end.
+        """
+        if self.size:
+            return False
+        self.drop(record)
+        self.data = self.data.lstrip(b"\r\n")
+        while not self.data and self.more(1 << 16):
+            self.data = self.data.lstrip(b"\r\n")
+        return bool(self.data)
+
+    def end(self, record: int) -> int:
+        """Start of the next member."""
         if self.size:
             return self.start + self.size
-        kept = self.data
-        while self.more(1 << 16):
-            self.data = b""
-        self.data = kept
+        if not self.inflate.eof:
+            raise ValueError(f"the archive ends inside the record at byte {self.start}")
         return self.at + 8
 
 
 class _Plain:
     """An uncompressed record."""
 
-    size = 0
-
     def __init__(self, file, start: int):
         self.file, self.start, self.data = file, start, b""
 
@@ -173,10 +191,13 @@ class _Plain:
         self.data += chunk
         return bool(chunk)
 
-    def end(self) -> int:
-        head, _, _ = self.data.partition(b"\r\n\r\n")
-        length = int(_fields(head).get("content-length", 0))
-        return self.start + len(head) + 4 + length + 4
+    def next(self, record: int) -> bool:
+        return False
+
+    def end(self, record: int) -> int:
+        if self.start + record > self.file.size():
+            raise ValueError(f"the archive ends inside the record at byte {self.start}")
+        return self.start + record + 4
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -198,11 +219,17 @@ def _hex_digest(value: str | None) -> str | None:
 
 
 def read_records(file, wanted=lambda row: True, with_payload: bool = True) -> Iterator[dict]:
-    """Rows of an open archive. Headers come first; only wanted records inflate their payload."""
+    """Rows of an open archive. Headers come first; only wanted records inflate their payload.
+
+    A member may hold one record or many. An archive that ends inside a record is an error.
+    """
     at, size = 0, file.size()
+    member = None
     while at < size:
-        file.seek(at)
-        record = (_Inflated if file.read(2) == b"\x1f\x8b" else _Plain)(file, at)
+        if member is None:
+            file.seek(at)
+            member = (_Inflated if file.read(2) == b"\x1f\x8b" else _Plain)(file, at)
+        record = member
         while b"\r\n\r\n" not in record.data and record.more(2048):
             pass
         head, _, _ = record.data.partition(b"\r\n\r\n")
@@ -213,12 +240,14 @@ def read_records(file, wanted=lambda row: True, with_payload: bool = True) -> It
         row["payload_digest"] = _hex_digest(row["payload_digest"])
         length = fields.get("x-payload-length")
         row["payload_length"] = int(length) if length is not None else None
+        end = len(head) + 4 + int(fields.get("content-length", 0))
         if wanted(row):
             row["payload"] = None
             if with_payload and row["record_type"] != "revisit":
-                end = len(head) + 4 + int(fields.get("content-length", 0))
                 while len(record.data) < end and record.more(1 << 16):
                     pass
+                if len(record.data) < end:
+                    raise ValueError(f"the archive ends inside the record at byte {at}")
                 block = record.data[len(head) + 4 : end]
                 if "application/http" in fields.get("content-type", ""):
                     block = block.partition(b"\r\n\r\n")[2]
@@ -226,7 +255,13 @@ def read_records(file, wanted=lambda row: True, with_payload: bool = True) -> It
                 if row["payload_length"] is None:
                     row["payload_length"] = len(block)
             yield row
-        at = record.end()
+        if not member.next(end):
+            at, member = member.end(end), None
+
+
+def _manifests(fs, root: str) -> list[str]:
+    found = fs.get_file_info(pyarrow.fs.FileSelector(root, allow_not_found=True))
+    return sorted(f.path for f in found if f.base_name.startswith(MANIFEST) and f.base_name.endswith(".json"))
 
 
 @dataclass
@@ -268,13 +303,14 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        """Files packed into partitions by size; a manifest, if there is one, says which files count."""
+        """Files packed into partitions by size; manifests, if there are any, say which files count."""
         fs, root = _filesystem(self.path)
-        manifest = f"{root}/{MANIFEST}"
-        if fs.get_file_info(manifest).type == pyarrow.fs.FileType.File:
-            with fs.open_input_stream(manifest) as f:
-                listed = json.loads(f.read())
-            files = [(f"{root}/{name}", size) for name, size in listed]
+        manifests = _manifests(fs, root)
+        if manifests:
+            files = []
+            for manifest in manifests:
+                with fs.open_input_stream(manifest) as f:
+                    files += [(f"{root}/{name}", size) for name, size in json.loads(f.read())]
         elif fs.get_file_info(root).type == pyarrow.fs.FileType.File:
             files = [(root, 0)]
         else:
@@ -321,8 +357,8 @@ def _records(batches, rows: int = 200) -> Iterator[dict]:
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options):
-        self.path = options["path"]
+    def __init__(self, options, overwrite: bool = False):
+        self.path, self.overwrite = options["path"], overwrite
         self.file_bytes = int(options.get("fileBytes", FILE_BYTES))
 
     def write(self, batches):
@@ -347,11 +383,22 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(files)
 
     def commit(self, messages):
+        """A manifest of its own per write: what earlier writes committed stays, unless overwritten."""
         fs, root = _filesystem(self.path)
         fs.create_dir(root, recursive=True)
         listed = sorted(f for m in messages if m is not None for f in m.files)
-        with fs.open_output_stream(f"{root}/{MANIFEST}", compression=None) as f:
+        earlier = _manifests(fs, root) if self.overwrite else []
+        name = uuid.uuid4().hex
+        with fs.open_output_stream(f"{root}/_new-{name}", compression=None) as f:
             f.write(json.dumps(listed).encode())
+        # under its name only when it is whole
+        fs.move(f"{root}/_new-{name}", f"{root}/{MANIFEST}-{name}.json")
+        for manifest in earlier:
+            with fs.open_input_stream(manifest) as f:
+                old = json.loads(f.read())
+            fs.delete_file(manifest)
+            for file, _ in old:
+                fs.delete_file(f"{root}/{file}")
 
 
 class WarcSource(DataSource):
@@ -368,7 +415,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema, overwrite):
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:

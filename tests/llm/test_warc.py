@@ -110,6 +110,52 @@ def test_foreign_files(spark, tmp_path, suffix):
     assert [(bytes(r.payload), r.payload_digest) for r in got] == [(b"body", hashlib.sha1(b"body").hexdigest())] * 2
 
 
+def record(kind, body, more=""):
+    head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{body[:4]}>\r\n{more}Content-Length: {len(body)}\r\n\r\n"
+    return head.encode() + body.encode() + b"\r\n\r\n"
+
+
+def opened(data):
+    class File(io.BytesIO):
+        def size(self):
+            return len(self.getvalue())
+
+    return File(data)
+
+
+def test_members_of_many_records():
+    """A member may hold one record, some, or the whole archive; unwanted ones in between are passed over."""
+    bodies = [f"{i:04d}" + "x" * (i * 977 % 70_000) for i in range(40)]
+    parts = [record("response" if i % 3 else "request", b) for i, b in enumerate(bodies)]
+    for cuts in ([40], [1, 39], [7, 1, 1, 20, 11], [1] * 40):
+        data, at = b"", 0
+        for n in cuts:
+            data += gzip.compress(b"".join(parts[at : at + n]))
+            at += n
+        got = list(warc.read_records(opened(data)))
+        assert [r["payload"].decode() for r in got] == bodies
+        some = list(warc.read_records(opened(data), lambda r: r["record_id"] in ("<0000>", "<0017>", "<0039>")))
+        assert [r["payload"].decode() for r in some] == [bodies[0], bodies[17], bodies[39]]
+        assert len(list(warc.read_records(opened(data), with_payload=False))) == 40
+
+
+def test_a_cut_archive_is_an_error():
+    whole = [record("response", "body" * 5000), record("response", "tail" * 5000)]
+    for data in (gzip.compress(b"".join(whole)), b"".join(map(gzip.compress, whole)), b"".join(whole)):
+        assert len(list(warc.read_records(opened(data)))) == 2
+        with pytest.raises(ValueError):
+            list(warc.read_records(opened(data[:-40])))
+
+
+def test_a_second_write_adds_and_overwriting_replaces(spark, tmp_path):
+    path = written(spark, tmp_path)
+    warc.write_archives(warc.page_records(spark.createDataFrame([(90, "u", "more")], SCHEMA)), path)
+    assert warc.read_archives(spark, path).count() == len(pages()) + 1
+    one = warc.page_records(spark.createDataFrame([(91, "u", "only")], SCHEMA))
+    one.write.format("warc").mode("overwrite").save(path)
+    assert [bytes(r.payload) for r in warc.read_archives(spark, path).collect()] == [b"only"]
+
+
 def test_empty_table_and_extra_columns(spark, tmp_path):
     assert warc.read_archives(spark, written(spark, tmp_path, [])).count() == 0
     rows = [(1, "u", "x", "clash", 3)]
