@@ -4,7 +4,8 @@ Templates are configuration, at most ``MOST_TEMPLATE_WORDS`` words in all, so th
 (fingerprint -> template and place) goes to every task. All word 3-grams of a text are looked up in
 it: text is never winnowed, so a copied stretch of ``GRAM + WINDOW - 1`` template words always meets a
 fingerprint. Templates of up to ``SHORT`` words keep all their grams. Hits with nearly the same start
-are one candidate place, aligned within a band around it. Where spans of several templates overlap, the
+are one candidate place, aligned within a band around it, of which alone a table is kept; so whole licenses of
+thousands of words can be templates (``license_texts.from_folder``). Where spans of several templates overlap, the
 one with the most matched words is reported.
 """
 
@@ -26,6 +27,10 @@ GRAM = 3
 WINDOW = 4
 SHORT = 32
 BAND = 16
+LONG = 100  # the band grows to one word in so many of a long template
+# share of a template's fingerprints that a candidate place holds at least; a fifth of the words changed
+# leaves about a sixth of them
+NEEDED = 0.02
 LEAST_COVERAGE = 0.8
 MOST_TEMPLATE_WORDS = 1 << 20
 
@@ -43,6 +48,7 @@ class Index(NamedTuple):
     hash: np.ndarray
     template: np.ndarray
     place: np.ndarray
+    held: np.ndarray
 
 
 def _words(group: T.Group) -> T.Words:
@@ -79,35 +85,47 @@ def build_index(templates: dict[str, str], gram: int = GRAM, window: int = WINDO
         place.append(at)
     hashes = np.concatenate(hashes)
     order = np.argsort(hashes, kind="stable")
-    return Index(names, own, hashes[order], np.concatenate(template)[order], np.concatenate(place)[order])
+    template, place = np.concatenate(template), np.concatenate(place)
+    held = np.bincount(template, minlength=len(names))
+    return Index(names, own, hashes[order], template[order], place[order], held)
 
 
 def aligned(template: np.ndarray, words: np.ndarray, first: int, last: int, band: int):
     """Longest common subsequence of the template and ``words`` with starts in ``first - band ..
-    last + band``: (matched words, place of the first and of the last matched word), or None."""
-    m = len(template)
-    lo, hi = max(0, first - band), min(len(words), last + m + band)
-    part = words[lo:hi]
-    n = len(part)
-    table = np.zeros((m + 1, n + 1), np.int32)
-    columns = np.arange(n) + lo
+    last + band``: (matched words, place of the first and of the last matched word), or None.
+
+    Only the band is computed and kept: template words times the width of the band.
+    """
+    m, width = len(template), last - first + 2 * band + 2
+    # cell (i, d): the first i template words against the words before i + shift + d
+    shift = first - band
+    table = np.zeros((m + 1, width), np.int32)
+    padded = np.concatenate((np.zeros(1, words.dtype), words, np.zeros(1, words.dtype)))
     for i in range(m):
-        near = (columns - i >= first - band) & (columns - i <= last + band)
-        step = np.where((part == template[i]) & near, table[i, :-1] + 1, 0)
-        table[i + 1, 1:] = np.maximum.accumulate(np.maximum(table[i, 1:], step))
-    best = int(table[m, n])
+        # cell (i + 1, d) ends with the word before i + 1 + shift + d; a match continues cell (i, d)
+        at = np.arange(i + shift, i + shift + width)
+        there = (at >= 0) & (at < len(words))
+        match = there & (padded[np.clip(at, -1, len(words)) + 1] == template[i])
+        match[-1] = False  # the last column only closes the band
+        row = np.where(match, table[i] + 1, 0)
+        # the template word left out: the same words are one column further to the right a row before
+        row[:-1] = np.maximum(row[:-1], table[i, 1:])
+        # the last word left out: one column to the left
+        np.maximum.accumulate(row, out=table[i + 1])
+    best = int(table[m].max())
     if not best:
         return None
-    j, i = int(np.argmax(table[m] == best)), m
-    end, start = lo + j - 1, lo + j - 1
-    while i and j and table[i, j]:
-        if table[i, j] == table[i - 1, j]:
-            i -= 1
-        elif table[i, j] == table[i, j - 1]:
-            j -= 1
+    i, d = m, int(np.argmax(table[m] == best))
+    start = end = None
+    while i and table[i, d]:
+        if d and table[i, d] == table[i, d - 1]:
+            d -= 1
+        elif d + 1 < width and table[i, d] == table[i - 1, d + 1]:
+            i, d = i - 1, d + 1
         else:
-            i, j = i - 1, j - 1
-            start = lo + j
+            i -= 1
+            start = i + shift + d
+            end = start if end is None else end
     return best, start, end
 
 
@@ -124,9 +142,14 @@ def text_matches(index: Index, words: np.ndarray, hits: list[tuple[int, np.ndarr
     """(template, matched, first word, last word) of one text; per template spans do not overlap."""
     for template, starts in hits:
         own = index.words[template]
-        band = max(1, min(BAND, len(own) // 2))
+        band = max(1, min(max(BAND, len(own) // LONG), len(own) // 2))
         found = []
-        for first, last in _places(starts, band):
+        starts = np.sort(starts)
+        for first, last in _places(np.unique(starts), band):
+            # a long template's places hold many fingerprints or fall short of any coverage
+            held = np.searchsorted(starts, last, "right") - np.searchsorted(starts, first, "left")
+            if held < NEEDED * index.held[template]:
+                continue
             best = aligned(own, words, first, last, band)
             if best is not None and best[0] >= least * len(own) - 1e-9:
                 found.append(best)
@@ -208,7 +231,7 @@ def scan(
                 words = found.hash[base : found.first[t + 1]]
                 part = np.flatnonzero(np.diff(template[lo:hi]) != 0) + lo + 1
                 hits = [
-                    (int(template[x]), np.unique(start[x:y]))
+                    (int(template[x]), start[x:y])
                     for x, y in zip([lo, *part.tolist()], [*part.tolist(), hi], strict=True)
                 ]
                 matches = list(text_matches(index, words, hits, least_coverage))

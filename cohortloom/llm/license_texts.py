@@ -1,5 +1,7 @@
 """License notices and short license texts that the scan looks for."""
 
+import os
+
 # fixed values
 TEMPLATES = {
     "mit-notice": "Released under the MIT License.",
@@ -76,3 +78,14 @@ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
 WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
 PARTICULAR PURPOSE ARE DISCLAIMED.""",
 }
+
+
+def from_folder(folder: str) -> dict[str, str]:
+    """Whole license texts, one per file of ``folder``, named by file; links to other files are left out."""
+    out = {}
+    for name in sorted(os.listdir(folder)):
+        path = os.path.join(folder, name)
+        if os.path.isfile(path) and not os.path.islink(path):
+            with open(path, encoding="utf-8", errors="replace") as file:
+                out[name] = file.read()
+    return out

@@ -1,12 +1,14 @@
 """License scans against a plain longest common subsequence."""
 
+import os
 import re
 
 import brute
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from cohortloom.llm import license_scan
+from cohortloom.llm import license_scan, license_texts
 from cohortloom.llm import text as T
 from cohortloom.llm.license_texts import TEMPLATES
 
@@ -96,6 +98,45 @@ def test_versions_and_changed_words(spark):
     }
 
 
+def test_banded_alignment_against_the_whole_table():
+    """Within the band the alignment is the longest common subsequence, and its span holds it."""
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        m = int(rng.integers(2, 30))
+        template = rng.integers(1, 9, m).astype(np.uint64)
+        copy = [int(x) for x in template if rng.random() > 0.15]
+        for _ in range(int(rng.integers(0, 3))):
+            copy.insert(int(rng.integers(0, len(copy) + 1)), 77)
+        ahead, after = rng.integers(20, 30, rng.integers(0, 12)), rng.integers(20, 30, rng.integers(0, 12))
+        words = np.concatenate((ahead, copy, after)).astype(np.uint64)
+        got = license_scan.aligned(template, words, len(ahead), len(ahead), m)
+        want = lcs(template.tolist(), words.tolist())
+        assert (got[0] if got else 0) == want
+        if got:
+            assert lcs(template.tolist(), words[got[1] : got[2] + 1].tolist()) == want
+            assert words[got[1]] in template and words[got[2]] in template
+
+
+LICENSES = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.isdir(LICENSES), reason="no license texts on this machine")
+def test_whole_licenses(spark):
+    full = license_texts.from_folder(LICENSES)
+    templates = {n: full[n] for n in ("Apache-2.0", "GPL-2", "GPL-3", "LGPL-3", "MPL-2.0")}
+    filler = " ".join(f"w{i}" for i in range(4000))
+    edited = full["GPL-3"].split()
+    for at in range(11, len(edited), 60):
+        edited[at] = "changed"
+    del edited[2000:2012]
+    rows = {1: full["Apache-2.0"], 2: f"{filler} {full['GPL-3']} {filler}", 3: " ".join(edited), 4: filler,
+            5: full["GPL-2"].upper(), 6: full["LGPL-3"] + filler + full["MPL-2.0"]}
+    got = found(spark.createDataFrame(list(rows.items()), SCHEMA), templates={**TEMPLATES, **templates})
+    best = {(r.doc_id, r.license): r.coverage for r in got if r.license in templates}
+    assert set(best) == {(1, "Apache-2.0"), (2, "GPL-3"), (3, "GPL-3"), (5, "GPL-2"), (6, "LGPL-3"), (6, "MPL-2.0")}
+    assert min(best.values()) >= 0.95
+
+
 def test_empty_and_clashing(spark):
     assert found(spark.createDataFrame([], SCHEMA)) == []
     rows = [(1, TEMPLATES["mit-notice"], 3, "x")]
