@@ -7,8 +7,12 @@ totals of earlier stretches over through a table of one row a stretch.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,7 +46,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if shared:
         sc.setCheckpointDir(shared)
     elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="cohortloom-checkpoint-"))
+        own = tempfile.mkdtemp(prefix="cohortloom-checkpoint-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
     else:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
 
@@ -51,7 +57,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder next to the checkpoints, which every executor can reach."""
     ensure_checkpoint_dir(spark)
     base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _open_steps:
+        _open_steps[-1].append(path)
+    return path
+
+
+# paths of the steps of each block that is being run, the innermost last
+_open_steps: list[list[str]] = []
+
+
+@contextmanager
+def temporary_steps(spark: SparkSession) -> Iterator[None]:
+    """Step tables and folders made inside are removed at the end, also after an error.
+
+    What is built inside must be written out or read inside: a DataFrame that is still to be computed
+    loses its steps.
+    """
+    _open_steps.append([])
+    try:
+        yield
+    finally:
+        for path in _open_steps.pop():
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def checkpointed(df: DataFrame, *parts: str) -> DataFrame:

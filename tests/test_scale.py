@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from cohortloom.operators import quality as Q
 from cohortloom.operators.scale import (
+    checkpointed,
     dealt_in_order,
     exact_quantiles,
     first_row,
     number_rows,
     running_sums,
+    scratch_path,
+    temporary_steps,
 )
 
 
@@ -100,6 +103,29 @@ def test_no_window_over_a_raw_key(skewed):
     assert rows and all("__p" in line for line in rows if "__row" in line) and "Join" not in plan
 
 
+def test_steps_go_when_their_block_ends(spark):
+    import os
+
+    def there(path):
+        return os.path.exists(path.removeprefix("file:"))
+
+    outer = scratch_path(spark, "kept")
+    with temporary_steps(spark):
+        df = checkpointed(spark.range(5))
+        first = df.inputFiles()[0].rpartition("/")[0].removeprefix("file://")
+        with temporary_steps(spark):
+            second = checkpointed(df.where("id > 1")).inputFiles()[0].rpartition("/")[0].removeprefix("file://")
+            assert there(second)
+        assert there(first) and not there(second)
+        df.write.parquet(outer)
+    assert not there(first) and spark.read.parquet(outer).count() == 5
+    with pytest.raises(ZeroDivisionError), temporary_steps(spark):
+        path = scratch_path(spark, "failed")
+        spark.range(1).write.parquet(path)
+        1 / 0  # noqa: B018
+    assert not there(path)
+
+
 def test_quality_reports(frame):
     df = frame([(1, 5), (1, None), (3, -1)], "id int, x int")
     assert [(r.id, r.n) for r in Q.duplicate_keys(df, ["id"]).collect()] == [(1, 2)]
