@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortloom.llm import decontaminate, ngram_join, packing, quality, suffix_dedup
-from cohortloom.operators.scale import scratch_path
+from cohortloom.operators.scale import remove, scratch_path, temporary_steps
 
 # passages of over 50 words; 51 words are often shorter than the 400 bytes of op9, hardly ever than these
 PASSAGE_WORDS = 51
@@ -67,10 +67,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    """All stages over ``documents``, each written and read again.
+
+    A stage's own step tables, and the output of the stage before, go as soon as its output is written.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with temporary_steps(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
