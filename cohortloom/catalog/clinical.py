@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cohort as C
 from ..operators import labs as L
 from ..operators import tox as T
+from ..operators.scale import checkpointed
 from ..plans import toxicity as P
-from .prelude import CHART_CONDITIONS, GROUPS, ICD_CONDITIONS, LAB_CONDITIONS, big, r6
+from .prelude import CHART_CONDITIONS, CTES, GROUPS, ICD_CONDITIONS, LAB_CONDITIONS, big, r6
 from .registry import SETTINGS, query, sources
 from .relational import dist_sql
 
@@ -94,15 +97,22 @@ _group_query("d11_era_group", ["dx_year_grp", "dx_year_grp_more"])
 _group_query("d12_race_recode", ["race_new"])
 
 
-@query("d13_factor_labels", """
-SELECT studyid, CASE cycle1_dose_reduction90 WHEN 0 THEN 'N' WHEN 1 THEN 'Y' END AS cycle1_dose_reduction90,
-  CASE her2_model2 WHEN 1 THEN 'negative' WHEN 2 THEN 'positive' END AS her2_model2 FROM cohort""")
+# coded columns and their levels; without labels of their own the codes are the labels
+_FACTORS = {
+    "cycle1_dose_reduction90": {0: "N", 1: "Y"},
+    "stage_d": {1: "1", 2: "2", 3: "3"},
+    "erpr_model": {1: "1", 2: "2"},
+    "her2_model2": {1: "negative", 2: "positive"},
+    "surgery_type_model": {1: "1", 2: "2"},
+    "income_quart": {1: "1", 2: "2", 3: "3", 4: "4"},
+}
+
+
+@query("d13_factor_labels", "SELECT studyid, " + ", ".join(
+    f"CASE {c} {' '.join(f'WHEN {k} THEN {chr(39)}{x}{chr(39)}' for k, x in labels.items())} END AS {c}"
+    for c, labels in _FACTORS.items()) + " FROM cohort")
 def _(v):
-    labels = {
-        "cycle1_dose_reduction90": {0: "N", 1: "Y"},
-        "her2_model2": {1: "negative", 2: "positive"},
-    }
-    return C.label_codes(v.cohort, labels).select("studyid", *labels)
+    return C.label_codes(v.cohort, _FACTORS).select("studyid", *_FACTORS)
 
 
 # ---- G. laboratory cleaning
@@ -165,6 +175,48 @@ def _(v):
     return merged.groupBy(L.LAB).agg(F.count("*").alias("n"))
 
 
+# labs with the sentinel and the percent code that the tables lack: half of the percent counts are filed
+# under the percent code, the smallest result stands as the sentinel
+_CODED_ROW = "co_tox_lab_name = 1 AND co_tox_lab_unit = 4 AND studyid % 2 = 0"
+_CODED = {"lab": f"""
+SELECT studyid, co_tox_lab_date, CASE WHEN {_CODED_ROW} THEN 21 ELSE co_tox_lab_name END AS co_tox_lab_name,
+  CASE WHEN {_CODED_ROW} THEN 16 ELSE co_tox_lab_unit END AS co_tox_lab_unit,
+  CASE WHEN co_tox_lab_result = 0.1 THEN -0.1 ELSE co_tox_lab_result END AS co_tox_lab_result, co_tox_lab_normal_low, co_tox_lab_normal_high
+FROM ({CTES["lab"]}) q"""}
+
+
+def coded(v) -> DataFrame:
+    own = (F.col(L.LAB) == L.ANC) & (F.col(L.UNIT) == L.UNIT_PERCENT) & (F.col("studyid") % 2 == 0)
+    return v.lab.withColumns(
+        {
+            L.LAB: F.when(own, L.NEUTROPHIL_PCT).otherwise(F.col(L.LAB)),
+            L.UNIT: F.when(own, 16).otherwise(F.col(L.UNIT)),
+            L.RESULT: F.when(F.col(L.RESULT) == 0.1, -0.1).otherwise(F.col(L.RESULT)),
+        }
+    )
+
+
+@query("g4_sentinel_repair_negative", f"SELECT {labrow()} FROM lab4", _CODED)
+def _(v):
+    return pick(L.repair_sentinel(coded(v)))
+
+
+@query("g5_percent_code_result", f"SELECT {labrow()} FROM lab5", _CODED)
+def _(v):
+    return pick(L.percent_to_absolute(L.repair_sentinel(coded(v)), (L.RESULT,)))
+
+
+@query("g6_percent_code_limit", f"SELECT {labrow()} FROM lab6", _CODED)
+def _(v):
+    return pick(L.percent_to_absolute(L.repair_sentinel(coded(v))))
+
+
+@query("g7_code_merge_percent", f"""
+SELECT CASE WHEN co_tox_lab_name = 21 THEN 1 ELSE co_tox_lab_name END AS co_tox_lab_name, co_tox_lab_unit, {big('COUNT(*)')} AS n FROM lab GROUP BY 1, 2""", _CODED)
+def _(v):
+    return L.merge_codes(coded(v)).groupBy(L.LAB, L.UNIT).agg(F.count("*").alias("n"))
+
+
 @query("g8_blank_limits", f"SELECT {labrow()}, time_frame FROM lab8")
 def _(v):
     out = L.blank_limits(P.framed_labs(sources(v)))
@@ -343,6 +395,27 @@ def _(v):
     )
 
 
+def _completed(c: str) -> str:
+    return f"""
+SELECT '{c}' AS condition, COALESCE(i.studyid, l.studyid) AS studyid, COALESCE(i.time_frame, l.time_frame) AS time_frame, COALESCE(i.{c}_flag_icd, 0) AS icd_flag,
+  COALESCE(l.{c}_g2_lab, 0) AS lab_flag, CASE WHEN i.studyid IS NULL THEN 1 ELSE 0 END AS missing_icd, CASE WHEN l.studyid IS NULL THEN 1 ELSE 0 END AS missing_lab
+FROM icdpf i FULL JOIN (SELECT * FROM labpf WHERE {c}_lab_rows > 0) l ON i.studyid = l.studyid AND i.time_frame = l.time_frame"""
+
+
+@query("h10_symmetric_completion_all", " UNION ALL ".join(map(_completed, LAB_CONDITIONS)))
+def _(v):
+    src = sources(v)
+    # both sides serve every condition
+    icd, lab = checkpointed(T.icd_flags(P.framed_icd(src))), checkpointed(P.lab_person_flags(src))
+    parts = []
+    for c in LAB_CONDITIONS:
+        flags = [f"{c}_flag_icd", f"{c}_g2_lab"]
+        both = T.complete_pair(icd, lab.where(f"{c}_lab_rows > 0"), flags[:1], flags[1:])
+        both = both.withColumnsRenamed(dict(zip(flags, ["icd_flag", "lab_flag"], strict=True)))
+        parts.append(both.select(F.lit(c).alias("condition"), "studyid", "time_frame", "icd_flag", "lab_flag", "missing_icd", "missing_lab"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 _PF = ["studyid", "siteid", "time_frame", "missing_icd", *[f"{c}_flag_icd" for c in ICD_CONDITIONS], *_LAB_COLS,
        *[f"missing_lab_{c}" for c in LAB_CONDITIONS]]
 

@@ -9,7 +9,7 @@ from ..operators import labs as L
 from ..operators import quality as Q
 from ..operators import validate as V
 from ..plans import toxicity as P
-from .prelude import big, r6
+from .prelude import ICD_CONDITIONS, big, r6
 from .registry import SETTINGS, query, sources
 
 KEYS = "subset, condition, test, against"
@@ -264,7 +264,10 @@ def _(v):
     return Q.missing_profile(v.lab)
 
 
-_TYPES = {"studyid": "bigint", "co_tox_dx_code_date": "date", "anemia_flag_icd": "int", "kidney_flag_icd": "int"}
+_TYPES = {"studyid": "bigint", "co_tox_dx_code_date": "date"} | {
+    f"{c}_flag_icd{kind}": "int"
+    for c, kind in [*((c, "") for c in ICD_CONDITIONS), ("neuropathy", "_reg"), ("neuropathy", "_se")]
+}
 
 
 @query("j4_overview", " UNION ALL ".join(
