@@ -312,10 +312,32 @@ def _solve_rate(degree: np.ndarray, count: np.ndarray, size: float) -> float:
 
 
 def ss_rate(df: DataFrame, size: float, frame: Frame = Frame()) -> float:
-    """Successive-sampling rate from the degree histogram (the only thing that leaves Spark)."""
+    """Rate ``t`` at which inclusion ``1 - exp(-d t)`` makes the weights add up to ``size``.
+
+    The degree histogram stays in Spark, however many degrees there are; a step is one aggregation of it.
+    Beyond the sample itself the weights add up to q(t) = sum n / (exp(d t) - 1), whose logarithm is convex
+    and falls: Newton steps on it, from a start known to be too small, rise to the rate without passing it.
+    """
     known = df.where(_known_degree(frame))
-    hist = _bounded(known.groupBy(F.col(frame.degree).alias("d")).agg(F.count("*").alias("n")))
-    return _solve_rate(hist["d"].to_numpy(float), hist["n"].to_numpy(float), size)
+    d, n = F.col("d"), F.col("n")
+    hist = checkpointed(
+        known.groupBy(F.col(frame.degree).cast("double").alias("d")).agg(F.count("*").cast("double").alias("n"))
+    )
+    total, inverse, least = hist.agg(F.sum(n), F.sum(n / d), F.min(d)).first()
+    if size < (total or 0):
+        raise ValueError("the population cannot be smaller than the sample")
+    if not total or size <= total * (1 + 1e-12):
+        # everybody is sampled: weights of one to the last bit
+        return 50.0 / (least or 1.0)
+    rate = inverse / size
+    for _ in range(100):
+        x = d * F.lit(rate)
+        beyond, fall = hist.agg(F.sum(n / F.expm1(x)), F.sum(n * d / (F.expm1(x) * -F.expm1(-x)))).first()
+        step = math.log(beyond / (size - total)) * beyond / fall
+        rate += step
+        if abs(step) <= 1e-14 * rate:
+            return rate
+    raise RuntimeError("the sampling rate did not settle")
 
 
 def ss_weight(rate: float, frame: Frame = Frame()) -> Column:

@@ -81,6 +81,22 @@ def test_resolved_respondents_are_written_once(spark, monkeypatch):
     assert all(b < a for a, b in zip(written[1:], written[2:]))
 
 
+def test_rate_from_steps_in_spark(spark, monkeypatch):
+    """The same rate as on a collected histogram, from a full count to nearly nobody sampled."""
+    monkeypatch.setattr(R, "MAX_CELLS", 1)  # nothing may be collected
+    rng = np.random.default_rng(6)
+    degree = np.concatenate((rng.integers(1, 40, 300), [1, 5000, 90_000]))
+    df = spark.createDataFrame([(i, None, int(d), 0, i) for i, d in enumerate(degree)], SCHEMA)
+    values, counts = np.unique(degree, return_counts=True)
+    for size in (304, 310, 400, 1_000, 1e6, 1e30):
+        want = R._solve_rate(values.astype(float), counts.astype(float), size)
+        assert R.ss_rate(df, size) == pytest.approx(want, rel=1e-9)
+    w = 1 / -np.expm1(-degree * R.ss_rate(df, 303))
+    assert np.allclose(w, 1, atol=1e-12)
+    with pytest.raises(ValueError):
+        R.ss_rate(df, 200)
+
+
 def test_validity(spark):
     rows = [(1, None, 3, 0, 1), (2, 2, 0, 0, 2), (3, 9, None, 0, 3), (4, 1, 2, 0, 0), (4, 1, 2, 0, 5)]
     bad = {r.rule: r.n_bad for r in R.validity_report(spark.createDataFrame(rows, SCHEMA)).collect()}
