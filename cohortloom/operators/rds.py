@@ -362,6 +362,7 @@ class Homophily:
     sizes: np.ndarray
     rates: np.ndarray
     mixing: np.ndarray
+    settled: bool
 
 
 def hcg_fit(df: DataFrame, size: float, frame: Frame = Frame(), slices: int = 50) -> Homophily:
@@ -373,7 +374,10 @@ def hcg_fit(df: DataFrame, size: float, frame: Frame = Frame(), slices: int = 50
     group, group) recruitment counts; the fixed point is solved on those.
     """
     hist, moves = _timed_cells(_with_slice(usable(df, frame), frame, slices), frame)
-    return _hcg_solve(_bounded(hist), _bounded(moves), size, slices)
+    fit = _hcg_solve(_bounded(hist), _bounded(moves), size, slices)
+    if not fit.settled:
+        raise RuntimeError("the homophily model did not settle on this sample")
+    return fit
 
 
 def _timed_cells(
@@ -419,7 +423,7 @@ def _hcg_solve(
     sizes = size * n / n.sum()
     mixing = r.sum(axis=0) + 1e-9
     mixing /= mixing.sum(axis=1, keepdims=True)
-    rates, volume = np.zeros(k), np.zeros(k)
+    rates, volume, done = np.zeros(k), np.zeros(k), False
     for _ in range(rounds):
         left, heads = np.ones((slices, k)), np.zeros(k)
         for h in range(k):
@@ -441,7 +445,7 @@ def _hcg_solve(
         sizes = (sizes + new) / 2
         if done:
             break
-    return Homophily(levels, sizes, rates, mixing)
+    return Homophily(levels, sizes, rates, mixing, bool(done))
 
 
 def _at_least(target: np.ndarray, floor: np.ndarray, total: float) -> np.ndarray:
@@ -627,7 +631,8 @@ def convergence_grid(
     def hcg_of(key, part, made):
         fit = _hcg_solve(part, made, size, points)
         share = sum(v * s for v, s in zip(fit.levels, fit.sizes)) / size
-        return pd.DataFrame([[*key, float(share)]], columns=[*keys, "hcg"])
+        # no estimate where the model does not settle
+        return pd.DataFrame([[*key, float(share) if fit.settled else None]], columns=[*keys, "hcg"]).astype({"hcg": float})
 
     # one group is the count table of one cut point: slices x levels x distinct degrees; solving is
     # the cost, so groups are spread over all cores however small the tables are
