@@ -120,7 +120,12 @@ def train(rows: DataFrame, features: int = FEATURES) -> PipelineModel:
         raise ValueError(f"needs both labels and at most {MOST_LABELLED} rows, not {known}")
     hashing = HashingTF(inputCol="grams", outputCol="hashed", numFeatures=features, binary=True)
     fit = LogisticRegression(featuresCol="hashed", regParam=0.003, maxIter=100, standardization=False)
-    return Pipeline(stages=[hashing, fit]).fit(rows.repartition(1).cache())
+    # every pass of the fit reads the small table again
+    rows = rows.repartition(1).cache()
+    try:
+        return Pipeline(stages=[hashing, fit]).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def judged(

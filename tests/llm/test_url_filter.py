@@ -5,7 +5,13 @@ import re
 from pyspark.sql import functions as F
 
 from cohortloom.llm import url_filter
-from cohortloom.llm.url_labels import SUBDOMAINS, labelled
+from cohortloom.llm.url_labels import (
+    SUBDOMAINS,
+    WANTED_CORES,
+    blocked_names,
+    labelled,
+    wanted_names,
+)
 
 URLS = [
     None, "", "no scheme", "http://", "https://A.Example.COM/en/1?x", "http://www.example.com/en/", "http://www.example.com",
@@ -64,6 +70,28 @@ def test_held_out_accuracy(spark):
     assert right / len(test) >= 0.8
 
 
+def test_held_out_cores(spark):
+    """Every fourth core word is held out with all its names; the rest of a name says nothing."""
+    cores = [i // 4 for i in range(len(blocked_names()))]
+    wanted = len(WANTED_CORES)
+    cores += [1000 + (i // 2 if i < 2 * wanted else i) for i in range(len(wanted_names()))]
+    rows, each = labelled(), len(SUBDOMAINS)
+    parts = {True: [], False: []}
+    for i, row in enumerate(rows):
+        parts[cores[i // each] % 4 == 1].append(row)
+    fitted = url_filter.train(spark.createDataFrame(parts[False], "url string, label double"))
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(parts[True])], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.judged(pages, fitted, rules=()).collect()}
+    right = sum((got[i] == "block") == (label == 1.0) for i, (_, label) in enumerate(parts[True]))
+    assert len(parts[True]) > 200 and right / len(parts[True]) >= 0.9
+
+
+def test_nothing_stays_cached(spark):
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    model(spark)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= before
+
+
 def test_clear_cases_on_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").where("url is not null")
     found = url_filter.judged(pages, model(spark), rules=())
