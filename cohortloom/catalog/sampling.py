@@ -110,6 +110,11 @@ def _(v):
     return R.bootstrap(v.rds, size=size_of(v))
 
 
+@query("k10_bootstrap_by_level")
+def _(v):
+    return R.bootstrap_levels(v.rds, R.Frame(outcome="y_cat"), size=size_of(v))
+
+
 @query("k11_weights", f"""
 SELECT id, {r6('CASE WHEN y = 1 THEN p ELSE 1 - p END * n / CASE WHEN y = 1 THEN n1 ELSE n0 END')} AS w_rds_i, {r6('n / inv / network_size')} AS w_rds_ii, {r6(f'{_SS_W} * n / ss')} AS w_ss
 FROM rds, (SELECT s01 * hd0 / (s01 * hd0 + s10 * hd1) AS p, n0, n1 FROM two) a,

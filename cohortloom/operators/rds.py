@@ -849,121 +849,169 @@ def _uniform(seed: int, replicate: np.ndarray, step: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(11)).astype(float) * 2.0**-53
 
 
-def bootstrap(
-    df: DataFrame,
-    frame: Frame = Frame(),
-    replicates: int = 500,
-    seed: int = 1,
-    size: float | None = None,
-    conf: float = 0.95,
-    chain: int = 5000,
-) -> DataFrame:
-    """Chain bootstrap intervals for RDS-I and RDS-II (Salganik 2006), replicates in parallel.
+@dataclass(frozen=True)
+class Replicates:
+    """Redrawn samples: per replicate the moves between levels (row by row), inverse degrees and shares."""
 
-    With a population ``size`` the SS estimate is replicated too, and RDS-I and RDS-II intervals carry
-    the finite-population factor.
+    levels: list
+    rows: DataFrame
+    n: int
 
-    A replicate redraws the whole sample as one chain: the next respondent's group follows the recruits
-    of the current group, and the degree is drawn among those recruits. Only recruitment cells
-    (recruiter group, group, degree) are shipped to the tasks. Pieces of ``chain`` draws are simulated
-    side by side from both groups they may start in and then put together, and the draw of a step is a
-    hash of (seed, replicate, step): neither piece length nor partitioning changes a result. The outcome
-    must be 0 or 1.
+
+def _replicates(
+    df: DataFrame, frame: Frame, replicates: int, seed: int, size: float | None, chain: int
+) -> Replicates:
+    """Chains redrawn in parallel, for any number of levels of the outcome (few, checked).
+
+    A piece of ``chain`` draws is a map: from every level it may start in to the level it ends in and the
+    moves it makes on the way. Pieces are drawn side by side and a replicate's maps are then followed one
+    after the other. The draw of a step is a hash of (seed, replicate, step), so neither piece length nor
+    partitioning changes a result.
     """
-    df = usable(df, frame)
     cells = _bounded(recruitment_counts(df, frame, [frame.degree])).rename(
         columns={frame.degree: "d"}
     ).sort_values(["g", "h", "d"])
-    pool = _bounded(df.groupBy(F.col(frame.outcome).alias("h")).agg(F.count("*").alias("n")))
-    if not set(pool["h"].tolist()) <= {0, 1}:
-        raise ValueError("the chain bootstrap needs an outcome of 0 and 1")
-    start = np.array([float(pool.loc[pool["h"] == v, "n"].sum()) for v in (0, 1)])
+    pool = _bounded(df.groupBy(F.col(frame.outcome).alias("h")).agg(F.count("*").alias("n"))).sort_values("h")
+    levels = pool["h"].tolist()
+    k, at = len(levels), {v: i for i, v in enumerate(levels)}
+    start = pool["n"].to_numpy(float)
     n = int(start.sum())
-    start = start / n
-    counts = np.array(
-        [[float(cells.loc[(cells["g"] == g) & (cells["h"] == h), "r"].sum()) for h in (0, 1)] for g in (0, 1)]
-    )
-    to_one = [counts[g, 1] / counts[g].sum() if counts[g].sum() else start[1] for g in (0, 1)]
-    pieces = math.ceil(n / chain)
-    draws = {
-        (g, h): (part["d"].to_numpy(float), part["r"].to_numpy(float) / part["r"].sum())
-        for (g, h), part in cells.groupby(["g", "h"])
-    }
-
-    counted = [f"m{k}{c}" for k in (0, 1) for c in ("00", "01", "10", "11")]
+    start = start / max(n, 1)
+    counts, draws = np.zeros((k, k)), {}
+    for (g, h), part in cells.groupby(["g", "h"]):
+        counts[at[g], at[h]] = part["r"].sum()
+        draws[at[g], at[h]] = (part["d"].to_numpy(float), part["r"].to_numpy(float) / part["r"].sum())
+    rows = counts.sum(axis=1, keepdims=True)
+    # a level that recruited nobody is followed by the sample's mix
+    share = np.where(rows > 0, counts / np.maximum(rows, 1), start)
+    # shares add up from the last level down
+    below = np.cumsum(share[:, ::-1], axis=1)[:, :-1]
+    first = np.cumsum(start[::-1])[:-1]
+    pieces = max(1, math.ceil(n / chain))
+
+    def picked(u, bounds):
+        return k - 1 - (u[..., None] >= bounds).sum(axis=-1)
 
     def simulate(batches):
-        p = np.array(to_one)
         for batch in batches:
             ids = batch["id"].to_numpy()
-            for at in range(0, len(ids), 256):
-                unit = ids[at : at + 256]
+            for lo in range(0, len(ids), 256):
+                unit = ids[lo : lo + 256]
                 rep, piece = unit // pieces, unit % pieces
                 length = np.where(piece == pieces - 1, n - chain * (pieces - 1), chain)
-                # both groups the piece may start in
-                state = np.tile(np.array([0, 1]), (len(unit), 1))
-                moved = np.zeros((len(unit), 2, 4), dtype=np.int64)
-                rows = np.arange(len(unit))
+                # all levels the piece may start in
+                state = np.tile(np.arange(k), (len(unit), 1))
+                moved = np.zeros((len(unit), k, k * k), np.int64)
+                here = np.arange(len(unit))
                 for step in range(1, int(length.max()) + 1):
                     live = step <= length
                     u = _uniform(seed, rep, piece * chain + step)
-                    nxt = (u[:, None] < p[state]).astype(int)
-                    for k in (0, 1):
-                        moved[rows, k, 2 * state[:, k] + nxt[:, k]] += live
+                    nxt = picked(np.broadcast_to(u[:, None], state.shape), below[state])
+                    for j in range(k):
+                        moved[here, j, k * state[:, j] + nxt[:, j]] += live
                     state = np.where(live[:, None], nxt, state)
-                begin = (_uniform(seed, rep, np.zeros_like(rep)) < start[1]).astype(int)
-                out = {"rep": rep, "piece": piece, "begin": begin, "end0": state[:, 0], "end1": state[:, 1]}
-                flat = moved.reshape(len(unit), 8)
-                yield pd.DataFrame(out | {c: flat[:, i] for i, c in enumerate(counted)})
+                begin = picked(_uniform(seed, rep, np.zeros_like(rep)), first)
+                yield pd.DataFrame(
+                    {"rep": rep, "piece": piece, "begin": begin, "ends": list(state), "moved": list(moved.reshape(len(unit), -1))}
+                )
 
     def compose(part):
-        """Follow the pieces of one replicate, each from the group the one before ended in."""
+        """Follow the pieces of one replicate, each from the level the one before ended in."""
         part = part.sort_values("piece")
-        group, total = int(part["begin"].iloc[0]), np.zeros(4, np.int64)
-        ends, counts_ = part[["end0", "end1"]].to_numpy(), part[counted].to_numpy().reshape(-1, 2, 4)
-        for end, moved in zip(ends, counts_, strict=True):
-            total += moved[group]
-            group = int(end[group])
-        return pd.DataFrame([[part["rep"].iloc[0], *total]], columns=["rep", "m00", "m01", "m10", "m11"])
+        level, total = int(part["begin"].iloc[0]), np.zeros(k * k, np.int64)
+        for ends, moved in zip(part["ends"], part["moved"], strict=True):
+            total += np.asarray(moved)[level * k * k : (level + 1) * k * k]
+            level = int(ends[level])
+        return pd.DataFrame({"rep": [part["rep"].iloc[0]], "moved": [total]})
 
     def attach_degrees(batches):
         for batch in batches:
             out = []
-            for row in batch.itertuples(index=False):
-                level, degree, times = [], [], []
-                for g in (0, 1):
-                    for h in (0, 1):
-                        m = int(getattr(row, f"m{g}{h}"))
-                        if m and (g, h) in draws:
-                            gen = np.random.default_rng([seed, int(row.rep), 1_000_000_007, 2 * g + h])
-                            d, q = draws[(g, h)]
-                            level.append(np.full(len(d), h))
-                            degree.append(d)
-                            times.append(gen.multinomial(m, q).astype(float))
+            for rep, moved in zip(batch["rep"], batch["moved"], strict=True):
+                level, degree, times = [np.zeros(0, int)], [np.zeros(0)], [np.zeros(0)]
+                for cell, m in enumerate(np.asarray(moved).tolist()):
+                    g, h = divmod(cell, k)
+                    if m and (g, h) in draws:
+                        gen = np.random.default_rng([seed, int(rep), 1_000_000_007, cell])
+                        d, q = draws[g, h]
+                        level.append(np.full(len(d), h))
+                        degree.append(d)
+                        times.append(gen.multinomial(m, q).astype(float))
                 h, d, c = np.concatenate(level), np.concatenate(degree), np.concatenate(times)
-                inv = [float((c / d)[h == v].sum()) for v in (0, 1)]
+                inverse = np.bincount(h, c / d, k)
                 ss = None
-                if size:
+                if size and len(h):
                     w = c / -np.expm1(-d * _solve_rate(d, c, max(size, c.sum())))
-                    ss = float((w * h).sum() / w.sum())
-                out.append((row.rep, row.m00, row.m01, row.m10, row.m11, *inv, ss))
-            yield pd.DataFrame(
-                out, columns=["rep", "r00", "r01", "r10", "r11", "inv0", "inv1", "ss"]
-            ).astype({"ss": "float64"})
+                    ss = np.bincount(h, w, k) / w.sum()
+                table = np.asarray(moved, float).reshape(k, k)
+                drawn = table.sum(axis=0)
+                mean = np.divide(drawn, inverse, out=np.ones(k), where=inverse > 0)
+                made = pd.DataFrame(
+                    [(i, j, table[i, j]) for i in range(k) for j in range(k)], columns=["g", "h", "r"]
+                )
+                pi = np.where(drawn > 0, _stationary(made, list(range(k))) / mean, 0.0)
+                out.append((rep, moved, inverse, ss, pi / pi.sum() if pi.sum() else None))
+            yield pd.DataFrame(out, columns=["rep", "moved", "inverse", "ss", "rds_i"])
 
-    units = df.sparkSession.range(replicates * pieces)
-    simulated = units.mapInPandas(
-        simulate,
-        "rep long, piece long, begin int, end0 int, end1 int, " + ", ".join(f"{c} long" for c in counted),
+    spark = df.sparkSession
+    simulated = spark.range(replicates * pieces if n else 0).mapInPandas(
+        simulate, "rep long, piece long, begin int, ends array<int>, moved array<long>"
     )
     # one row per piece of ``chain`` draws
-    summed = simulated.groupBy("rep").applyInPandas(
-        compose, "rep long, m00 long, m01 long, m10 long, m11 long"
-    )
+    summed = simulated.groupBy("rep").applyInPandas(compose, "rep long, moved array<long>")
     # a few rows, but real work per row: spread them whatever their size
-    reps = summed.repartition(df.sparkSession.sparkContext.defaultParallelism, "rep").mapInPandas(
+    spread = summed.repartition(spark.sparkContext.defaultParallelism, "rep").mapInPandas(
         attach_degrees,
-        "rep long, r00 long, r01 long, r10 long, r11 long, inv0 double, inv1 double, ss double",
+        "rep long, moved array<long>, inverse array<double>, ss array<double>, rds_i array<double>",
+    )
+    return Replicates(levels, spread, n)
+
+
+def _limits(points: DataFrame, spread: DataFrame, keys: list[str], n: int, size: float | None, conf: float) -> DataFrame:
+    """Estimates with standard error and limits; RDS-I and RDS-II carry the finite-population factor."""
+    z = M.z_value(conf)
+    shrink = math.sqrt(1 - n / size) if size else 1.0
+    se = F.col("se") * F.when(F.col("estimator") == "SS", 1.0).otherwise(shrink)
+    return points.join(spread, keys).select(
+        *keys,
+        "estimate",
+        se.alias("se"),
+        (F.col("estimate") - z * se).alias("low"),
+        (F.col("estimate") + z * se).alias("high"),
+    )
+
+
+def bootstrap(
+    df: DataFrame,
+    frame: Frame = Frame(),
+    replicates: int = 500,
+    seed: int = 1,
+    size: float | None = None,
+    conf: float = 0.95,
+    chain: int = 5000,
+) -> DataFrame:
+    """Chain bootstrap intervals for RDS-I and RDS-II (Salganik 2006), replicates in parallel.
+
+    With a population ``size`` the SS estimate is replicated too, and RDS-I and RDS-II intervals carry
+    the finite-population factor.
+
+    A replicate redraws the whole sample as one chain: the next respondent's group follows the recruits
+    of the current group, and the degree is drawn among those recruits. Only recruitment cells
+    (recruiter group, group, degree) are shipped to the tasks. The outcome must be 0 or 1;
+    ``bootstrap_levels`` takes any.
+    """
+    df = usable(df, frame)
+    made = _replicates(df, frame, replicates, seed, size, chain)
+    if not set(made.levels) <= {0, 1}:
+        raise ValueError("the chain bootstrap needs an outcome of 0 and 1")
+    if len(made.levels) == 1:
+        raise ValueError("the chain bootstrap needs both groups in the sample")
+    moves = {f"r{g}{h}": F.col("moved")[2 * g + h] for g in (0, 1) for h in (0, 1)}
+    reps = made.rows.select(
+        *[c.alias(name) for name, c in moves.items()],
+        F.col("inverse")[0].alias("inv0"),
+        F.col("inverse")[1].alias("inv1"),
+        F.col("ss")[1].alias("ss"),
     )
     reps = reps.withColumns(
         {
@@ -981,13 +1029,40 @@ def bootstrap(
     points = rds_i_binary(df, frame).unionByName(rds_ii(df, frame))
     if size:
         points = points.unionByName(ss_estimate(df, size, frame))
-    z = M.z_value(conf)
-    shrink = math.sqrt(1 - n / size) if size else 1.0
-    se = F.col("se") * F.when(F.col("estimator") == "SS", 1.0).otherwise(shrink)
-    return points.join(spread, "estimator").select(
-        "estimator",
-        "estimate",
-        se.alias("se"),
-        (F.col("estimate") - z * se).alias("low"),
-        (F.col("estimate") + z * se).alias("high"),
-    )
+    return _limits(points, spread, ["estimator"], made.n, size, conf)
+
+
+def bootstrap_levels(
+    df: DataFrame,
+    frame: Frame = Frame(),
+    replicates: int = 500,
+    seed: int = 1,
+    size: float | None = None,
+    conf: float = 0.95,
+    chain: int = 5000,
+) -> DataFrame:
+    """The same intervals for every level of a categorical outcome: estimator, level, estimate, se, low, high.
+
+    A level that a replicate does not draw has a share of zero in it.
+    """
+    df = usable(df, frame)
+    made = _replicates(df, frame, replicates, seed, size, chain)
+    kind = df.schema[frame.outcome].dataType.simpleString()
+    inverse = F.aggregate("inverse", F.lit(0.0), lambda a, b: a + b)
+    shares = {"RDS-I": F.col("rds_i"), "RDS-II": F.transform("inverse", lambda x: x / inverse)}
+    points = [rds_i(df, frame).withColumn("estimator", F.lit("RDS-I")),
+              rds_ii_levels(df, frame).withColumn("estimator", F.lit("RDS-II"))]
+    if size:
+        shares["SS"] = F.col("ss")
+        w = ss_weight(ss_rate(df, size, frame), frame)
+        sums = df.groupBy(F.col(frame.outcome).alias("level")).agg(F.sum(w).alias("w"))
+        # one row per level
+        points.append(sums.select("level", (F.col("w") / F.sum("w").over(W.partitionBy())).alias("estimate"),
+                                  F.lit("SS").alias("estimator")))
+    long = reduce(DataFrame.unionByName, [
+        made.rows.select(F.lit(name).alias("estimator"), F.posexplode(c).alias("at", "share")) for name, c in shares.items()
+    ])
+    names = df.sparkSession.createDataFrame(list(enumerate(made.levels)), f"at int, level {kind}")
+    spread = long.groupBy("estimator", "at").agg(F.stddev("share").alias("se")).join(names, "at").drop("at")
+    both = reduce(DataFrame.unionByName, [x.select("estimator", "level", "estimate") for x in points])
+    return _limits(both, spread, ["estimator", "level"], made.n, size, conf)

@@ -263,6 +263,30 @@ def test_unusable_rows_are_counted(spark):
     assert (got.n, got.no_outcome, got.no_degree, got.bad_degree, got.left_out) == (54, 1, 1, 2, 4)
 
 
+def test_bootstrap_by_level_agrees_with_the_two_group_form(sample):
+    df = sample[0]
+    two = {r.estimator: r for r in R.bootstrap(df, replicates=30, size=3000.0, chain=200).collect()}
+    levels = R.bootstrap_levels(df, replicates=30, size=3000.0, chain=200).collect()
+    assert len(levels) == 6
+    for r in levels:
+        want = two[r.estimator]
+        assert r.se == pytest.approx(want.se, rel=1e-6)
+        assert r.estimate == pytest.approx(want.estimate if r.level == 1 else 1 - want.estimate, rel=1e-9)
+
+
+def test_bootstrap_of_three_levels(spark, sample):
+    rows = [(i, r, d, ["a", "b", "c"][(y * 2 + i % 2) % 3], t) for i, r, d, y, t in sample[0].collect()]
+    df = spark.createDataFrame(rows, SCHEMA.replace("y int", "y string"))
+    got = R.bootstrap_levels(df, replicates=40, size=3000.0).collect()
+    again = R.bootstrap_levels(df.repartition(5), replicates=40, size=3000.0, chain=77).collect()
+    key = lambda r: (r.estimator, r.level)
+    for a, b in zip(sorted(got, key=key), sorted(again, key=key), strict=True):
+        assert key(a) == key(b) and a.se == pytest.approx(b.se, rel=1e-9)
+    assert len(got) == 9 and all(0 < r.se < 0.2 and r.low < r.estimate < r.high for r in got)
+    for name in ("RDS-I", "RDS-II", "SS"):
+        assert sum(r.estimate for r in got if r.estimator == name) == pytest.approx(1)
+
+
 def test_bootstrap_does_not_depend_on_the_piece_length(spark):
     rows, _ = make_sample(want=300)
     df = spark.createDataFrame(rows, SCHEMA).cache()
