@@ -316,13 +316,14 @@ UNION ALL SELECT 'code dates missing', 0, {big('COUNT(*)')}, COUNT(*) = 0 FROM i
 UNION ALL SELECT 'limits missing after imputation', 0, {big('COUNT(*)')}, COUNT(*) = 0 FROM lab12 WHERE co_tox_lab_name IN (1, 16, 17) AND co_tox_lab_normal_low IS NULL
 UNION ALL SELECT 'person-frames per person', 4, {big('MAX(k)')}, MAX(k) = 4 FROM (SELECT COUNT(*) AS k FROM pf GROUP BY studyid) q""")
 def _(v):
-    src = sources(v)
+    # imputation and person-frames look at the same cohort and labs
+    src = P.staged(sources(v))
     count = lambda df: df.agg(F.count("*"))
     low = P.limited_labs(src).where(F.col(L.LAB).isin(1, 16, 17) & F.col(L.LOW).isNull())
     frames = P.person_frames(src).groupBy("studyid").agg(F.count("*").alias("k")).agg(F.max("k"))
     return Q.expectation_suite(
         [
-            Q.expect("diagnosis dates missing", count(v.cohort.where("dx_dt IS NULL")), 0),
+            Q.expect("diagnosis dates missing", count(src.cohort.where("dx_dt IS NULL")), 0),
             Q.expect("code dates missing", count(v.icd.where("co_tox_dx_code_date IS NULL")), 0),
             Q.expect("limits missing after imputation", count(low), 0),
             Q.expect("person-frames per person", frames, 4),

@@ -172,7 +172,8 @@ def impute_own_record(
     """Fill a missing limit from the same person, frame and lab.
 
     Only groups that hold both missing and known limits are joined back, so the right side is
-    small and a hot person is reduced on the map side instead of being sorted in a window. ``compat``
+    small and a hot person is reduced on the map side instead of being sorted in a window; only rows
+    that lack a limit meet that join, all others pass by without a shuffle. ``compat``
     fills neutrophil limits only for people who also lack a hemoglobin limit, as the source analysis
     does (it selects those people by the wrong lab code).
     """
@@ -196,11 +197,14 @@ def impute_own_record(
         lacking = lab.where((F.col(LAB) == HEMOGLOBIN) & F.col(LOW).isNull()).select(ID).distinct()
         anc = groups.where(F.col(LAB) == ANC).join(lacking, ID, "left_semi")
         groups = groups.where(F.col(LAB) != ANC).unionByName(anc)
+    gap = any_of([F.col(LAB).isin(labs) & F.col(c).isNull() for (c, _), labs in sorted(specs.items())])
+    gap = F.coalesce(gap, F.lit(False))
     # the written size, not an estimate, decides whether the rows need a shuffle
-    filled = lab.join(checkpointed(groups), [ID, FRAME, LAB], "left")
+    filled = lab.where(gap).join(checkpointed(groups), [ID, FRAME, LAB], "left")
     for c, how in sorted(specs):
         filled = filled.withColumn(c, F.coalesce(c, f"__own_{c}_{how}"))
-    return filled.drop(*[f"__own_{c}_{how}" for c, how in specs])
+    filled = filled.drop(*[f"__own_{c}_{how}" for c, how in specs])
+    return lab.where(~gap).select(*filled.columns).unionByName(filled)
 
 
 def impute_constant(lab: DataFrame, rules: list[LimitRule] = LIMIT_RULES) -> DataFrame:

@@ -37,6 +37,8 @@ class Sources:
     icd: DataFrame
     lab: DataFrame
     chart: DataFrame
+    # raw framed labs, once ``staged`` has written them
+    framed: DataFrame | None = None
 
 
 def adjuvant_people(src: Sources) -> DataFrame:
@@ -65,8 +67,17 @@ def framed_labs(src: Sources, clean: bool = True) -> DataFrame:
     twice more, so the framed rows are written once, by lab code; the raw labs are scanned once. A day lies in one
     frame, so that framing first changes nothing about a day's conversion.
     """
-    framed = C.bucket_by_milestones(src.lab.join(adjuvant_people(src), "studyid"), L.DATE)
-    return L.clean_results(checkpointed(framed, L.LAB)) if clean else framed
+    if not clean:
+        return _raw_framed(src) if src.framed is None else src.framed
+    return L.clean_results(staged_labs(src).framed)
+
+
+def _raw_framed(src: Sources) -> DataFrame:
+    # the semi join names the group alone: Spark moves it below the joins that make up the labs, whose
+    # rows then meet the milestones without those of everybody else
+    people = checkpointed(adjuvant_people(src))
+    lab = src.lab.join(people.select("studyid"), "studyid", "left_semi")
+    return C.bucket_by_milestones(lab.join(people, "studyid"), L.DATE)
 
 
 def limited_labs(src: Sources) -> DataFrame:
@@ -98,7 +109,17 @@ def chart_person_flags(src: Sources) -> DataFrame:
 
 def staged_cohort(src: Sources) -> Sources:
     """The same sources with the cohort written once: every branch below reads it again."""
-    return replace(src, cohort=checkpointed(src.cohort))
+    return replace(src, cohort=checkpointed(src.cohort)) if src.framed is None else src
+
+
+def staged_labs(src: Sources) -> Sources:
+    """The same sources with the raw framed labs written once, by lab code."""
+    return replace(src, framed=checkpointed(_raw_framed(src), L.LAB)) if src.framed is None else src
+
+
+def staged(src: Sources) -> Sources:
+    """The same sources with cohort and framed labs written once, for several analyses of them."""
+    return staged_labs(staged_cohort(src))
 
 
 def person_frames(src: Sources) -> DataFrame:

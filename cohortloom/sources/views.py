@@ -96,10 +96,8 @@ class Views:
             " AS neuropathy_flag_icd_se",
         )
 
-    @cached_property
-    def _line_with_owner(self) -> DataFrame:
+    def _with_owner(self, line: DataFrame) -> DataFrame:
         owner = self.table("orders").select("o_orderkey", F.col("o_custkey").alias("studyid"))
-        line = self.table("lineitem")
         return line.join(owner, line.l_orderkey == owner.o_orderkey)
 
     @cached_property
@@ -108,8 +106,9 @@ class Views:
             "CASE l_linenumber WHEN 1 THEN 1 WHEN 2 THEN 17 WHEN 3 THEN 16 WHEN 4 THEN 6"
             " WHEN 5 THEN 11 WHEN 6 THEN 5 ELSE 2 END"
         )
-        return self._line_with_owner.withColumn("lab", F.expr(lab)).selectExpr(
-            "studyid",
+        # the few values of a lab row are less to shuffle than the keys they are made from
+        rows = self.table("lineitem").withColumn("lab", F.expr(lab)).selectExpr(
+            "l_orderkey",
             "CAST(l_shipdate AS DATE) AS co_tox_lab_date",
             "lab AS co_tox_lab_name",
             "CASE WHEN l_suppkey % 33 = 0 THEN NULL WHEN lab = 1 AND l_suppkey % 20 = 0 THEN 4"
@@ -128,11 +127,12 @@ class Views:
             " WHEN lab = 6 THEN 35.0 + (l_partkey % 3) * 5.0 END AS DOUBLE)"
             " AS co_tox_lab_normal_high",
         )
+        return self._with_owner(rows).select("studyid", *rows.columns[1:])
 
     @cached_property
     def chart(self) -> DataFrame:
         arms = " ".join(f"WHEN {i} THEN '{name}'" for i, name in enumerate(CHART_NAMES))
-        return self._line_with_owner.where("l_returnflag = 'R'").selectExpr(
+        return self._with_owner(self.table("lineitem")).where("l_returnflag = 'R'").selectExpr(
             "studyid",
             "l_orderkey * 10 + l_linenumber AS toxicityid",
             f"CASE l_partkey % 7 {arms} ELSE '' END AS toxicityname",
